@@ -68,11 +68,13 @@ def lookup_join(
     return keyed.join(side, ["_key", "_spread"], "left").drop("_key", "_spread")
 
 
-def genre_join(rollup: DataFrame, artist_genres: DataFrame) -> DataFrame:
+def genre_join(
+    rollup: DataFrame, artist_genres: DataFrame, spread_by: str = "userid"
+) -> DataFrame:
     """An artist roll-up with the tag list of each artist, empty where unknown."""
     lookup = artist_genres.select("artist_name_normalized", "genres")
     joined = lookup_join(
-        rollup, artist_key(F.col("artist_name")), lookup, "artist_name_normalized"
+        rollup, artist_key(F.col("artist_name")), lookup, "artist_name_normalized", spread_by
     )
     empty = F.array().cast("array<string>")
     return joined.withColumn("genres", F.coalesce("genres", empty))

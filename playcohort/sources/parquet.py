@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -10,6 +10,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_or_empty(spark: SparkSession, path: str | None, schema: T.StructType) -> DataFrame:
+    """A saved table, or an empty one where there is no earlier path."""
+    return spark.read.parquet(path) if path else spark.createDataFrame([], schema)
+
+
 def write_parquet(df: DataFrame, path: str, by: list[str], sort_within: list[str] = ()) -> None:
     """Write ranges of the leading column as sorted files.
 
