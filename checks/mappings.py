@@ -81,19 +81,19 @@ def audio_features(spark: SparkSession, sf: str) -> DataFrame:
     pk = F.col("p_partkey")
 
     def share(factor: int):
-        return (pk * factor % 100) / F.lit(100.0)
+        return (pk * factor % 100) / F.lit(97.0)
 
     return sold.join(part, sold["l_partkey"] == part["p_partkey"]).select(
         F.lower(F.concat(F.lit("S"), "l_suppkey", F.lit("|||P"), "l_partkey")).alias("track_key"),
         F.concat(F.lit("t"), "l_partkey").alias("track_spotify_id"),
         share(7).alias("danceability"),
-        F.when(F.col("p_size") > 7, F.col("p_size") / F.lit(50.0)).alias("energy"),
+        F.when(F.col("p_size") > 7, F.col("p_size") / F.lit(47.0)).alias("energy"),
         share(11).alias("valence"),
-        (F.lit(60.0) + pk * 13 % 140).alias("tempo"),
+        ((F.lit(60.0) + pk * 13 % 140) / F.lit(0.97)).alias("tempo"),
         share(17).alias("acousticness"),
         share(19).alias("instrumentalness"),
         share(23).alias("liveness"),
-        (F.col("p_retailprice") / F.lit(10000.0)).alias("speechiness"),
+        (F.col("p_retailprice") / F.lit(9700.0)).alias("speechiness"),
         (F.lit(0.0) - F.col("p_size")).alias("loudness"),
         (pk % 2).cast("int").alias("mode"),
         F.lit(4).alias("time_signature"),

@@ -56,14 +56,14 @@ WHERE s_acctbal >= 0"""
 
 PARTS["audio_l"] = """
 SELECT lower('S' || l_suppkey || '|||P' || l_partkey) AS track_key,
-       p_partkey * 7 % 100 / 100.0::DOUBLE AS danceability,
-       CASE WHEN p_size > 7 THEN p_size / 50.0::DOUBLE END AS energy,
-       p_partkey * 11 % 100 / 100.0::DOUBLE AS valence,
-       60.0::DOUBLE + p_partkey * 13 % 140 AS tempo,
-       p_partkey * 17 % 100 / 100.0::DOUBLE AS acousticness,
-       p_partkey * 19 % 100 / 100.0::DOUBLE AS instrumentalness,
-       p_partkey * 23 % 100 / 100.0::DOUBLE AS liveness,
-       p_retailprice / 10000.0::DOUBLE AS speechiness
+       p_partkey * 7 % 100 / 97.0::DOUBLE AS danceability,
+       CASE WHEN p_size > 7 THEN p_size / 47.0::DOUBLE END AS energy,
+       p_partkey * 11 % 100 / 97.0::DOUBLE AS valence,
+       (60.0::DOUBLE + p_partkey * 13 % 140) / 0.97::DOUBLE AS tempo,
+       p_partkey * 17 % 100 / 97.0::DOUBLE AS acousticness,
+       p_partkey * 19 % 100 / 97.0::DOUBLE AS instrumentalness,
+       p_partkey * 23 % 100 / 97.0::DOUBLE AS liveness,
+       p_retailprice / 9700.0::DOUBLE AS speechiness
 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey"""
 
 PARTS["profiles_l"] = """
@@ -555,7 +555,7 @@ WHERE p.pos > q.pos AND abs(r) > 0.75""")
 oracle("sessionize", f"""
 SELECT userid, track_name, {big('session_id', 'session_id')}, {us()} FROM ({session_rows('plays_e', 30)})""")
 oracle("session_table", f"""
-SELECT userid, {big('session_id', 'session_id')}, track_count, {num('duration_min', 'duration_min')}
+SELECT userid, {big('session_id', 'session_id')}, track_count, {big('round(duration_min * 60000000)', 'duration_us')}
 FROM ({session_table('plays_e', 360)})""")
 oracle("first_seen_artist", f"""
 SELECT userid, artist_name, {us('min(ts)', 'first_seen_us')} FROM plays_l WHERE artist_name IS NOT NULL

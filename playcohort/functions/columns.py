@@ -48,13 +48,14 @@ def xlog2x(count: Column) -> Column:
     return F.when(count > 0, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def entropy_bits(total: Column, sum_xlog2x: Column) -> Column:
+def entropy_bits(total: Column, sum_xlog2x: Column, groups: Column) -> Column:
     """Shannon entropy in bits from N and the sum of c*log2(c): log2(N) - sum/N.
 
-    Both inputs are plain sums, so the entropy of any group needs one combinable pass.
+    Both inputs are plain sums, so the entropy of any group needs one combinable pass. With
+    fewer than two groups it is exactly 0, without a trace of rounding.
     """
     n = total.cast("double")
-    return F.when(total > 0, F.greatest(F.log2(n) - sum_xlog2x / n, F.lit(0.0))).otherwise(0.0)
+    return F.when(groups > 1, F.log2(n) - sum_xlog2x / n).otherwise(F.lit(0.0))
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] | list[str] = ()) -> list[str]:

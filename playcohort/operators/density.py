@@ -229,6 +229,7 @@ def choose_eps(
     """The radius, among quantiles of the core distance, whose clusters have the best exact
     silhouette, and the labels there. Without any radius that gives two clusters, the
     largest one tried."""
+    points = points.select(id_col, "features")
     core = neighbour_distances(points, min_samples, id_col).withColumn("all", F.lit(1))
     named = {f"q{i}": q for i, q in enumerate(sorted(quantiles))}
     row = exact_quantiles(core, ["all"], "core_distance", named).first()

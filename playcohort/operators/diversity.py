@@ -44,6 +44,7 @@ def artist_diversity(plays: DataFrame, top_n: int = 20) -> DataFrame:
             entropy_bits(
                 F.sum(F.col("plays") * F.col("artists")),
                 F.sum(xlog2x(F.col("plays")) * F.col("artists")),
+                F.sum("artists"),
             ).alias("artist_entropy"),
             ratio(F.sum("top_plays"), F.sum(F.col("plays") * F.col("artists"))).alias(
                 f"artist_concentration_{top_n}"
@@ -117,6 +118,7 @@ def genre_diversity_from(genres: DataFrame, top_n: int = 5) -> DataFrame:
         entropy_bits(
             F.coalesce(F.sum("counted"), F.lit(0)),
             F.coalesce(F.sum(xlog2x(F.col("counted"))), F.lit(0.0)),
+            F.count("counted"),
         ).alias("genre_entropy"),
         ratio(F.sum("top_plays"), F.sum("counted")).alias(f"genre_concentration_{top_n}"),
         ratio(F.sum("tag_plays"), F.sum("row_plays")).alias("avg_genre_tags_per_play"),

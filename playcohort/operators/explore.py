@@ -144,7 +144,7 @@ def correlation_matrix(matrix: DataFrame, columns: list[str] | None = None) -> D
     return total.select(
         F.element_at(labels, F.col("a") + 1).alias("feat_a"),
         F.element_at(labels, F.col("b") + 1).alias("feat_b"),
-        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("correlation"),
+        F.when(r > 1.0, 1.0).when(r < -1.0, -1.0).otherwise(r).alias("correlation"),
         F.col("a").alias("pos_a"),
         F.col("b").alias("pos_b"),
     )

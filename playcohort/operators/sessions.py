@@ -68,19 +68,22 @@ def listening_clock(
     day = floor_div(start, DAY_US)
     w = Window.partitionBy("userid").orderBy("slot")
     now = F.max("last_us").over(Window.partitionBy("userid"))
-    after = F.col("first_us") >= F.col("cutoff_us")
+    new_day = F.coalesce((F.lag("day").over(w) != F.col("day")).cast("int"), F.lit(1))
     slots = (
         slot_sessions(plays, gap_minutes)
         .withColumn("day", day)
-        .withColumn("new_day", F.coalesce((F.lag("day").over(w) != F.col("day")).cast("int"), F.lit(1)))
-        .withColumn("hour", F.pmod(floor_div(start, HOUR_US), F.lit(24)).cast("int"))
-        .withColumn("dow", F.pmod(F.col("day") + 3, F.lit(7)).cast("int"))
-        .withColumn("cutoff_us", now - F.lit(recent_days * DAY_US))
-        .withColumn("month", F.month(F.date_from_unix_date(F.col("day").cast("int"))))
+        .select(
+            "*",
+            new_day.alias("new_day"),
+            F.pmod(floor_div(start, HOUR_US), F.lit(24)).alias("hour"),
+            F.pmod(F.col("day") + 3, F.lit(7)).alias("dow"),
+            (now - F.lit(recent_days * DAY_US)).alias("cutoff_us"),
+            F.month(F.date_from_unix_date(F.col("day").cast("int"))).alias("month"),
+        )
     )
 
-    def plays_where(cond):
-        return F.sum(F.when(cond, F.col("plays")).otherwise(F.lit(0)))
+    def plays_where(cond: str, name: str):
+        return F.expr(f"sum(if({cond}, plays, 0)) AS {name}")
 
     return slots.groupBy("userid").agg(
         F.sum("plays").alias("plays"),
@@ -91,11 +94,11 @@ def listening_clock(
         F.sum(F.col("last_us") - F.col("first_us") + F.col("pause_us")).alias("session_us"),
         F.sum("new_day").alias("days"),
         F.max("cutoff_us").alias("cutoff_us"),
-        plays_where(after).alias("recent_full"),
-        F.max(F.when(~after & (F.col("last_us") >= F.col("cutoff_us")), F.col("slot"))).alias(
+        plays_where("first_us >= cutoff_us", "recent_full"),
+        F.expr("max(if(first_us < cutoff_us AND last_us >= cutoff_us, slot, NULL))").alias(
             "edge_slot"
         ),
-        *[plays_where(F.col("hour") == h).alias(f"hour_{h}") for h in range(24)],
-        *[plays_where(F.col("dow") == d).alias(f"dow_{d}") for d in range(7)],
-        *[plays_where(F.col("month") == m).alias(f"month_{m}") for m in range(1, 13)],
+        *[plays_where(f"hour = {h}", f"hour_{h}") for h in range(24)],
+        *[plays_where(f"dow = {d}", f"dow_{d}") for d in range(7)],
+        *[plays_where(f"month = {m}", f"month_{m}") for m in range(1, 13)],
     )

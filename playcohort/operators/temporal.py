@@ -19,8 +19,11 @@ def _sum(names: list[str]) -> Column:
 
 
 def _entropy_of(names: list[str]) -> Column:
-    terms = [xlog2x(F.col(n)) for n in names]
-    return entropy_bits(F.col("plays"), sum(terms[1:], terms[0]))
+    """Entropy over bins that are columns of one row."""
+    counts = F.array(*[F.col(n) for n in names])
+    terms = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + xlog2x(c))
+    used = F.size(F.filter(counts, lambda c: c > 0))
+    return entropy_bits(F.col("plays"), terms, used)
 
 
 def temporal_columns() -> list[Column]:

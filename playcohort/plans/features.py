@@ -66,7 +66,9 @@ def build_feature_matrix(
             F.when(F.col("unique_artists") > 0, F.col("unique_artists")).alias("unique_artists"),
             F.when(
                 F.col("unique_artists") > 0,
-                entropy_bits(F.col("artist_plays"), F.col("artist_xlogx")),
+                entropy_bits(
+                    F.col("artist_plays"), F.col("artist_xlogx"), F.col("unique_artists")
+                ),
             ).alias("artist_entropy"),
             F.when(
                 F.col("unique_artists") > 0, ratio(F.col("top_plays"), F.col("artist_plays"))

@@ -31,7 +31,9 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **(conf or {})}.items():
+    # Call sites in error messages cost several round trips per column expression.
+    options = {"spark.python.sql.dataFrameDebugging.enabled": "false", **RUNTIME_CONF}
+    for key, value in {**options, **(conf or {})}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
