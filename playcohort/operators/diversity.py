@@ -108,17 +108,22 @@ def genre_play_counts(plays: DataFrame, artist_genres: DataFrame) -> DataFrame:
 def genre_diversity_from(genres: DataFrame, top_n: int = 5) -> DataFrame:
     """The genre block from ``genre_rollup``; users without any tag keep a row of zeros.
 
-    A user has at most one row per tag of the vocabulary, so they are ranked directly.
+    As with artists, tags of equal play count are merged before a user is ranked.
     """
     real = F.col("genre").isNotNull() & (F.col("genre") != "")
-    ranked = genres.withColumn("counted", F.when(real, F.col("tag_plays")))
-    ranked = with_rank_budget(ranked, F.col("counted"), real.cast("int"), top_n)
-    return ranked.groupBy("userid").agg(
-        F.count("counted").alias("unique_genres"),
+    spectrum = genres.groupBy("userid", F.when(real, F.col("tag_plays")).alias("plays")).agg(
+        F.count(F.when(real, 1)).alias("tags"),
+        F.sum("tag_plays").alias("tag_plays"),
+        F.sum("row_plays").alias("row_plays"),
+    )
+    counted = F.coalesce(F.col("plays") * F.col("tags"), F.lit(0))
+    ranked = with_rank_budget(spectrum, F.col("plays"), F.col("tags"), top_n)
+    return ranked.withColumn("counted", counted).groupBy("userid").agg(
+        F.sum("tags").alias("unique_genres"),
         entropy_bits(
-            F.coalesce(F.sum("counted"), F.lit(0)),
-            F.coalesce(F.sum(xlog2x(F.col("counted"))), F.lit(0.0)),
-            F.count("counted"),
+            F.sum("counted"),
+            F.coalesce(F.sum(xlog2x(F.col("plays")) * F.col("tags")), F.lit(0.0)),
+            F.sum("tags"),
         ).alias("genre_entropy"),
         ratio(F.sum("top_plays"), F.sum("counted")).alias(f"genre_concentration_{top_n}"),
         ratio(F.sum("tag_plays"), F.sum("row_plays")).alias("avg_genre_tags_per_play"),

@@ -15,6 +15,7 @@ from playcohort.operators.rollups import (
     track_rollup,
 )
 from playcohort.operators.sessions import listening_clock
+from playcohort.session import staged
 
 DISCOVERY_WINDOWS = (30, 90)
 NOVELTY_DAYS = 90
@@ -112,7 +113,8 @@ def engagement_features(
     windows: Sequence[int] = DISCOVERY_WINDOWS,
     novelty_days: int = NOVELTY_DAYS,
 ) -> DataFrame:
-    clock = listening_clock(plays, session_gap_minutes, novelty_days)
+    """The engagement block. The clock, one row per user, is staged: three steps read it."""
+    clock = staged(listening_clock(plays, session_gap_minutes, novelty_days))
     stats = artist_stats(
         artists_from_tracks(track_rollup(plays)), clock, windows=windows, novelty_days=novelty_days
     )

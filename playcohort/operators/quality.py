@@ -20,6 +20,7 @@ from playcohort.operators.pairwise import (
     over_block_pairs,
     point_arrays,
 )
+from playcohort.session import staged
 
 
 def drop_noise(labelled: DataFrame) -> DataFrame:
@@ -159,7 +160,7 @@ def silhouette_by_labelling(
     points: DataFrame, id_col: str = "userid", block_rows: int = BLOCK_ROWS
 ) -> dict[int, float]:
     """Mean exact silhouette for each position of an array column ``labs`` of cluster ids."""
-    arrays = point_arrays(points, id_col)
+    arrays = staged(point_arrays(points, id_col))
     n = len(arrays.select("labs").first()["labs"])
     rows = _silhouettes(arrays, n, block_rows).groupBy("labelling").agg(F.avg("s").alias("s"))
     return {r["labelling"]: r["s"] for r in rows.collect()}
@@ -212,7 +213,8 @@ def silhouette_replicates(
         F.sequence(F.lit(1), F.lit(replicates)),
         lambda r: F.try_element_at(F.col("by_replicate"), r).cast("int"),
     )
-    scored = _silhouettes(arrays.select("id", "x", every.alias("labs")), replicates, block_rows)
+    chosen_in = staged(arrays.select("id", "x", every.alias("labs")))
+    scored = _silhouettes(chosen_in, replicates, block_rows)
     return (
         scored.groupBy("labelling")
         .agg(F.avg("s").alias("silhouette"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from playcohort.functions.columns import DAY_US, entropy_bits, floor_div, ratio, xlog2x
 from playcohort.operators.prep import fit_moments, signed_components
 from playcohort.operators.sessions import listening_clock
+from playcohort.session import staged
 
 HOURS = [f"hour_{h}" for h in range(24)]
 DAYS = [f"dow_{d}" for d in range(7)]
@@ -84,6 +85,10 @@ def stability_columns(clock: DataFrame, components: int = 5) -> list[Column]:
 def temporal_features(
     plays: DataFrame, pca_components: int = 5, with_stability: bool = True
 ) -> DataFrame:
+    """The rhythm block. The components are fitted on the clock before it is projected, so
+    it is staged if they are wanted."""
     clock = listening_clock(plays)
+    if with_stability:
+        clock = staged(clock)
     extra = stability_columns(clock, pca_components) if with_stability else []
     return clock.select("userid", *temporal_columns(), *extra)

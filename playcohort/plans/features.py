@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from playcohort.functions.columns import entropy_bits, ratio
@@ -20,6 +19,7 @@ from playcohort.operators.rollups import artists_from_tracks, track_rollup
 from playcohort.operators.sessions import listening_clock
 from playcohort.operators.temporal import stability_columns, temporal_columns
 from playcohort.schemas import AUDIO_COLUMNS
+from playcohort.session import staged_together
 from playcohort.sources.parquet import write_parquet
 
 
@@ -41,16 +41,14 @@ def build_feature_matrix(
     """One row per user: artist, genre, rhythm, engagement and audio features, and
     demographics if profiles are given. Sorted by user when saved.
 
-    Plays are scanned for the listening clock, for the track roll-up and, with two columns,
-    for the plays at the edge of the novelty window; everything else derives from those.
-    Every user has a clock row, so the blocks are left-joined to it, and all of them are
-    already partitioned by user.
+    Plays are scanned three times: for the listening clock, for the track roll-up and, with
+    two columns, for the plays at the edge of the novelty window. The two roll-ups are
+    staged and everything else derives from them. Every user has a clock row, so the blocks
+    are left-joined to it; each is already partitioned by user.
     """
-    clock = listening_clock(plays, session_gap_minutes, novelty_days)
-    tracks = track_rollup(plays)
-    if save_path:
-        clock = clock.persist(StorageLevel.MEMORY_AND_DISK)
-        tracks = tracks.persist(StorageLevel.MEMORY_AND_DISK)
+    clock, tracks = staged_together(
+        listening_clock(plays, session_gap_minutes, novelty_days), track_rollup(plays)
+    )
     artists = artists_from_tracks(tracks)
     stats = artist_stats(artists, clock, top_artists, discovery_windows, novelty_days)
     genres = genre_diversity_from(genre_rollup(artists, artist_genres), top_genres)
@@ -87,7 +85,5 @@ def build_feature_matrix(
         matrix = join_profiles(matrix, profiles)
     if save_path:
         write_parquet(matrix, save_path, by=["userid"])
-        tracks.unpersist()
-        clock.unpersist()
         return plays.sparkSession.read.parquet(save_path)
     return matrix

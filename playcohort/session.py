@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """The rows as a written table in the scratch folder.
+
+    For a roll-up that several later steps read: it is computed once, each reader fetches
+    only its columns, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_together(*frames: DataFrame) -> list[DataFrame]:
+    """``staged`` for several independent tables, their jobs running side by side."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(staged, frames))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, for loops whose plan would otherwise grow every round."""
     scratch_dir(df.sparkSession)
