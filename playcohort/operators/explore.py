@@ -139,7 +139,7 @@ def correlation_matrix(matrix: DataFrame, columns: list[str] | None = None) -> D
         return F.when(v > F.lit(1e-12) * n * F.col(ss), v).otherwise(F.lit(0.0))
 
     cov = n * F.col("sab") - F.col("sa") * F.col("sb")
-    r = F.try_divide(cov, F.sqrt(spread("sa", "saa")) * F.sqrt(spread("sb", "sbb")))
+    r = F.try_divide(cov, F.sqrt(spread("sa", "saa") * spread("sb", "sbb")))
     labels = F.array(*[F.lit(c) for c in names])
     return total.select(
         F.element_at(labels, F.col("a") + 1).alias("feat_a"),

@@ -44,17 +44,15 @@ class Moments:
 
 
 def fit_moments(df: DataFrame, columns: list[str]) -> Moments:
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for c in columns:
-        x = F.col(c).cast("double")
-        constant = F.min(x) == F.max(x)
-        aggs += [
-            F.avg(x).alias(f"m_{c}"),
-            F.when(constant, F.lit(0.0)).otherwise(F.stddev_pop(x)).alias(f"s_{c}"),
-        ]
-    row = df.agg(*aggs).first()
+    aggs = ["count(1) AS rows"]
+    for i, c in enumerate(columns):
+        x = f"CAST(`{c}` AS DOUBLE)"
+        aggs.append(f"avg({x}) AS m{i}")
+        aggs.append(f"if(min({x}) = max({x}), 0.0D, stddev_pop({x})) AS s{i}")
+    row = df.selectExpr(*aggs).first()
+    numbered = list(enumerate(columns))
     return Moments(
-        row["rows"], {c: row[f"m_{c}"] for c in columns}, {c: row[f"s_{c}"] for c in columns}
+        row["rows"], {c: row[f"m{i}"] for i, c in numbered}, {c: row[f"s{i}"] for i, c in numbered}
     )
 
 

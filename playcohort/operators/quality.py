@@ -99,24 +99,16 @@ def _silhouettes(points: DataFrame, labellings: int, block_rows: int) -> DataFra
         f"id {id_type}, sums array<double>",
         block_rows,
     )
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r["labelling"]).alias("labelling"),
-                F.lit(r["cluster"]).alias("to"),
-                F.lit(r["size"]).alias("size"),
-            )
-            for r in sizes
-        ]
+    # As many rows as were collected above.
+    table = points.sparkSession.createDataFrame(
+        [(i, r["labelling"], r["cluster"], r["size"]) for i, r in enumerate(sizes)],
+        "slot int, labelling int, to int, size bigint",
     )
-    if width == 0:
-        table = table.cast("array<struct<labelling:int,to:int,size:bigint>>")
     totals = (
         partial.select("id", F.posexplode("sums").alias("slot", "part"))
         .groupBy("id", "slot")
         .agg(F.sum("part").alias("total"))
-        .withColumn("at", F.element_at(table, F.col("slot") + 1))
-        .select("id", "at.labelling", "at.to", "at.size", "total")
+        .join(F.broadcast(table), "slot")
     )
     own = points.select("id", F.posexplode("labs").alias("labelling", "cluster")).where(
         F.col("cluster").isNotNull()
