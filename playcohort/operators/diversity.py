@@ -53,29 +53,25 @@ def artist_diversity(plays: DataFrame, top_n: int = 20) -> DataFrame:
     )
 
 
-def lookup_join(
-    rollup: DataFrame, key: Column, lookup: DataFrame, lookup_key: str, spread_by: str = "userid"
-) -> DataFrame:
-    """Left join of a per-user roll-up with a lookup table.
-
-    Rows without a key match nothing; a second join column spreads them by user instead of
-    sending all of them to one partition. Whether the lookup is broadcast is left to the
-    size estimate; a popular key in a shuffled join is split by adaptive execution.
+def lookup_join(rollup: DataFrame, key: Column, lookup: DataFrame, lookup_key: str) -> DataFrame:
+    """Left join of a roll-up with a lookup table.
+
+    Rows without a key match nothing; they are placed by a hash of the whole row, where a
+    null key would send all of them to one partition. Whether the lookup is broadcast is left to the size
+    estimate; a popular key in a shuffled join is split by adaptive execution.
     """
-    keyed = rollup.withColumn("_key", key).withColumn(
-        "_spread", F.when(F.col("_key").isNull(), F.pmod(F.hash(spread_by), F.lit(1024))).otherwise(0)
-    )
-    side = lookup.withColumnRenamed(lookup_key, "_key").withColumn("_spread", F.lit(0))
-    return keyed.join(side, ["_key", "_spread"], "left").drop("_key", "_spread")
+    own_place = F.concat(F.lit("\x00"), F.xxhash64(*rollup.columns).cast("string"))
+    keyed = rollup.withColumn("_key", key).withColumn("_place", F.coalesce("_key", own_place))
+    side = lookup.withColumnRenamed(lookup_key, "_lookup_key")
+    match = (F.col("_place") == F.col("_lookup_key")) & F.col("_key").isNotNull()
+    return keyed.join(side, match, "left").drop("_key", "_place", "_lookup_key")
 
 
-def genre_join(
-    rollup: DataFrame, artist_genres: DataFrame, spread_by: str = "userid"
-) -> DataFrame:
+def genre_join(rollup: DataFrame, artist_genres: DataFrame) -> DataFrame:
     """An artist roll-up with the tag list of each artist, empty where unknown."""
     lookup = artist_genres.select("artist_name_normalized", "genres")
     joined = lookup_join(
-        rollup, artist_key(F.col("artist_name")), lookup, "artist_name_normalized", spread_by
+        rollup, artist_key(F.col("artist_name")), lookup, "artist_name_normalized"
     )
     empty = F.array().cast("array<string>")
     return joined.withColumn("genres", F.coalesce("genres", empty))

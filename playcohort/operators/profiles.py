@@ -196,7 +196,7 @@ def genre_share_by_cluster(
         .agg(F.sum("plays").alias("plays"))
     )
     counts = (
-        genre_join(by_cluster, artist_genres, spread_by="cluster")
+        genre_join(by_cluster, artist_genres)
         .select("cluster", "plays", F.explode("genres").alias("genre"))
         .where(F.col("genre").isin(top))
         .groupBy("cluster", "genre")

@@ -62,7 +62,7 @@ def artist_key_plays(plays: DataFrame) -> DataFrame:
 
 def top_genres(plays: DataFrame, artist_genres: DataFrame, n: int = 10) -> DataFrame:
     """The n most played genres over all plays; ties by name."""
-    tagged = genre_join(artist_key_plays(plays), artist_genres, spread_by="artist_name")
+    tagged = genre_join(artist_key_plays(plays), artist_genres)
     return (
         tagged.select("plays", F.explode("genres").alias("genre"))
         .where(F.col("genre").isNotNull() & (F.col("genre") != ""))

@@ -88,3 +88,20 @@ def test_library_collects_only_model_sized_results():
 def test_no_row_at_a_time_functions():
     for path in PACKAGE.rglob("*.py"):
         assert not re.search(r"F\.udf|pandas_udf|mapPartitions", path.read_text())
+
+
+def test_rows_without_a_lookup_key_are_spread(spark, heavy):
+    """A null key must not send a third of the rows to one task of a shuffled join."""
+    rollup = heavy.groupBy("userid", "artist_name", "track_name").agg(F.count(F.lit(1)).alias("plays"))
+    lookup = heavy.where("artist_name IS NOT NULL").groupBy("artist_name").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = diversity.lookup_join(rollup, F.col("artist_name"), lookup, "artist_name")
+        assert "hashpartitioning(_place" in final_plan(joined)
+        nulls = joined.where("artist_name IS NULL").groupBy(F.spark_partition_id()).count().collect()
+        assert len(nulls) > 1 and joined.count() == rollup.count()
+        assert joined.where("artist_name IS NULL AND n IS NOT NULL").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
