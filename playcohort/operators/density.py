@@ -24,7 +24,7 @@ from playcohort.session import cut_lineage
 
 
 def neighbour_distances(
-    points: DataFrame, min_samples: int = 5, id_col: str = "userid", block_rows: int = BLOCK_ROWS
+    points: DataFrame, min_samples: int = 5, id_col: str = "userid", block_rows: int | None = None
 ) -> DataFrame:
     """(id, core_distance): distance to the ``min_samples``-th nearest other point, null for
     fewer points. A cell passes on only that many candidates per point."""
@@ -61,7 +61,7 @@ def neighbour_distances(
 
 
 def dense_points(
-    arrays: DataFrame, eps: float, min_samples: int, count: int, block_rows: int
+    arrays: DataFrame, eps: float, min_samples: int, count: int, block_rows: int | None
 ) -> DataFrame:
     """The points with at least ``min_samples`` others within ``eps``; cells return counts."""
     id_type = arrays.schema["id"].dataType.simpleString()
@@ -88,7 +88,7 @@ def dense_points(
     return arrays.join(dense.select("id"), "id", "left_semi")
 
 
-def _cell_links(dense: DataFrame, eps: float, count: int, block_rows: int) -> DataFrame:
+def _cell_links(dense: DataFrame, eps: float, count: int, block_rows: int | None) -> DataFrame:
     """(u, v) links that connect what lies within ``eps``. A cell joins its own points first
     and returns one link per point, not one per close pair."""
     id_type = dense.schema["id"].dataType.simpleString()
@@ -128,7 +128,9 @@ def _cell_links(dense: DataFrame, eps: float, count: int, block_rows: int) -> Da
             }
         )
 
-    return over_block_pairs(dense, count, kernel, f"u {id_type}, v {id_type}", block_rows)
+    # The kernel keeps a whole cell of flags, so its blocks stay small.
+    rows = block_rows or BLOCK_ROWS
+    return over_block_pairs(dense, count, kernel, f"u {id_type}, v {id_type}", rows)
 
 
 def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -200,7 +202,7 @@ def density_cluster(
     min_cluster_size: int = 10,
     min_samples: int = 5,
     id_col: str = "userid",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(id, cluster) at radius ``eps``. Clusters are numbered from 0 by their smallest id."""
     arrays = point_arrays(points.select(id_col, "features"), id_col)

@@ -14,6 +14,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
 BLOCK_ROWS = 4096
+_LARGE_BLOCK_ROWS = 32_768
+_STRIP_CELLS = 1 << 22
+
+
+def block_rows_for(count: int) -> int:
+    """Rows per block: larger blocks for larger tables, since every point is sent to as many
+    cells as there are blocks."""
+    return min(_LARGE_BLOCK_ROWS, max(BLOCK_ROWS, count // 256))
 
 
 def point_arrays(points: DataFrame, id_col: str) -> DataFrame:
@@ -29,14 +37,14 @@ def point_arrays(points: DataFrame, id_col: str) -> DataFrame:
 
 
 def over_block_pairs(
-    points: DataFrame, count: int, kernel: Callable, schema: str, block_rows: int = BLOCK_ROWS
+    points: DataFrame, count: int, kernel: Callable, schema: str, block_rows: int | None = None
 ) -> DataFrame:
     """Run ``kernel(left, right, same)`` on every cell and return its rows.
 
     ``left`` and ``right`` are pandas frames of two blocks, with ``same`` the block meets
     itself. Results for both sides of a cell are up to the kernel.
     """
-    blocks = max(1, -(-count // block_rows))
+    blocks = max(1, -(-count // (block_rows or block_rows_for(count))))
     placed = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     cells = placed.withColumn("other", other).select(
@@ -58,10 +66,12 @@ def over_block_pairs(
     return cells.groupBy("lo", "hi").applyInPandas(run, schema)
 
 
-def distance_strips(a, b, rows: int = 1024):
-    """Euclidean distances of the rows of ``a`` to all rows of ``b``, a strip at a time."""
+def distance_strips(a, b, cells: int = _STRIP_CELLS):
+    """Euclidean distances of the rows of ``a`` to all rows of ``b``, a strip at a time; a
+    strip has a bounded number of entries."""
     import numpy as np
 
+    rows = max(1, cells // max(1, len(b)))
     bb = (b * b).sum(axis=1)
     for start in range(0, len(a), rows):
         part = a[start : start + rows]

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from playcohort.functions.quantiles import exact_lower_share
 from playcohort.operators.pairwise import (
-    BLOCK_ROWS,
     distance_strips,
     over_block_pairs,
     point_arrays,
@@ -37,7 +36,7 @@ def as_vectors(points: DataFrame) -> DataFrame:
 # -- silhouette -----------------------------------------------------------------------
 
 
-def _silhouettes(points: DataFrame, labellings: int, block_rows: int) -> DataFrame:
+def _silhouettes(points: DataFrame, labellings: int, block_rows: int | None) -> DataFrame:
     """(labelling, id, cluster, s): exact Euclidean silhouette of each point in each of
     several labellings. ``points`` has id, x and ``labs``, the cluster of the point in each
     labelling or null where it takes no part.
@@ -131,7 +130,7 @@ def _silhouettes(points: DataFrame, labellings: int, block_rows: int) -> DataFra
 
 
 def silhouette_samples(
-    points: DataFrame, id_col: str = "userid", block_rows: int = BLOCK_ROWS
+    points: DataFrame, id_col: str = "userid", block_rows: int | None = None
 ) -> DataFrame:
     """(id, cluster, silhouette) of every point that is not noise."""
     arrays = point_arrays(drop_noise(points), id_col)
@@ -141,7 +140,7 @@ def silhouette_samples(
 
 
 def silhouette_exact(
-    points: DataFrame, id_col: str = "userid", block_rows: int = BLOCK_ROWS
+    points: DataFrame, id_col: str = "userid", block_rows: int | None = None
 ) -> DataFrame:
     """One row: the mean exact Euclidean silhouette (0 with fewer than two clusters)."""
     samples = silhouette_samples(points, id_col, block_rows)
@@ -149,7 +148,7 @@ def silhouette_exact(
 
 
 def silhouette_by_labelling(
-    points: DataFrame, id_col: str = "userid", block_rows: int = BLOCK_ROWS
+    points: DataFrame, id_col: str = "userid", block_rows: int | None = None
 ) -> dict[int, float]:
     """Mean exact silhouette for each position of an array column ``labs`` of cluster ids."""
     arrays = staged(point_arrays(points, id_col))
@@ -165,6 +164,18 @@ def silhouette_squared(points: DataFrame) -> float:
     return ClusteringEvaluator(predictionCol="cluster", distanceMeasure="squaredEuclidean").evaluate(kept)
 
 
+EXACT_LIMIT = 500_000
+
+
+def silhouette_kind(kind: str, points: DataFrame) -> str:
+    """Resolve "auto" by the number of points. Either measure uses every point."""
+    if kind not in ("auto", "exact", "squared"):
+        raise ValueError(f"Unknown silhouette: {kind!r}. Choose 'auto', 'exact' or 'squared'.")
+    if kind != "auto":
+        return kind
+    return "exact" if points.count() <= EXACT_LIMIT else "squared"
+
+
 def subsample_memberships(
     points: DataFrame, replicates: int, share: float, id_col: str = "userid"
 ) -> DataFrame:
@@ -191,7 +202,7 @@ def silhouette_replicates(
     replicates: int = 50,
     share: float = 0.8,
     id_col: str = "userid",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """(replicate, silhouette) over sub-samples without replacement; replicates with fewer
     than two clusters are left out."""
@@ -220,7 +231,7 @@ def silhouette_stability(
     replicates: int = 50,
     share: float = 0.8,
     id_col: str = "userid",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """One row: mean and population deviation of the replicate silhouettes."""
     return silhouette_replicates(points, replicates, share, id_col, block_rows).agg(
