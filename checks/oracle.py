@@ -620,6 +620,12 @@ oracle(
 # -- quality ---------------------------------------------------------------------------
 
 oracle("silhouette_exact", f"SELECT {num('avg(s)', 'silhouette')} FROM sil_rows")
+oracle("silhouette_squared", f"""
+SELECT {num('avg(s)', 'silhouette')}
+FROM (SELECT i, coalesce(CASE WHEN max(CASE WHEN ci = cj THEN m END) IS NULL THEN 0
+                     ELSE (min(CASE WHEN ci <> cj THEN m END) - max(CASE WHEN ci = cj THEN m END))
+            / nullif(greatest(min(CASE WHEN ci <> cj THEN m END), max(CASE WHEN ci = cj THEN m END)), 0) END, 0) AS s
+      FROM (SELECT i, ci, cj, avg(d * d) AS m FROM pairs GROUP BY i, ci, cj) GROUP BY i)""")
 oracle("silhouette_samples", f"""
 SELECT i AS vec_id, {big('cluster', 'cluster')}, {num('s', 'silhouette')} FROM sil_rows""")
 oracle("inertia", f"SELECT {num('sum(sq)', 'inertia')} FROM within")

@@ -770,7 +770,7 @@ def q_silhouette_samples(spark, sf):
 
 @query
 def q_silhouette_squared(spark, sf):
-    return quality.quality_row(spark, silhouette=quality.silhouette_squared(m.vectors(spark, sf)))
+    return r6(quality.quality_row(spark, silhouette=quality.silhouette_squared(m.vectors(spark, sf))))
 
 
 @query

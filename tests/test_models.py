@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import mappings as m
 from checks.queries import user_vectors
 from playcohort.operators import cluster, density, importance, prep, quality, temporal
-from playcohort.plans import clustering
+from playcohort.plans import clustering, report
 from playcohort.plans.enrichment import run_enrichment
 
 
@@ -55,7 +55,7 @@ def test_sweep(spark, points):
     labelled = points.select("vec_id", "features").join(sweep.labels, "vec_id")
     alone = quality.silhouette_exact(labelled, "vec_id").first()[0]
     assert alone == pytest.approx(sweep.silhouettes[sweep.best_k], abs=1e-9)
-    assert quality.inertia(labelled) == pytest.approx(sweep.inertias[sweep.best_k], rel=1e-3)
+    assert quality.inertia(labelled) == pytest.approx(sweep.inertias[sweep.best_k], rel=5e-3)
     table = quality.elbow_table(spark, sweep.inertias, sweep.silhouettes).collect()
     assert [r["k"] for r in table] == [3, 4, 5]
 
@@ -91,11 +91,24 @@ def test_pipeline_and_selection(spark, sf):
     dens = clustering.run_clustering(matrix, "density", eps=4.0, min_cluster_size=5, use_viz=False)
     assert km.labels.count() == matrix.count() == km.coordinates.count()
     assert km.n_clusters in (3, 4) and -1 <= km.silhouette <= 1 and km.noise == 0
+    mean, spread = clustering.stability(km, replicates=3).first()
+    assert -1 <= mean <= 1 and spread >= 0
     table = clustering.compare([km, dens], spark).collect()
     best = clustering.select_best([km, dens])
     assert table[0]["silhouette"] == best.silhouette
 
 
+def test_report_has_every_table(spark, sf):
+    matrix, labels = m.saved_matrix(spark, sf), m.labels(spark, sf)
+    plane = prep.embed_2d(user_vectors(spark, sf))
+    tables = report.build_report(
+        m.plays_l(spark, sf), m.artist_genres(spark, sf), matrix, labels, m.profiles(spark, sf), plane,
+        n_trees=5)
+    assert len(tables) == 14 and all(df.count() > 0 for df in tables.values())
+    shares = tables["genre_share"].groupBy("cluster").agg(F.sum("proportion").alias("s")).collect()
+    assert [r["s"] for r in shares] == pytest.approx([1.0] * len(shares))
+
+
 def test_enrichment_end_to_end_and_resume(spark, sf, tmp_path):
     tsv = tmp_path / "plays.tsv"
     tsv.write_text("u\t2009-05-04T23:08:57Z\tm\tA\tn\tT\nu\t2009-05-04T23:09:57Z\tm\tB\tn\tT\n")
