@@ -24,8 +24,9 @@ SIGNUP_FORMATS = ("MMM d, yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-d
 def _fields(
     lines: DataFrame, names: list[str], na_values: tuple[str, ...], skip_header: bool
 ) -> DataFrame:
-    """Split lines into named raw string columns."""
-    parts = lines.where(strip(F.col("value")) != "").select(
+    """Split lines into named raw string columns. Lines of blanks are no records; a line of
+    tabs is one, with nothing in it."""
+    parts = lines.where(F.trim("value") != "").select(
         F.split("value", "\t", -1).alias("f")
     )
     parts = parts.where(F.size("f") <= len(names))
