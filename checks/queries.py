@@ -394,11 +394,6 @@ def q_top_artist_play_share(spark, sf):
     return _tracks(spark, sf, "top_artist_play_share")
 
 
-def _sessions(spark, sf, gap, *cols):
-    block = engagement.engagement_features(m.plays_e(spark, sf), gap, (7, 14), 14)
-    return r6(block.select("userid", *cols))
-
-
 @query
 def q_session_count(spark, sf):
     clock = sessions.listening_clock(m.plays_e(spark, sf), 30)

@@ -150,8 +150,7 @@ def track_stats(plays: DataFrame) -> DataFrame:
 
 
 def _dated_artists(plays: DataFrame) -> DataFrame:
-    """The artist roll-up next to each user's last instant. ``userid`` totals come from the
-    roll-up itself, so only roll-up rows are shuffled."""
+    """The artist roll-up next to each user's last instant; only roll-up rows are joined."""
     artists = artist_rollup(plays)
     now = (
         plays.where(F.col("userid").isNotNull())

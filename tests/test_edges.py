@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from playcohort.functions.columns import artist_key, track_key
 from playcohort.functions.quantiles import exact_quantiles
 from playcohort.operators import audio, diversity, engagement, explore, prep, profiles, quality
-from playcohort.operators import rollups, sessions, temporal, topk
+from playcohort.operators import sessions, temporal, topk
 from playcohort.operators.density import connected_components, density_cluster
 from playcohort.plans.clustering import run_clustering
 from playcohort.schemas import ARTIST_GENRES, AUDIO_FEATURES
