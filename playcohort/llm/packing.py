@@ -5,8 +5,9 @@ own, so only the remainder of each document has to be placed. Remainders are dea
 groups of about ``group_rows`` by a seeded hash and each group is packed online by the
 sum-of-squares rule: a level array holds how many windows are open at each fill, and a piece
 goes to the level (an open one or a new window) for which the sum of the squared counts
-becomes least. A group is one task's work, bounded whatever the size of the table; what
-stays open at the end of the groups is packed once more, whole windows at a time.
+becomes least. A group is one task's work, bounded whatever the size of the table. The rule
+leaves some hundred windows open whatever the size of a group, so the pieces in them are
+dealt and packed once more.
 
 Texts are tokenised once, where they are read; only narrow piece rows move.
 
@@ -22,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,9 @@ from playcohort.session import staged
 #: Segments whose ids a task remembers at most; then it starts anew.
 MEMO_SEGMENTS = 150_000
 
+#: What tells pieces apart; rows equal in all three are interchangeable.
+PIECE = ["id", "ids_crc32", "start"]
+
 
 def segments(text: str) -> list[str]:
     """``text`` cut before each single space that stands between non-white characters.
@@ -193,33 +197,29 @@ def place(rows: DataFrame, size: str, window: int, group_rows: int, seed: int, k
     return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 
-def pack(cut: DataFrame, window: int, group_rows: int = 4096, seed: int = 0) -> DataFrame:
+def pack(cut: DataFrame, window: int, group_rows: int = 16_384, seed: int = 0) -> DataFrame:
     """Pieces with the ``sequence_id`` and ``offset`` of each.
 
     Offsets of a sequence run from 0 without a gap; every sequence but those left open at the
     end holds exactly ``window`` ids.
     """
     cut = staged(cut)
+    columns = cut.columns
     full = cut.where(F.col("length") == window)
-    rest = cut.where(F.col("length") < window)
-    first = staged(place(rest, "length", window, group_rows, seed, ["id", "ids_crc32", "start"]))
+    first = staged(place(cut.where(F.col("length") < window), "length", window, group_rows, seed, PIECE))
     closed = first.where(F.col("_fill") == window)
-    left = first.where(F.col("_fill") < window)
-    # The open windows once more: each is moved as a whole.
-    bins = left.groupBy("_window").agg(F.max("_fill").alias("_size")).withColumnRenamed("_window", "_bin")
-    moved = place(staged(bins), "_size", window, group_rows, seed + 1, ["_bin"]).select(
-        "_bin", F.col("_window").alias("_to"), F.col("_base").alias("_moved")
-    )
-    last = left.join(moved, F.col("_window") == F.col("_bin"))
-    columns = cut.columns
-    # Three ranges of sequence ids that cannot meet.
-    number = lambda column, kind: (column * 3 + kind).alias("sequence_id")
+    left = first.where(F.col("_fill") < window).select(*columns)
+    second = place(left, "length", window, group_rows, seed + 1, PIECE)
+
+    def rows(df: DataFrame, number: Column, kind: int, offset: Column) -> DataFrame:
+        # Three ranges of sequence ids that cannot meet.
+        return df.select(*columns, (number * 3 + kind).alias("sequence_id"), offset.alias("offset"))
+
+    base = F.col("_base")
     return (
-        full.select(*columns, number(F.monotonically_increasing_id(), 0), F.lit(0).cast("long").alias("offset"))
-        .unionByName(closed.select(*columns, number(F.col("_window"), 1), F.col("_base").alias("offset")))
-        .unionByName(
-            last.select(*columns, number(F.col("_to"), 2), (F.col("_moved") + F.col("_base")).alias("offset"))
-        )
+        rows(full, F.monotonically_increasing_id(), 0, F.lit(0).cast("long"))
+        .unionByName(rows(closed, F.col("_window"), 1, base))
+        .unionByName(rows(second, F.col("_window"), 2, base))
     )
 
 
