@@ -56,3 +56,34 @@ def map_rows(
             )
 
     return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first variant of it that no column of ``df`` has (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def add_columns(
+    df: DataFrame, inputs: list[str], function: Callable[..., dict[str, list]], added: T.StructType
+) -> DataFrame:
+    """``df`` with columns that ``function`` computes from the values of the ``inputs`` of a batch.
+
+    All other columns pass through as Arrow arrays, never as Python values. The names in
+    ``added`` must be new (see ``fresh``).
+    """
+    bounded_batches(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, *added.fields])
+    new = arrow_schema(added)
+    at = [df.columns.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = function(*[batch.column(i).to_pylist() for i in at])
+            more = [pa.array(out[field.name], type=field.type) for field in new]
+            names = [*batch.schema.names, *new.names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
+
+    return df.mapInArrow(run, schema)

@@ -5,14 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playcohort.llm import packing, sharding, tokens
+from playcohort.llm import decontaminate, packing, quality_rules, secret_scan, sharding, tokens
 from playcohort.llm.common import table
 
 WINDOW = 2048
 END_ID = 1
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def span_text(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined in the order given."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, RANKS, public_tokenizers.PATTERN)
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        of("random").alias("n_random"),
+    )
+
+
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.mark(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        decontaminate.hit_words(F.col("hits")).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("hits"), F.col("n_words")).alias("contaminated"),
+    )
 
 
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +56,10 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge(table(spark, folder, "documents"))
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), WINDOW, END_ID)
     return packing.pack(cut, WINDOW).withColumnRenamed("id", "doc_id")
@@ -44,7 +83,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
