@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playcohort.llm import decontaminate, packing, quality_rules, secret_scan, sharding, tokens
+from playcohort.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sharding, tokens, toxicity
 from playcohort.llm.common import table
 
 WINDOW = 2048
 END_ID = 1
+TOXIC = 0.7
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined in the order given."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
@@ -50,6 +55,25 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Model:
+    return toxicity.train(docs, table(spark, folder, "labels"), usable=~held_out(F.col("doc_id")))
+
+
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, folder, docs))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     counted = tokens.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -83,8 +107,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
