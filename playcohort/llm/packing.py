@@ -18,6 +18,8 @@ and repeated document ids are allowed; other columns are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,64 +32,51 @@ from pyspark.sql import types as T
 from playcohort.llm.common import arrow_schema, bounded_batches, text_of
 from playcohort.session import staged
 
-#: Segments whose ids a task remembers at most; then it starts anew.
-MEMO_SEGMENTS = 150_000
-
 #: What tells pieces apart; rows equal in all three are interchangeable.
 PIECE = ["id", "ids_crc32", "start"]
 
 
-def segments(text: str) -> list[str]:
-    """``text`` cut before each single space that stands between non-white characters.
-
-    A pre-token of the byte-level pattern never reaches from a non-white character into
-    white space, and where one starts depends only on what follows. So such a place always
-    separates two pre-tokens, and the ids of the text are those of its segments in a row.
-    """
-    parts = text.split(" ")
-    out = [parts[0]]
-    for part in parts[1:]:
-        last = out[-1]
-        if not part or part[0].isspace() or not last or last[-1].isspace():
-            out[-1] = f"{last} {part}"
-        else:
-            out.append(f" {part}")
-    return out
+#: Characters on whose classes (letter, digit, white space) the two libraries agree.
+COMMON = re.compile("[\\x00-\u024f\u1e00-\u1eff\u2010-\u2027\u20ac]*")
 
 
-def id_encoder(tokenizer_file: str) -> Callable[[list[str]], list[bytes]]:
+def id_encoder(tokenizer_file: str, ranks_file: str | None, pattern: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to their ids as little-endian unsigned 32-bit integers.
 
-    Ids are those of the tokenizers library without special tokens added. Segments are
-    encoded once per task and remembered; a text that holds the string of an added token is
-    encoded whole, since such strings are matched across segments.
+    Ids are those of ``tokenizer_file`` in the tokenizers library, without special tokens
+    added. ``ranks_file`` is the same byte-level vocabulary as merge ranks: where it is given,
+    texts of common characters without the string of an added token are encoded from the
+    ranks, which gives the same ids in a third of the time. Other texts, whose words the
+    libraries might cut differently, always go to the tokenizer.
     """
     state: dict = {}
 
-    def packed(encoding) -> bytes:
-        return np.asarray(encoding.ids, dtype="<u4").tobytes()
+    def start() -> None:
+        # Without this the library keeps a pool of threads that compete with other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        state["tokenizer"] = Tokenizer.from_file(tokenizer_file)
+        state["special"] = [t.content for t in state["tokenizer"].get_added_tokens_decoder().values()]
+        if ranks_file:
+            import base64
+
+            import tiktoken
+
+            with open(ranks_file, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            state["ranks"] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[bytes]:
         if not state:
-            from tokenizers import Tokenizer
-
-            state["tokenizer"] = Tokenizer.from_file(tokenizer_file)
-            added = state["tokenizer"].get_added_tokens_decoder().values()
-            state["special"] = [token.content for token in added]
-            state["memo"] = {}
-        tokenizer, memo = state["tokenizer"], state["memo"]
-        if len(memo) > MEMO_SEGMENTS:
-            memo.clear()
+            start()
         out: list[bytes] = []
         for text in texts:
-            if any(special in text for special in state["special"]):
-                out.append(packed(tokenizer.encode(text, add_special_tokens=False)))
-                continue
-            cut = segments(text)
-            new = [s for s in set(cut) if s not in memo]
-            if new:
-                memo.update(zip(new, map(packed, tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-            out.append(b"".join([memo[s] for s in cut]))
+            if ranks_file and COMMON.fullmatch(text) and not any(s in text for s in state["special"]):
+                ids = state["ranks"].encode_ordinary(text)
+            else:
+                ids = state["tokenizer"].encode(text, add_special_tokens=False).ids
+            out.append(np.asarray(ids, dtype="<u4").tobytes())
         return out
 
     return encode
@@ -101,9 +90,14 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = False,
+    ranks_file: str | None = None,
+    pattern: str = "",
 ) -> DataFrame:
     """Documents as pieces of at most ``window`` ids: id, start, length, ids_crc32, doc_tokens.
 
+    ``tokenizer_file``, ``ranks_file`` and ``pattern``: see ``id_encoder``; the files are paths
+    that every executor has.
+
     ``with_ids`` adds the ids themselves (``ids``, an array of int).
     """
     given = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -119,7 +113,7 @@ def pieces(
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     target = arrow_schema(schema)
-    encode = id_encoder(tokenizer_file)
+    encode = id_encoder(tokenizer_file, ranks_file, pattern)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +191,7 @@ def place(rows: DataFrame, size: str, window: int, group_rows: int, seed: int, k
     return dealt.groupBy("_group").applyInArrow(pack, schema)
 
 
-def pack(cut: DataFrame, window: int, group_rows: int = 16_384, seed: int = 0) -> DataFrame:
+def pack(cut: DataFrame, window: int, group_rows: int = 65_536, seed: int = 0) -> DataFrame:
     """Pieces with the ``sequence_id`` and ``offset`` of each.
 
     Offsets of a sequence run from 0 without a gap; every sequence but those left open at the

@@ -85,7 +85,14 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), WINDOW, END_ID)
+    cut = packing.pieces(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        WINDOW,
+        END_ID,
+        ranks_file=RANKS,
+        pattern=public_tokenizers.PATTERN,
+    )
     return packing.pack(cut, WINDOW).withColumnRenamed("id", "doc_id")
 
 
