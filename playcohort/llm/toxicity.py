@@ -96,10 +96,16 @@ def fit(
     weights: list[float],
     max_features: int,
     min_docs: int = 4,
-    rounds: int = 150,
-    ridge: float = 1e-4,
+    min_evidence: float = 5.0,
+    rounds: int = 300,
+    ridge: float = 2e-4,
 ) -> Model:
-    """Noisy-or likelihood by full-batch Adam over word features."""
+    """Noisy-or likelihood by full-batch Adam over word features.
+
+    Features take part when they are in ``min_docs`` documents of the sample and their share
+    of toxic ones is ``min_evidence`` standard deviations off: rare words that happen to be in
+    a few toxic documents would otherwise explain their labels.
+    """
     y, importance = np.asarray(labels, dtype=bool), np.asarray(weights)
     rate = float(importance[y].sum() / importance.sum()) if len(y) else 0.0
     if not y.any() or y.all():
@@ -130,7 +136,7 @@ def fit(
         n, share = doc_counts[feature], positives / total
         return abs(positive_counts[feature] - n * share) / math.sqrt(n * share * (1 - share))
 
-    kept = [f for f, n in doc_counts.items() if n >= min_docs]
+    kept = [f for f, n in doc_counts.items() if n >= min_docs and evidence(f) >= min_evidence]
     kept.sort(key=lambda f: (-evidence(f), f))
     number = {f: i for i, f in enumerate(kept[:max_features])}
     rows, columns = [], []
