@@ -1,26 +1,49 @@
-"""A corpus in a few stages, each an operator of ``playcohort.llm``.
+"""A corpus in five stages, each an operator of ``playcohort.llm``.
 
 Every stage takes (spark, docs, folder), works on all that its predecessor kept and returns a
-DataFrame; all but the last return the columns of ``documents``.
+DataFrame; all but the last return the columns of ``documents``. Toxic documents go, one
+document of each near-duplicate class stays, documents contaminated by the benchmark go,
+secrets are masked in the texts, and what is left is packed into windows of tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from playcohort.llm import queries
+from playcohort.llm import decontaminate, jaccard_join, queries, secret_scan, toxicity
 from playcohort.llm.common import table
 from playcohort.session import staged
 
 
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, queries.toxicity_model(spark, sf_dir, docs), limit=queries.TOXIC)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs, queries.RANKS, public_tokenizers.PATTERN, length_col="n_chars")
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("packing", packing),
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("packing", pack_windows),
 ]
 
 #: The first stage scores with a trained model, which SQL cannot express.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playcohort.llm import decontaminate, html_extract, packing, quality_rules, secret_scan, sharding, tokens, toxicity
+from playcohort.llm import decontaminate, html_extract, jaccard_join, licences, packing, quality_rules, secret_scan, sharding, tokens, toxicity
 from playcohort.llm.common import table
 
 WINDOW = 2048
@@ -42,6 +42,22 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.classes_of(table(spark, folder, "documents"))
+
+
+def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.find_licences(table(spark, folder, "documents"))
+    families = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"])))
+    spans = F.transform("notices", lambda n: F.concat_ws(":", n["paragraph"], n["family"]))
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.concat_ws(",", families).alias("families"),
+        F.concat_ws(",", spans).alias("notices"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.mark(docs, table(spark, folder, "benchmark"))
@@ -116,6 +132,8 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_licence_scan": op4_licence_scan,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
