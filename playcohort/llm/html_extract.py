@@ -141,7 +141,7 @@ class PageLines(HTMLParser):
         self.pop_to({tag}, () if tag in SCOPES else SCOPES - {tag})
 
     def handle_data(self, data: str) -> None:
-        # The text of scripts, styles and the like is not even collected.
+        # The text of scripts and styles is not even collected.
         if self.open and self.open[-1][0] in ("script", "style"):
             return
         self.text.append(data)
@@ -149,7 +149,15 @@ class PageLines(HTMLParser):
             self.linked += len("".join(data.split()))
 
 
+def without_open_comment(html: str) -> str:
+    """Cut at a comment that never ends, unless a script or style does after it."""
+    at = html.rfind("<!--")
+    open_end = at >= 0 and "-->" not in html[at:] and not re.search(r"(?i)</(script|style)", html[at:])
+    return html[:at] if open_end else html
+
+
 def page_lines(html: str) -> PageLines:
+    html = without_open_comment(html)
     for source in (html, html.replace("<![", "&lt;![")):
         page = PageLines()
         try:

@@ -48,6 +48,7 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 NUMERIC = re.compile(r"[0-9.+/_=-]+([eE][0-9+-]+)?")
+DATE = re.compile(r"[0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}[T_.-]?[0-9.+-]*Z?")
 # Words in lower, upper or title case, camel case included, with short numbers between
 # separators: names of variables, files, hosts and paths.
 IDENTIFIER = re.compile(r"[._/=+-]*(([A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}|[0-9]{1,4})([._/=+-]+(([A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}|[0-9]{1,8}))*[._/=+-]*")
@@ -64,7 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def known(run: str) -> bool:
     """Digests, UUIDs, numbers and identifiers made of words."""
-    if NUMERIC.fullmatch(run) or UUID.fullmatch(run):
+    if NUMERIC.fullmatch(run) or DATE.fullmatch(run) or UUID.fullmatch(run):
         return True
     if len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
         return True

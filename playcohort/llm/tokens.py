@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,17 @@ def adjacent_pairs(processor) -> set[str]:
 
 
 def token_starts(processor, text: str, shift: int = 0) -> list[int]:
-    """Where each token of ``text`` starts, in code points, moved by ``shift``."""
-    return [shift + piece.begin for piece in processor.encode(text, return_type="proto").pieces]
+    """Where each token of ``text`` starts, in code points, moved by ``shift``.
+
+    The library gives offsets in bytes; a token that starts inside a character (one byte of
+    several) counts as starting with it.
+    """
+    begins = [piece.begin for piece in processor.encode(text, return_type="proto").pieces]
+    if text.isascii():
+        return [shift + begin for begin in begins]
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    character = np.append(np.cumsum((raw & 0xC0) != 0x80) - 1, len(text))
+    return (shift + character[begins]).tolist()
 
 
 def common_boundary(
