@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playcohort.llm.common import add_columns, bounded_batches, map_rows, text_of
+from playcohort.llm.common import add_columns, bounded_batches, fresh, map_rows, text_of
 from playcohort.session import staged
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -184,9 +184,9 @@ def mark(
 
         if number == 0:
             return add_columns(df, [text_col], find, added)
-        carried = df.withColumnsRenamed({n: f"{n}_before" for n in (n_words, hits, items)})
-        again = add_columns(carried, [text_col, f"{hits}_before", f"{items}_before"], find, added)
-        return again.drop(*[f"{n}_before" for n in (n_words, hits, items)])
+        before = {n: fresh(df, f"{n}_before") for n in (n_words, hits, items)}
+        again = add_columns(df.withColumnsRenamed(before), [text_col, before[hits], before[items]], find, added)
+        return again.drop(*before.values())
 
     out = marked(docs, 0)
     for number in range(1, blocks):
