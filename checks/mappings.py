@@ -143,7 +143,7 @@ _saved: dict[tuple[int, str], str] = {}
 def saved_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The feature matrix stage as a written table, built once per session: reports and
     clustering read the stage before them."""
-    key = (id(spark.sparkContext), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _saved:
         configure(spark)
         path = f"{scratch_dir(spark)}/user_features"

@@ -8,17 +8,28 @@ from __future__ import annotations
 
 import re
 
-from playcohort.operators.profiles import (
-    ADVICE_CROSS_GENRE,
-    ADVICE_DEEP_GENRE,
-    ADVICE_FAVOURITES,
-    ADVICE_LONG_SESSION,
-    ADVICE_NEW_ARTISTS,
-    ADVICE_OFFLINE,
-    ADVICE_WEEKEND,
-    NAME_TAGS,
-    REPORT_FEATURES,
-)
+# Fixed values, written out again so that a wrong entry in the library shows.
+NAME_TAGS = [
+    ("artist_entropy", "Diverse", "Focused"),
+    ("genre_entropy", "Genre-Diverse", "Genre-Focused"),
+    ("track_replay_rate", "High-Replay", "Low-Replay"),
+    ("novelty_ratio", "Explorer", "Loyalist"),
+    ("discovery_velocity_30d", "Fast-Discovery", "Slow-Discovery"),
+    ("temporal_hour_entropy", "All-Hours", "Routine-Hours"),
+    ("weekend_ratio", "Weekend", "Weekday"),
+    ("avg_tracks_per_session", "Long-Sessions", "Short-Sessions"),
+]
+REPORT_FEATURES = [
+    "artist_entropy", "genre_entropy", "unique_artists", "track_replay_rate", "novelty_ratio",
+    "discovery_velocity_30d", "avg_tracks_per_session", "weekend_ratio", "temporal_hour_entropy",
+]
+ADVICE_NEW_ARTISTS = "→ Prioritise new artist recommendations and discovery playlists"
+ADVICE_FAVOURITES = "→ Emphasise \"More like your favourites\" and artist radio"
+ADVICE_OFFLINE = "→ Offer offline mode / download prompts for favourite tracks"
+ADVICE_CROSS_GENRE = "→ Cross-genre mood playlists and genre-blend features work well"
+ADVICE_DEEP_GENRE = "→ Deep-dive genre playlists and artist discography features"
+ADVICE_WEEKEND = "→ Target weekend push notifications and curated weekend playlists"
+ADVICE_LONG_SESSION = "→ Long-session features: auto-queuing, seamless transitions, sleep timer"
 
 AS_OF = "TIMESTAMP '2000-06-01'"
 AUDIO = [
@@ -755,3 +766,17 @@ SELECT lower(artist_name) AS artist_name_normalized,
        CASE WHEN k % 3 <> 0 THEN 'g' || (k % 5) ELSE '' END AS genres,
        {big('CASE WHEN k % 3 <> 0 THEN k % 100 END', 'popularity')}
 FROM (SELECT DISTINCT artist_name, CAST(substr(artist_name, 2) AS BIGINT) AS k FROM plays_l WHERE artist_name IS NOT NULL)""")
+
+
+# -- facts about models ----------------------------------------------------------------
+
+_USERS = "FROM (SELECT count(DISTINCT userid) AS n FROM plays_l)"
+oracle("pca_facts", f"""
+SELECT {big('n', 'users')}, {big('0', 'variance_lost')}, {big('0', 'correlated')} {_USERS}""")
+oracle("kmeans_facts", f"""
+SELECT {big('n', 'users')}, {big('n', 'labelled')}, {big('0', 'nearer_elsewhere')}, {big('8', 'tried')},
+       {big('0', 'rising')} {_USERS}""")
+oracle("pipeline_facts", f"""
+SELECT {big('n', 'users')}, {big('n', 'labelled')}, {big('0', 'noise')}, {big('0', 'scores_off')} {_USERS}""")
+oracle("importance_facts", f"""
+SELECT {big('38', 'features')}, {big('38', 'named')}, CAST(1 AS DOUBLE) AS total, {big('0', 'negative')}""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -16,7 +17,7 @@ from playcohort.plans import clustering as plan_clustering
 from playcohort.plans.enrichment import ARTIST_ANSWER
 from playcohort.plans.features import build_feature_matrix
 from playcohort.schemas import ARTIST_GENRES
-from playcohort.session import configure, scratch_dir
+from playcohort.session import configure, scratch_dir, staged
 from playcohort.sources import ingest, lookup, parquet, tsv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,9 +235,9 @@ def q_feature_block_outer_join(spark, sf):
         blocks.join_feature_blocks(
             [
                 diversity.artist_diversity(m.plays_l(spark, sf)),
-                temporal.temporal_features(m.plays_e(spark, sf), with_stability=False),
+                temporal.temporal_features(m.plays_e(spark, sf)),
             ]
-        )
+        ).drop(*STABILITY)
     )
 
 
@@ -491,7 +492,8 @@ def q_hour_profile(spark, sf):
 
 @query
 def q_temporal_features(spark, sf):
-    return r6(temporal.temporal_features(m.plays_e(spark, sf), with_stability=False))
+    """The whole block; its scores on principal axes, which SQL cannot give, are in ``temporal_pca``."""
+    return r6(temporal.temporal_features(m.plays_e(spark, sf)).drop(*STABILITY))
 
 
 @query
@@ -512,7 +514,7 @@ def _matrix(spark, sf, **options):
 
 @query
 def q_feature_matrix(spark, sf):
-    return r6(_matrix(spark, sf, with_stability=False))
+    return r6(_matrix(spark, sf).drop(*STABILITY))
 
 
 @query
@@ -552,8 +554,9 @@ def q_value_counts(spark, sf):
 
 
 def _correlations(spark, sf):
-    matrix = m.saved_matrix(spark, sf).drop(*STABILITY)
-    return explore.correlation_matrix(matrix)
+    """Of all 38 features; pairs with a principal score are left out of the compared rows."""
+    pairs = explore.correlation_matrix(m.saved_matrix(spark, sf))
+    return pairs.where(~F.col("feat_a").isin(STABILITY) & ~F.col("feat_b").isin(STABILITY))
 
 
 @query
@@ -675,14 +678,14 @@ def q_scalar_checks(spark, sf):
 
 @query
 def q_median_impute(spark, sf):
-    imputed, _ = prep.median_impute(m.saved_matrix(spark, sf).drop(*STABILITY))
-    return r6(imputed)
+    imputed, _ = prep.median_impute(m.saved_matrix(spark, sf))
+    return r6(imputed.drop(*STABILITY))
 
 
 @query
 def q_standard_scale(spark, sf):
-    scaled, _ = prep.preprocess(m.saved_matrix(spark, sf).drop(*STABILITY))
-    return r6(scaled)
+    scaled, _ = prep.preprocess(m.saved_matrix(spark, sf))
+    return r6(scaled.drop(*STABILITY))
 
 
 def user_vectors(spark, sf) -> DataFrame:
@@ -694,6 +697,31 @@ def _as_array(df: DataFrame) -> DataFrame:
     return df.withColumn("features", vector_to_array("features"))
 
 
+@query
+def q_pca_facts(spark, sf):
+    """What must hold for principal scores, whatever their signs: as many users as rows, all
+    axes kept give the variance of the scaled features back, and no two axes correlate."""
+    vectors = staged(user_vectors(spark, sf))
+    reduced, _ = prep.pca_reduce(vectors, 1.0)
+    scores = staged(_as_array(reduced).select("userid", F.posexplode("features").alias("axis", "score")))
+    total = scores.groupBy("axis").agg(F.var_samp("score").alias("v")).agg(F.sum("v").alias("v"))
+    given = _as_array(vectors).select(F.posexplode("features").alias("axis", "score"))
+    given = given.groupBy("axis").agg(F.var_samp("score").alias("v")).agg(F.sum("v").alias("w"))
+    one, two = scores.alias("one"), scores.alias("two")
+    pairs = (
+        one.join(two, "userid").where(F.col("one.axis") < F.col("two.axis"))
+        .groupBy("one.axis", "two.axis").agg(F.covar_samp("one.score", "two.score").alias("c"))
+        .agg(F.count(F.when(F.abs("c") > 1e-6, 1)).alias("correlated"))
+    )
+    users = scores.agg(F.count_distinct("userid").alias("users"))
+    numbers = [df.first()[0] for df in (users, total, given, pairs)]
+    lost = abs(numbers[1] - numbers[2]) > 1e-6 * numbers[2]
+    return spark.range(1).select(
+        F.lit(numbers[0]).alias("users"), F.lit(int(lost)).cast("bigint").alias("variance_lost"),
+        F.lit(numbers[3]).alias("correlated"),
+    )
+
+
 @query
 def q_pca_reduce(spark, sf):
     reduced, _ = prep.pca_reduce(user_vectors(spark, sf), 0.95)
@@ -701,17 +729,54 @@ def q_pca_reduce(spark, sf):
     return r6(long)
 
 
+@lru_cache(maxsize=None)
+def _sweep(app: str, spark, sf):
+    """The whole sweep, k 3 to 10 with 20 starts each, fitted once per application."""
+    space = staged(prep.pca_reduce(user_vectors(spark, sf), 0.95)[0])
+    return space, cluster.kmeans_sweep(space)
+
+
+def sweep(spark, sf):
+    return _sweep(spark.sparkContext.applicationId, spark, sf)
+
+
 @query
 def q_kmeans_sweep(spark, sf):
-    space, _ = prep.pca_reduce(user_vectors(spark, sf), 0.95)
-    return cluster.kmeans_sweep(space, (3, 6), n_init=2).labels
+    return sweep(spark, sf)[1].labels
 
 
 @query
 def q_elbow_table(spark, sf):
-    vectors = quality.as_vectors(m.vectors(spark, sf))
-    sweep = cluster.kmeans_sweep(vectors, (3, 6), n_init=2, id_col="vec_id")
-    return quality.elbow_table(spark, sweep.inertias, sweep.silhouettes)
+    fitted = sweep(spark, sf)[1]
+    return quality.elbow_table(spark, fitted.inertias, fitted.silhouettes)
+
+
+@query
+def q_kmeans_facts(spark, sf):
+    """What must hold for a sweep, whatever the start: every user has one label, all k were
+    tried, nobody is nearer to another centre, and no larger k costs more than 1 % more."""
+    space, fitted = sweep(spark, sf)
+    centres = [[float(v) for v in c] for c in fitted.models[fitted.best_k].clusterCenters()]
+    point = vector_to_array("features")
+    away = F.array(*[
+        F.aggregate(
+            F.zip_with(point, F.array(*[F.lit(v) for v in c]), lambda a, b: (a - b) * (a - b)),
+            F.lit(0.0), lambda total, v: total + v,
+        )
+        for c in centres
+    ])
+    placed = space.join(fitted.labels, "userid").select("userid", "cluster", away.alias("away"))
+    own = F.element_at("away", F.col("cluster") + 1)
+    costs = [fitted.inertias[k] for k in sorted(fitted.inertias)]
+    return placed.agg(
+        F.count("*").alias("users"),
+        F.count_distinct("userid").alias("labelled"),
+        F.count(F.when(own > F.array_min("away") + 1e-6, 1)).alias("nearer_elsewhere"),
+    ).select(
+        "users", "labelled", "nearer_elsewhere",
+        F.lit(len(costs)).cast("bigint").alias("tried"),
+        F.lit(sum(b > 1.01 * a for a, b in zip(costs, costs[1:]))).cast("bigint").alias("rising"),
+    )
 
 
 @query
@@ -721,7 +786,7 @@ def q_density_cluster(spark, sf):
 
 @query
 def q_density_auto(spark, sf):
-    return density.choose_eps(m.vectors(spark, sf), 5, 5, (0.05, 0.1, 0.25), "vec_id")[1]
+    return density.choose_eps(m.vectors(spark, sf), 5, 5, id_col="vec_id")[1]
 
 
 @query
@@ -736,18 +801,38 @@ def q_embed_2d(spark, sf):
 
 @query
 def q_clustering_pipeline(spark, sf):
-    result = plan_clustering.run_clustering(m.saved_matrix(spark, sf), k_range=(3, 5), n_init=2)
-    return result.labels.join(result.coordinates, "userid")
+    return _run(spark.sparkContext.applicationId, spark, sf, "kmeans").assignments
+
+
+@lru_cache(maxsize=None)
+def _run(app: str, spark, sf, algorithm: str):
+    """A run with all defaults, made once per application."""
+    return plan_clustering.run_clustering(m.saved_matrix(spark, sf), algorithm)
 
 
 @query
 def q_model_selection(spark, sf):
-    matrix = m.saved_matrix(spark, sf)
-    results = [
-        plan_clustering.run_clustering(matrix, "kmeans", k_range=(3, 4), n_init=2, use_viz=False),
-        plan_clustering.run_clustering(matrix, "density", use_viz=False),
-    ]
-    return plan_clustering.compare(results, spark)
+    app = spark.sparkContext.applicationId
+    return plan_clustering.compare([_run(app, spark, sf, kind) for kind in ("kmeans", "density")])
+
+
+@query
+def q_pipeline_facts(spark, sf):
+    """One label per user, and a score that is that of its labels when taken anew."""
+    result = _run(spark.sparkContext.applicationId, spark, sf, "kmeans")
+    points = result.space.join(result.assignments.select("userid", "cluster"), "userid")
+    again = {
+        "silhouette": quality.silhouette_exact(points).first()["silhouette"],
+        "davies_bouldin": quality.davies_bouldin(points),
+        "calinski_harabasz": quality.calinski_harabasz(points),
+    }
+    off = sum(abs(again[k] - result.score[k]) > 1e-6 * max(1.0, abs(again[k])) for k in again)
+    return points.agg(
+        F.count("*").alias("users"),
+        F.count_distinct("userid").alias("labelled"),
+        F.count(F.when(F.col("cluster") < 0, 1)).alias("noise"),
+        F.lit(off).cast("bigint").alias("scores_off"),
+    )
 
 
 # -- quality ---------------------------------------------------------------------------
@@ -791,25 +876,50 @@ def q_silhouette_stability(spark, sf):
 
 @query
 def q_feature_importance(spark, sf):
-    return importance.feature_importance(m.saved_matrix(spark, sf), m.labels(spark, sf))
+    return _importances(spark, sf)
+
+
+@lru_cache(maxsize=None)
+def _forest(app: str, spark, sf):
+    return staged(importance.feature_importance(m.saved_matrix(spark, sf), m.labels(spark, sf)))
+
+
+def _importances(spark, sf):
+    """The whole forest, 200 full trees, grown once per application."""
+    return _forest(spark.sparkContext.applicationId, spark, sf).orderBy(F.desc("importance"), "feature")
 
 
 @query
 def q_top_importances(spark, sf):
-    table = importance.feature_importance(m.saved_matrix(spark, sf), m.labels(spark, sf), n_trees=50)
-    return importance.top_importances(table, 10)
+    return importance.top_importances(_importances(spark, sf), 10)
+
+
+@query
+def q_importance_facts(spark, sf):
+    """One row per feature, shares that sum to one, none below zero."""
+    return _importances(spark, sf).agg(
+        F.count("*").alias("features"),
+        F.count_distinct("feature").alias("named"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.count(F.when(F.col("importance") < 0, 1)).alias("negative"),
+    )
 
 
 # -- profiles --------------------------------------------------------------------------
 
 
 def _report_matrix(spark, sf):
-    return m.saved_matrix(spark, sf).drop(*STABILITY)
+    return m.saved_matrix(spark, sf)
+
+
+def _comparable(df: DataFrame) -> DataFrame:
+    """Without the rows of the principal scores, which SQL cannot give."""
+    return df.where(~F.col("feature").isin(STABILITY))
 
 
 @query
 def q_cluster_summary(spark, sf):
-    return r6(prof.cluster_summary(_report_matrix(spark, sf), m.labels(spark, sf)))
+    return r6(_comparable(prof.cluster_summary(_report_matrix(spark, sf), m.labels(spark, sf))))
 
 
 @query
@@ -824,7 +934,7 @@ def q_cluster_labels(spark, sf):
 
 @query
 def q_cluster_zscore_heatmap(spark, sf):
-    return r6(prof.cluster_zscore_heatmap(_report_matrix(spark, sf), m.labels(spark, sf)))
+    return r6(_comparable(prof.cluster_zscore_heatmap(_report_matrix(spark, sf), m.labels(spark, sf))))
 
 
 @query

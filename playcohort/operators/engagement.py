@@ -19,12 +19,17 @@ from playcohort.session import staged
 
 DISCOVERY_WINDOWS = (30, 90)
 NOVELTY_DAYS = 90
+#: Edge slots, one per user at most, that are broadcast: three narrow columns, some 20 MB.
+EDGES_SENT = 250_000
 
 
 def edge_plays(plays: DataFrame, clock: DataFrame, gap_minutes: float = 30) -> DataFrame:
     """Per user the plays of their edge slot that fall at or after their cutoff.
 
-    Joined on (userid, slot), so a heavy user's plays are spread over their slots.
+    ``clock`` is read twice and should be staged. Edge slots are counted first: without any
+    the plays are not read at all; up to ``EDGES_SENT`` of them are sent to the plays, which
+    are then reduced where they lie; more are joined on (userid, slot), so a heavy user's
+    plays are spread over their slots.
     """
     events = plays.where(F.col("userid").isNotNull()).select(
         "userid", micros(F.col("timestamp")).alias("us")
@@ -33,6 +38,11 @@ def edge_plays(plays: DataFrame, clock: DataFrame, gap_minutes: float = 30) -> D
     edges = clock.where(F.col("edge_slot").isNotNull()).select(
         "userid", F.col("edge_slot").alias("slot"), "cutoff_us"
     )
+    n = edges.count()
+    if n == 0:
+        return edges.select("userid", F.lit(0).cast("bigint").alias("recent_edge"))
+    if n <= EDGES_SENT:
+        edges = F.broadcast(edges)
     return (
         events.join(edges, ["userid", "slot"])
         .where(F.col("us") >= F.col("cutoff_us"))

@@ -7,22 +7,27 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, functions as F
 
 from playcohort.operators.prep import assemble, median_impute
+from playcohort.session import staged
+
+#: The deepest trees that MLlib grows.
+FULL_DEPTH = 30
 
 
 def feature_importance(
     matrix: DataFrame,
     labels: DataFrame,
     n_trees: int = 200,
-    max_depth: int = 5,
+    max_depth: int = FULL_DEPTH,
     seed: int = 42,
 ) -> DataFrame:
     """(feature, importance), strongest first, of a random forest that predicts the cluster
-    from the imputed features. Noise users take no part."""
+    from the imputed features. Noise users take no part. Trees are grown in full, as far as
+    the library goes; the rows are staged, since the indexer and every level read them."""
     kept = labels.where(F.col("cluster") != -1).select("userid", "cluster")
     users = matrix.join(kept.select("userid"), "userid", "left_semi")
     imputed, names = median_impute(users)
     rows = assemble(imputed, names).join(kept, "userid")
-    rows = rows.withColumn("cluster", F.col("cluster").cast("string"))
+    rows = staged(rows.withColumn("cluster", F.col("cluster").cast("string")))
     indexed = StringIndexer(inputCol="cluster", outputCol="label").fit(rows).transform(rows)
     forest = RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, seed=seed).fit(
         indexed.select("features", "label")

@@ -68,9 +68,15 @@ def over_block_pairs(
 
 def distance_strips(a, b, cells: int = _STRIP_CELLS):
     """Euclidean distances of the rows of ``a`` to all rows of ``b``, a strip at a time; a
-    strip has a bounded number of entries."""
+    strip has a bounded number of entries.
+
+    Both sides are moved to the middle of ``a`` first: the product form loses the digits that
+    a large common offset takes up.
+    """
     import numpy as np
 
+    middle = a.mean(axis=0)
+    a, b = a - middle, b - middle
     rows = max(1, cells // max(1, len(b)))
     bb = (b * b).sum(axis=1)
     for start in range(0, len(a), rows):

@@ -19,8 +19,9 @@ from playcohort.functions.columns import (
 )
 from playcohort.functions.quantiles import exact_quantiles
 from playcohort.operators.diversity import genre_join
-from playcohort.operators.topk import head_per_group, top_genres
+from playcohort.operators.topk import head_per_group, rank_genres
 from playcohort.schemas import DEMOGRAPHICS
+from playcohort.session import staged
 
 # Features a cluster is named after, in order, with the words for a mean well
 # above and well below the global one.
@@ -182,14 +183,21 @@ def genre_share_by_cluster(
     """(cluster, genre, proportion): how the plays of the overall top genres spread inside
     each cluster; missing combinations are 0, noise is left out.
 
-    Plays shrink to (user, artist), then to (cluster, artist) before they meet the genres.
+    Plays are scanned once and shrink to (user, artist); both the ranking of the genres and
+    the shares derive from that staged roll-up, the latter by (cluster, artist).
     """
-    top = [r["genre"] for r in top_genres(plays, artist_genres, top_n).collect()]  # top_n names
-    by_user = (
+    by_user = staged(
         plays.where(F.col("artist_name").isNotNull())
         .groupBy("userid", "artist_name")
         .agg(F.count(F.lit(1)).alias("plays"))
     )
+    by_artist = by_user.groupBy("artist_name").agg(F.sum("plays").alias("plays"))
+    best_first = Window.orderBy(F.desc("plays"), "genre")  # over top_n rows
+    top = staged(
+        rank_genres(genre_join(by_artist, artist_genres), top_n).select(
+            "genre", F.row_number().over(best_first).alias("place")
+        )
+    )
     by_cluster = (
         by_user.join(labels.where(F.col("cluster") != -1).select("userid", "cluster"), "userid")
         .groupBy("cluster", "artist_name")
@@ -198,21 +206,18 @@ def genre_share_by_cluster(
     counts = (
         genre_join(by_cluster, artist_genres)
         .select("cluster", "plays", F.explode("genres").alias("genre"))
-        .where(F.col("genre").isin(top))
+        .join(top.select("genre"), "genre", "left_semi")
         .groupBy("cluster", "genre")
         .agg(F.sum("plays").alias("plays"))
     )
     per_cluster = counts.groupBy("cluster").agg(
-        F.sum("plays").alias("total"),
-        *[F.coalesce(F.sum(F.when(F.col("genre") == g, F.col("plays"))), F.lit(0)).alias(f"g{i}")
-          for i, g in enumerate(top)],
-    )
-    cells = F.array(*[
-        F.struct(F.lit(g).alias("genre"), F.col(f"g{i}").alias("plays")) for i, g in enumerate(top)
-    ]) if top else F.array().cast("array<struct<genre:string,plays:bigint>>")
-    return per_cluster.select("cluster", "total", F.explode(cells).alias("c")).select(
-        "cluster", F.col("c.genre").alias("genre"), ratio(F.col("c.plays"), F.col("total")).alias("proportion")
+        F.sum("plays").alias("total"), F.map_from_entries(F.collect_list(F.struct("genre", "plays"))).alias("by_genre")
     )
+    # Each cluster lists all of the top genres.
+    places = F.explode(F.sequence(F.lit(1), F.lit(top_n)))
+    cells = per_cluster.withColumn("place", places).join(top, "place")
+    found = F.coalesce(F.try_element_at("by_genre", F.col("genre")), F.lit(0))
+    return cells.select("cluster", "genre", ratio(found, F.col("total")).alias("proportion"))
 
 
 def activity_heatmap(plays: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,6 +33,10 @@ def as_vectors(points: DataFrame) -> DataFrame:
     return points
 
 
+#: Numbers in a strip of the table of differences between cluster centres.
+_CENTRE_CELLS = 1 << 22
+
+
 # -- silhouette -----------------------------------------------------------------------
 
 
@@ -59,7 +63,8 @@ def _silhouettes(points: DataFrame, labellings: int, block_rows: int | None) ->
     def indicator(frame):
         import numpy as np
 
-        labs = np.array([np.asarray(v, dtype=float) for v in frame["labs"]])
+        # A null label, where the point takes no part, is NaN and equals no cluster.
+        labs = np.stack(frame["labs"].to_numpy()).astype(float)
         out = np.zeros((len(frame), width))
         for (labelling, cluster), slot in slots.items():
             out[:, slot] = labs[:, labelling] == cluster
@@ -103,11 +108,11 @@ def _silhouettes(points: DataFrame, labellings: int, block_rows: int | None) ->
         [(i, r["labelling"], r["cluster"], r["size"]) for i, r in enumerate(sizes)],
         "slot int, labelling int, to int, size bigint",
     )
-    totals = (
-        partial.select("id", F.posexplode("sums").alias("slot", "part"))
-        .groupBy("id", "slot")
-        .agg(F.sum("part").alias("total"))
-        .join(F.broadcast(table), "slot")
+    # Whole vectors are added, so what is shuffled is one row per point and cell; the sums
+    # are taken apart only when they are finished.
+    added = partial.groupBy("id").agg(Summarizer.sum(array_to_vector("sums")).alias("sums"))
+    totals = added.select("id", F.posexplode(vector_to_array("sums")).alias("slot", "total")).join(
+        table, "slot"
     )
     own = points.select("id", F.posexplode("labs").alias("labelling", "cluster")).where(
         F.col("cluster").isNotNull()
@@ -134,7 +139,8 @@ def silhouette_samples(
 ) -> DataFrame:
     """(id, cluster, silhouette) of every point that is not noise."""
     arrays = point_arrays(drop_noise(points), id_col)
-    arrays = arrays.select("id", "x", F.array(F.col("cluster").cast("int")).alias("labs"))
+    # Sizes, count, blocks and own labels are read from it.
+    arrays = staged(arrays.select("id", "x", F.array(F.col("cluster").cast("int")).alias("labs")))
     out = _silhouettes(arrays, 1, block_rows)
     return out.select(F.col("id").alias(id_col), "cluster", F.col("s").alias("silhouette"))
 
@@ -158,22 +164,15 @@ def silhouette_by_labelling(
 
 
 def silhouette_squared(points: DataFrame) -> float:
-    """MLlib's linear-cost silhouette with squared distances: a different number, for tables
-    where quadratic work is out of reach."""
+    """MLlib's linear-cost silhouette with squared distances: a different number, for callers
+    who ask for it because quadratic work is out of reach."""
     kept = as_vectors(drop_noise(points)).select("features", F.col("cluster").cast("int"))
     return ClusteringEvaluator(predictionCol="cluster", distanceMeasure="squaredEuclidean").evaluate(kept)
 
 
-EXACT_LIMIT = 500_000
-
-
-def silhouette_kind(kind: str, points: DataFrame) -> str:
-    """Resolve "auto" by the number of points. Either measure uses every point."""
-    if kind not in ("auto", "exact", "squared"):
-        raise ValueError(f"Unknown silhouette: {kind!r}. Choose 'auto', 'exact' or 'squared'.")
-    if kind != "auto":
-        return kind
-    return "exact" if points.count() <= EXACT_LIMIT else "squared"
+def check_silhouette(kind: str) -> None:
+    if kind not in ("exact", "squared"):
+        raise ValueError(f"the silhouette is 'exact' or 'squared', not {kind!r}")
 
 
 def subsample_memberships(
@@ -310,8 +309,8 @@ def _distance_to(centre: Column, x: Column) -> Column:
 def davies_bouldin(points: DataFrame, centroids: Centroids | None = None) -> float:
     """Mean over clusters of the worst (S_i + S_j) / M_ij.
 
-    The spread S needs a second pass; the centres, which are model-sized, travel to the
-    tasks as one literal map.
+    The spread S needs a second pass over the points. Distances of the centres are taken a
+    strip of clusters at a time, so the driver never holds more than the centres and a strip.
     """
     c = centroids or fit_centroids(points)
     k = len(c.cluster)
@@ -328,22 +327,26 @@ def davies_bouldin(points: DataFrame, centroids: Centroids | None = None) -> flo
         if isinstance(points.schema["features"].dataType, T.ArrayType)
         else vector_to_array("features"),
     )
-    # The centre table was collected above, so its size is known.
     rows = (
         arrays.select(F.col("cluster").cast("int").alias("cluster"), "x")
-        .join(F.broadcast(table), "cluster")
+        .join(table, "cluster")
         .groupBy("cluster")
         .agg(F.avg(_distance_to(F.col("centre"), F.col("x"))).alias("s"))
         .collect()
     )
     spread_of = {r["cluster"]: r["s"] for r in rows}
     s = np.array([spread_of[i] for i in c.cluster])
-    m = np.sqrt(((c.centre[:, None, :] - c.centre[None, :, :]) ** 2).sum(axis=2))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = (s[:, None] + s[None, :]) / m
-    np.fill_diagonal(r, 0.0)
-    r[~np.isfinite(r)] = 0.0
-    return float(r.max(axis=1).mean())
+    worst = np.zeros(k)
+    strip = max(1, _CENTRE_CELLS // (k * c.centre.shape[1]))
+    for start in range(0, k, strip):
+        part = slice(start, min(k, start + strip))
+        m = np.sqrt(((c.centre[part, None, :] - c.centre[None, :, :]) ** 2).sum(axis=2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (s[part, None] + s[None, :]) / m
+        r[np.arange(len(r)), np.arange(part.start, part.stop)] = 0.0
+        r[~np.isfinite(r)] = 0.0
+        worst[part] = r.max(axis=1)
+    return float(worst.mean())
 
 
 def quality_row(spark: SparkSession, **values: float) -> DataFrame:

@@ -62,7 +62,11 @@ def artist_key_plays(plays: DataFrame) -> DataFrame:
 
 def top_genres(plays: DataFrame, artist_genres: DataFrame, n: int = 10) -> DataFrame:
     """The n most played genres over all plays; ties by name."""
-    tagged = genre_join(artist_key_plays(plays), artist_genres)
+    return rank_genres(genre_join(artist_key_plays(plays), artist_genres), n)
+
+
+def rank_genres(tagged: DataFrame, n: int) -> DataFrame:
+    """The n genres with the most plays among rows of plays and genre tags."""
     return (
         tagged.select("plays", F.explode("genres").alias("genre"))
         .where(F.col("genre").isNotNull() & (F.col("genre") != ""))

@@ -39,8 +39,28 @@ def build_session(
     return configure(builder.getOrCreate())
 
 
+_local_base: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables."""
+    return f"{_scratch_base(spark)}/playcohort-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application. DataFrames that still read them, and
+    whatever was returned lazily, cannot be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path in this application's run folder; ``release`` removes them all."""
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _scratch_base(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
     A machine-local folder is used only by a local master without that setting; on a
     cluster the setting is required, since executors do not share a local disk.
@@ -50,10 +70,11 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="playcohort-")
+        app = sc.applicationId
+        base = _local_base[app] = _local_base.get(app) or tempfile.mkdtemp(prefix="playcohort-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -89,13 +89,13 @@ def test_pipeline_and_selection(spark, sf):
     matrix = m.saved_matrix(spark, sf)
     km = clustering.run_clustering(matrix, "kmeans", k_range=(3, 4), n_init=1)
     dens = clustering.run_clustering(matrix, "density", eps=4.0, min_cluster_size=5, use_viz=False)
-    assert km.labels.count() == matrix.count() == km.coordinates.count()
-    assert km.n_clusters in (3, 4) and -1 <= km.silhouette <= 1 and km.noise == 0
+    assert km.assignments.count() == matrix.count() and "umap_x" in km.assignments.columns
+    assert km.score["clusters"] in (3, 4) and -1 <= km.score["silhouette"] <= 1 and km.score["noise_points"] == 0
     mean, spread = clustering.stability(km, replicates=3).first()
     assert -1 <= mean <= 1 and spread >= 0
-    table = clustering.compare([km, dens], spark).collect()
+    table = clustering.compare([km, dens]).collect()
     best = clustering.select_best([km, dens])
-    assert table[0]["silhouette"] == best.silhouette
+    assert table[0]["silhouette"] == best.score["silhouette"]
 
 
 def test_report_has_every_table(spark, sf):
