@@ -154,13 +154,14 @@ def thresholds(sketch: DataFrame, reach: int, least_rows: int) -> DataFrame:
     """Fences of every (language, source), each from the finest sketch with enough rows."""
     by_source = fences(sketch, ["lang", "source"], reach, "source")
     by_lang = fences(merged(sketch, ["lang"]), ["lang"], reach, "lang").withColumnRenamed("lang", "_lang")
-    overall = fences(merged(sketch, []), [], reach, "all")
-    joined = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).crossJoin(F.broadcast(overall))
+    # The fences of the whole corpus are one row of a few numbers.
+    overall = fences(merged(sketch, []), [], reach, "all").first().asDict()
+    joined = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")))
     names = [f"{r}_high" for r in RATIOS] + [f"{r}_low" for r in RATIOS if r in LOWER]
     chosen = [
         F.when(F.col("source_n") >= least_rows, F.col(f"source_{name}"))
         .when(F.col("lang_n") >= least_rows, F.col(f"lang_{name}"))
-        .otherwise(F.col(f"all_{name}"))
+        .otherwise(F.lit(overall[f"all_{name}"]).cast("bigint"))
         .alias(name)
         for name in names
     ]
