@@ -456,6 +456,25 @@ UNION ALL
 SELECT DISTINCT lower(artist_name), NULL, '', CAST(NULL AS BIGINT) FROM plays_l
 WHERE artist_name IS NOT NULL AND lower(artist_name) NOT IN (SELECT artist_name_normalized FROM genres_l)""")
 
+oracle("lookup_missing_tracks", """
+SELECT lower(artist_name || '|||' || track_name) AS track_key, min(artist_name) AS artist_name,
+       min(track_name) AS track_name
+FROM plays_l WHERE artist_name IS NOT NULL AND track_name IS NOT NULL
+  AND lower(artist_name || '|||' || track_name) NOT IN (SELECT track_key FROM audio_l WHERE energy IS NOT NULL)
+GROUP BY 1""")
+oracle("lookup_upsert_tracks", f"""
+SELECT track_key, {num('energy', 'energy')}, CAST(NULL AS VARCHAR) AS track_spotify_id FROM audio_l WHERE energy IS NOT NULL
+UNION ALL
+SELECT DISTINCT lower(artist_name || '|||' || track_name),
+       CASE WHEN CAST(right(track_name, 1) AS INT) < 4 THEN CAST(right(track_name, 1) AS INT) / 10.0 END,
+       CASE WHEN CAST(right(track_name, 1) AS INT) < 4 THEN 'id_' || lower(artist_name || '|||' || track_name) END
+FROM plays_l WHERE artist_name IS NOT NULL AND track_name IS NOT NULL AND CAST(right(track_name, 1) AS INT) < 7
+  AND lower(artist_name || '|||' || track_name) NOT IN (SELECT track_key FROM audio_l WHERE energy IS NOT NULL)""")
+oracle("enrichment_users", f"""
+SELECT DISTINCT trim(CAST(o_custkey AS VARCHAR)) AS userid FROM order_lines
+WHERE l_linenumber NOT IN (2, 4, 5, 6) AND CAST(o_custkey AS VARCHAR) NOT IN (
+  SELECT userid FROM plays_l WHERE ts BETWEEN {AS_OF} - INTERVAL 1825 DAY AND {AS_OF} GROUP BY userid HAVING count(*) >= 20)""")
+
 # -- diversity -------------------------------------------------------------------------
 
 oracle("artist_play_counts", """
@@ -524,24 +543,24 @@ UNION ALL SELECT 'last_play', CAST(epoch_us(max(ts)) // 1000000 AS BIGINT) FROM
 UNION ALL SELECT 'artists', count(*) FROM genres_l
 UNION ALL SELECT 'artists_matched', count(spotify_artist_id) FROM genres_l
 UNION ALL SELECT 'tracks', count(*) FROM audio_l""")
-DESCRIBED = [c for c, _ in ARTIST_COLS]
 oracle("feature_describe", f"""
 SELECT feature, count(value) AS count, {num('avg(value)', 'mean')}, {num('stddev_samp(value)', 'std')},
        {num('min(value)', 'min')}, {num('max(value)', 'max')}, {num('quantile_cont(value, 0.25)', 'q25')},
        {num('quantile_cont(value, 0.5)', 'q50')}, {num('quantile_cont(value, 0.75)', 'q75')}
-FROM ({long_form('artist_l', 'userid', DESCRIBED)}) GROUP BY feature""")
+FROM matrix_long GROUP BY feature""")
 oracle("feature_histogram", f"""
 SELECT e.feature, CAST(e.bin AS BIGINT) AS bin, {num('lo + span * e.bin / 30', 'bin_lo')},
        {num('lo + span * (e.bin + 1) / 30', 'bin_hi')}, coalesce(c.n, 0) AS n
 FROM (SELECT * FROM (SELECT feature, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo,
                CASE WHEN min(value) = max(value) THEN 1.0 ELSE max(value) - min(value) END AS span
-               FROM ({long_form('artist_l', 'userid', DESCRIBED[:2])}) GROUP BY feature), range(0, 30) r(bin)) e
+               FROM matrix_long GROUP BY feature), range(0, 30) r(bin)) e
 LEFT JOIN (
-  SELECT feature, least(CAST(floor((value - mn) / (CASE WHEN mx = mn THEN 1.0 ELSE mx - mn END) * 30) AS BIGINT), 29) AS bin,
+  SELECT feature, least(CAST(floor((value - mn) / span * 30) AS BIGINT), 29) AS bin,
          count(*) AS n
   FROM (SELECT *, CASE WHEN min(value) OVER w = max(value) OVER w THEN min(value) OVER w - 0.5
-                       ELSE min(value) OVER w END AS mn, max(value) OVER w AS mx
-        FROM ({long_form('artist_l', 'userid', DESCRIBED[:2])}) WINDOW w AS (PARTITION BY feature))
+                       ELSE min(value) OVER w END AS mn,
+               CASE WHEN min(value) OVER w = max(value) OVER w THEN 1.0 ELSE max(value) OVER w - min(value) OVER w END AS span
+        FROM matrix_long WINDOW w AS (PARTITION BY feature))
   GROUP BY 1, 2) c ON e.feature = c.feature AND e.bin = c.bin""")
 oracle("value_counts", """
 SELECT 'gender' AS "column", gender AS value, count(*) AS n FROM profiles_l WHERE gender IS NOT NULL GROUP BY gender
@@ -580,12 +599,14 @@ FROM (SELECT userid, artist_name, track_name, count(*) AS play_count,
       GROUP BY userid, artist_name, track_name) WHERE rn <= 20"""
 oracle("top_tracks_per_user", "SELECT userid, artist_name, track_name, play_count FROM top_tracks")
 oracle("tracks_to_enrich", "SELECT DISTINCT artist_name, track_name FROM top_tracks")
-oracle("top_artists_by_period", f"""
-SELECT userid, artist_name, playcount
+# The periods and their days.
+PERIODS = {"7day": 7, "1month": 30, "3month": 90, "6month": 180, "12month": 365, "overall": 100_000}
+oracle("top_artists_by_period", " UNION ALL ".join(f"""
+SELECT userid, artist_name, playcount, '{period}' AS period
 FROM (SELECT userid, artist_name, count(*) AS playcount,
              row_number() OVER (PARTITION BY userid ORDER BY count(*) DESC, artist_name) AS rn
-      FROM plays_l WHERE artist_name IS NOT NULL AND ts BETWEEN {AS_OF} - INTERVAL 365 DAY AND {AS_OF}
-      GROUP BY userid, artist_name) WHERE rn <= 5""")
+      FROM plays_l WHERE artist_name IS NOT NULL AND ts BETWEEN {AS_OF} - INTERVAL {days} DAY AND {AS_OF}
+      GROUP BY userid, artist_name) WHERE rn <= 5""" for period, days in PERIODS.items()))
 PARTS["top_genres"] = """
 SELECT genre, CAST(sum(plays) AS BIGINT) AS plays FROM genre_counts_l GROUP BY genre ORDER BY plays DESC, genre LIMIT 10"""
 oracle("top_n_genres", "SELECT genre, plays FROM top_genres")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -14,9 +14,9 @@ from playcohort.operators import audio, blocks, cluster, density, diversity, eng
 from playcohort.operators import importance, prep, profiles as prof, quality, rollups, sessions
 from playcohort.operators import temporal, topk
 from playcohort.plans import clustering as plan_clustering
-from playcohort.plans.enrichment import ARTIST_ANSWER
+from playcohort.plans.enrichment import ARTIST_ANSWER, run_enrichment
 from playcohort.plans.features import build_feature_matrix
-from playcohort.schemas import ARTIST_GENRES
+from playcohort.schemas import ARTIST_GENRES, DEMOGRAPHICS
 from playcohort.session import configure, scratch_dir, staged
 from playcohort.sources import ingest, lookup, parquet, tsv
 
@@ -299,6 +299,46 @@ def q_lookup_upsert(spark, sf):
     return r6(out.withColumn("genres", F.array_join("genres", "/", "?")))
 
 
+@query
+def q_lookup_missing_tracks(spark, sf):
+    """Tracks that the lookup lacks: those of short parts, and spellings that share a key."""
+    plays = m.plays_l(spark, sf)
+    odd = plays.withColumn("track_name", F.lower("track_name"))
+    return lookup.missing_tracks(plays.unionByName(odd), _known_tracks(spark, sf))
+
+
+def _known_tracks(spark, sf) -> DataFrame:
+    return m.audio_features(spark, sf).where(F.col("energy").isNotNull())
+
+
+@query
+def q_lookup_upsert_tracks(spark, sf):
+    """Answers for the missing tracks: by the last digit of the part resolved with features,
+    resolved without, or not resolved and so not kept."""
+    known = _known_tracks(spark, sf).select("track_key", "energy")
+    missing = lookup.missing_tracks(m.plays_l(spark, sf), known)
+    digit = F.right("track_name", F.lit(1)).cast("int")
+    answers = missing.select(
+        "*",
+        F.when(digit < 7, F.concat(F.lit("id_"), "track_key")).alias("resolved_id"),
+        F.when(digit < 4, F.concat(F.lit("id_"), "track_key")).alias("track_spotify_id"),
+        F.when(digit < 4, digit / 10.0).alias("energy"),
+    )
+    return r6(lookup.upsert(known, lookup.track_answers(answers), "track_key"))
+
+
+@query
+def q_enrichment_users(spark, sf):
+    """Users still to fetch, as a run over a log, landed pages and no profiles reports them."""
+    path = f"{scratch_dir(spark)}"
+    raw_play_lines(spark, sf).write.text(f"{path}/plays.tsv")
+    out = run_enrichment(
+        spark, f"{path}/out", as_of=as_of(), plays_tsv=f"{path}/plays.tsv", landed_pages=landed_pages(spark, sf),
+        min_scrobbles=20,
+    )
+    return out["users_to_fetch"]
+
+
 # -- diversity -------------------------------------------------------------------------
 
 
@@ -530,19 +570,20 @@ def q_dataset_summary(spark, sf):
     )
 
 
-DESCRIBED = ["unique_artists", "artist_entropy", "artist_concentration_20"]
+def _features(matrix) -> list[str]:
+    return C.numeric_columns(matrix, exclude=list(DEMOGRAPHICS))
 
 
 @query
 def q_feature_describe(spark, sf):
-    block = diversity.artist_diversity(m.plays_l(spark, sf))
-    return r6(explore.feature_describe(block, DESCRIBED))
+    matrix = m.saved_matrix(spark, sf)
+    return r6(_comparable(explore.feature_describe(matrix, _features(matrix))))
 
 
 @query
 def q_feature_histogram(spark, sf):
-    block = diversity.artist_diversity(m.plays_l(spark, sf))
-    return r6(explore.feature_histogram(block, ["unique_artists", "artist_entropy"], 30))
+    matrix = m.saved_matrix(spark, sf)
+    return r6(_comparable(explore.feature_histogram(matrix, _features(matrix), 30)))
 
 
 @query
@@ -611,8 +652,13 @@ def q_tracks_to_enrich(spark, sf):
 
 @query
 def q_top_artists_by_period(spark, sf):
+    """All six periods."""
     plays = m.plays_l(spark, sf)
-    return topk.top_artists_by_period(plays, as_of(), "12month", 5)
+    tables = [
+        topk.top_artists_by_period(plays, as_of(), period, 5).withColumn("period", F.lit(period))
+        for period in topk.PERIOD_DAYS
+    ]
+    return reduce(DataFrame.unionByName, tables)
 
 
 @query

@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 
 from playcohort.operators.topk import tracks_to_enrich
-from playcohort.schemas import ARTIST_GENRES, AUDIO_FEATURES
-from playcohort.sources.ingest import ingest_recent_plays, merge_dedup
+from playcohort.schemas import ARTIST_GENRES, AUDIO_FEATURES, PLAYS
+from playcohort.sources.ingest import ingest_recent_plays, merge_dedup, users_to_fetch
 from playcohort.sources.lookup import (
     artist_answers,
     enrich_with,
@@ -18,7 +18,7 @@ from playcohort.sources.lookup import (
     upsert,
 )
 from playcohort.session import cut_lineage
-from playcohort.sources.parquet import read_or_empty, write_parquet
+from playcohort.sources.parquet import read_or_empty, user_universe, write_parquet
 from playcohort.sources.tsv import read_plays_tsv, read_profiles_tsv
 
 Fetch = Callable[[list[dict]], Sequence[dict | None]]
@@ -49,16 +49,21 @@ def run_enrichment(
     """Read, merge and enrich; write ``scrobbles``, ``profiles``, ``artist_genres`` and
     ``audio_features`` under ``out_dir`` and return them as read back.
 
+    ``users_to_fetch``, which is returned and not written, lists whom a collector still has to
+    ask for: the users of the profiles, else of the play log, else of all plays, without those
+    whose landed plays reach the threshold. A resumed collection starts from it.
+
     Lookup tables of a ``previous`` output folder are extended: only keys they lack are
     asked for. The new folder gets the whole tables; the old one is not touched.
     """
     sources: list[DataFrame] = []
-    if plays_tsv:
-        sources.append(read_plays_tsv(spark, plays_tsv))
+    log = read_plays_tsv(spark, plays_tsv) if plays_tsv else None
+    if log is not None:
+        sources.append(log)
+    landed = read_or_empty(spark, None, PLAYS)
     if landed_pages:
-        sources.append(
-            ingest_recent_plays(spark, landed_pages, as_of, lookback_years, min_scrobbles)
-        )
+        landed = ingest_recent_plays(spark, landed_pages, as_of, lookback_years, min_scrobbles)
+        sources.append(landed)
     if not sources:
         raise ValueError("neither a play log nor landed pages given")
     out: dict[str, DataFrame] = {}
@@ -71,6 +76,8 @@ def run_enrichment(
     plays = save("scrobbles", merge_dedup(sources), ["userid"], ["timestamp"])
     if profiles_tsv:
         save("profiles", read_profiles_tsv(spark, profiles_tsv), ["userid"])
+    universe = user_universe(out.get("profiles"), plays if log is None else log)
+    out["users_to_fetch"] = users_to_fetch(universe, landed, min_scrobbles)
     if fetch_artists:
         known = read_or_empty(spark, previous and f"{previous}/artist_genres", ARTIST_GENRES)
         # Checkpointed: the sorted write would otherwise ask twice, once for its ranges.
