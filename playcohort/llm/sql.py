@@ -2,4 +2,123 @@
 
 from __future__ import annotations
 
+import string
+
 ORACLE: dict[str, str] = {}
+
+ORACLE["op3_jaccard_join"] = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+texts AS (SELECT t, min(r) AS k, count(*) AS copies FROM docs GROUP BY t),
+words AS (SELECT k, list_filter(string_split_regex(lower(t), '\s+'), lambda x: x <> '') AS ws FROM texts),
+places AS (SELECT k, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT k, list_slice(ws, i, i + 4) AS g FROM places),
+sizes AS (SELECT k, count(*) AS n FROM shingles GROUP BY k),
+common AS (
+  SELECT a.k AS x, b.k AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN sizes s ON s.k = x JOIN sizes u ON u.k = y WHERE 5 * c >= 4 * (s.n + u.n - c)),
+reached(x, y) AS (SELECT k, k FROM texts UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x),
+roots AS (SELECT x AS k, min(y) AS root FROM reached GROUP BY x),
+linked AS (
+  SELECT x AS k, count(*) AS texts, sum(copies) AS docs FROM links JOIN texts ON texts.k = y GROUP BY x),
+classes AS (
+  SELECT root, min(doc_id) AS class_id FROM docs JOIN texts USING (t) JOIN roots USING (k) GROUP BY root)
+SELECT doc_id, class_id, CAST(copies - 1 + coalesce(linked.docs, 0) AS BIGINT) AS n_links,
+       CAST(coalesce(linked.texts, 0) AS BIGINT) AS n_text_links
+FROM docs JOIN texts USING (t) JOIN roots USING (k) JOIN classes USING (root) LEFT JOIN linked USING (k)"""
+
+_LOWERED = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+_WORDS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op5_decontamination"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS ws FROM benchmark),
+starts AS (
+  SELECT item, ws, least(len(ws), 13) AS size, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i
+  FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, size, list_slice(ws, i, i + size - 1) AS g FROM starts),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT r, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM docs JOIN sizes ON len(ws) >= size),
+found AS (
+  SELECT r, i, p.size, item FROM (SELECT r, i, size, list_slice(ws, i, i + size - 1) AS g FROM places) p
+  JOIN windows w ON w.size = p.size AND w.g = p.g),
+hit AS (SELECT r, count(DISTINCT spot) AS n FROM (SELECT r, unnest(range(i, i + size)) AS spot FROM found) GROUP BY r),
+owners AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(owners.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN owners USING (r)"""
+
+#: Ratio -> numerator, denominator, least interquartile range.
+_RATIOS = {
+    "word_length": ("word_chars", "n_words", 800),
+    "symbol_share": ("n_symbols", "n_words", 50),
+    "dup_line_share": ("n_dup_lines", "n_lines", 150),
+    "repeat_share": ("n_repeat_words", "n_words", 100),
+}
+
+
+def _fences(level: str, keys: str) -> str:
+    """The fences of every ratio at one level of grouping."""
+    group, part = (f"{keys}, ", f"{keys}, ") if keys else ("", "")
+    return f"""
+{level} AS (
+  SELECT {group}ratio, max(total) AS total,
+         min(bucket) FILTER (upto * 4 >= total) - 3 * greatest(
+           min(bucket) FILTER (upto * 4 >= total * 3) - min(bucket) FILTER (upto * 4 >= total), any_value(least_range)) AS low,
+         min(bucket) FILTER (upto * 4 >= total * 3) + 3 * greatest(
+           min(bucket) FILTER (upto * 4 >= total * 3) - min(bucket) FILTER (upto * 4 >= total), any_value(least_range)) AS high
+  FROM (SELECT {group}ratio, bucket, least_range,
+               sum(count(*)) OVER (PARTITION BY {part}ratio ORDER BY bucket) AS upto,
+               sum(count(*)) OVER (PARTITION BY {part}ratio) AS total
+        FROM entries GROUP BY {group}ratio, bucket, least_range)
+  GROUP BY {group}ratio)"""
+
+
+ORACLE["op8_quality_rules"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+tokens AS (SELECT r, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws FROM docs),
+places AS (SELECT r, unnest(range(1, len(ws) - 3)) AS i, ws FROM tokens WHERE len(ws) >= 5),
+grams AS (SELECT r, i, list_slice(ws, i, i + 4) AS g FROM places),
+repeats AS (
+  SELECT r, count(DISTINCT spot) AS n
+  FROM (SELECT r, unnest(range(i, i + 5)) AS spot
+        FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1) GROUP BY r),
+lines AS (
+  SELECT r, count(*) AS n, count(DISTINCT line) AS kinds
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+counts AS (
+  SELECT r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         coalesce(lines.n, 0) AS n_lines, coalesce(lines.n - kinds, 0) AS n_dup_lines,
+         CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words
+  FROM docs JOIN tokens USING (r) LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)),
+rated AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         {', '.join(f"CASE WHEN {d} > 0 THEN {n} * 1000 // {d} ELSE 0 END AS {name}" for name, (n, d, _) in _RATIOS.items())}
+  FROM counts),
+entries AS ({' UNION ALL '.join(
+    f'''SELECT lang, source, '{name}' AS ratio, {least} AS least_range,
+    ({name} >> greatest(length(bin({name})) - 12, 0)) << greatest(length(bin({name})) - 12, 0) AS bucket
+    FROM rated WHERE NOT base_failed''' for name, (_, _, least) in _RATIOS.items())}),
+{_fences('by_source', 'lang, source')}, {_fences('by_lang', 'lang')}, {_fences('overall', '')},
+chosen AS (
+  SELECT s.lang, s.source, s.ratio,
+         CASE WHEN s.total >= 200 THEN s.low WHEN l.total >= 200 THEN l.low ELSE o.low END AS low,
+         CASE WHEN s.total >= 200 THEN s.high WHEN l.total >= 200 THEN l.high ELSE o.high END AS high
+  FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.ratio = l.ratio
+  JOIN overall o ON s.ratio = o.ratio),
+outside AS (
+  SELECT DISTINCT r FROM rated JOIN chosen c
+  ON rated.lang IS NOT DISTINCT FROM c.lang AND rated.source IS NOT DISTINCT FROM c.source
+  WHERE {' OR '.join(f"c.ratio = '{name}' AND {name} > c.high" for name in _RATIOS)}
+     OR c.ratio = 'word_length' AND word_length < c.low)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept,
+       {', '.join(f'CAST({name} AS BIGINT) AS {name}' for name in _RATIOS)}
+FROM rated"""
