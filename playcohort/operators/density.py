@@ -112,21 +112,20 @@ def _cell_links(dense: DataFrame, eps: float, count: int, block_rows: int | None
                 label = new
             ids = left["id"].to_numpy()
             return pd.DataFrame({"u": ids, "v": ids[label]})
-        label_a, label_b = np.arange(n), np.full(m, n)
+        # The same across two blocks; jumping to the label of a label makes the rounds of a
+        # long chain few.
+        label = np.arange(n + m)
         while True:
-            new_b = np.minimum(label_b, np.where(near, label_a[:, None], n).min(axis=0))
-            new_a = np.minimum(label_a, np.where(near, new_b[None, :], n).min(axis=1))
-            if (new_a == label_a).all() and (new_b == label_b).all():
+            to_b = np.minimum(label[n:], np.where(near, label[:n, None], n + m).min(axis=0))
+            to_a = np.minimum(label[:n], np.where(near, to_b[None, :], n + m).min(axis=1))
+            new = np.concatenate([to_a, to_b])
+            new = new[new]
+            if (new == label).all():
                 break
-            label_a, label_b = new_a, new_b
-        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-        hit = label_b < n
-        return pd.DataFrame(
-            {
-                "u": np.concatenate([ids_a, ids_b[hit]]),
-                "v": np.concatenate([ids_a[label_a], ids_a[label_b[hit]]]),
-            }
-        )
+            label = new
+        ids = np.concatenate([left["id"].to_numpy(), right["id"].to_numpy()])
+        told = (np.arange(n + m) < n) | (label < n)
+        return pd.DataFrame({"u": ids[told], "v": ids[label[told]]})
 
     # The kernel keeps a whole cell of flags, so its blocks stay small.
     rows = block_rows or BLOCK_ROWS

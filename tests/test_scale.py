@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from playcohort.operators import diversity, engagement, sessions, topk
+from playcohort.operators import density, diversity, engagement, quality, sessions, topk
 from playcohort.session import scratch_dir
 from playcohort.sources import ingest
 
@@ -107,3 +107,62 @@ def test_rows_without_a_lookup_key_are_spread(spark, heavy):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_silhouette_sums_are_added_before_they_are_taken_apart(spark):
+    points = spark.range(60).selectExpr(
+        "id AS vec_id", "array(double(id % 3), double(id)) AS features", "cast(id % 3 AS int) AS cluster")
+    plan = final_plan(quality.silhouette_samples(points, "vec_id", block_rows=20))
+    above = plan[: plan.index("FlatMapGroupsInPandas")]
+    # Nothing is exploded between the kernel and the first exchange above it.
+    assert "Generate" not in above[above.rindex("Exchange") :]
+
+
+def test_distances_keep_their_digits_under_a_large_offset(spark):
+    def points(shift):
+        return spark.range(40).selectExpr(
+            "id AS vec_id", f"array(id % 4 * 10 + id * 0.001 + {shift}, {shift} - id * 0.002) AS features",
+            "cast(id % 4 AS int) AS cluster")
+
+    near, far = (quality.silhouette_exact(points(s), "vec_id").first()[0] for s in ("0D", "1e6D"))
+    assert near == pytest.approx(far, abs=1e-6)
+    labels = [
+        {r["vec_id"]: r["cluster"] for r in density.density_cluster(points(s), 0.03, 3, 2, "vec_id", rows).collect()}
+        for s in ("0D", "1e6D") for rows in (7, 1000)
+    ]
+    assert all(found == labels[0] for found in labels) and set(labels[0].values()) == {0, 1, 2, 3}
+
+
+def test_chains_across_blocks_are_one_cluster(spark):
+    points = spark.range(400).selectExpr("id AS vec_id", "array(id * 1.0D, 0D) AS features")
+    found = density.density_cluster(points, 1.5, 10, 1, "vec_id", 90).select("cluster").distinct().collect()
+    assert [r["cluster"] for r in found] == [0]
+
+
+def test_many_small_clusters(spark):
+    """20,000 clusters: no table of all pairs of centres."""
+    points = spark.range(40_000).selectExpr(
+        "id AS vec_id", "array(double(id div 2), double(id % 2) / 10) AS features", "cast(id div 2 AS int) AS cluster")
+    assert quality.davies_bouldin(points) == pytest.approx(0.1, rel=1e-6)
+
+
+def test_edge_plays_are_reduced_where_they_lie(spark, heavy):
+    from playcohort.session import staged
+
+    clock = staged(sessions.listening_clock(heavy, 30, 90))
+    plan = final_plan(engagement.edge_plays(heavy, clock))
+    join = plan.index("BroadcastHashJoin")
+    # The only exchange of plays is that of the counts, above the join.
+    assert "Exchange hashpartitioning" not in plan[join:]
+    none = clock.withColumn("edge_slot", F.lit(None).cast("bigint"))
+    assert engagement.edge_plays(heavy, none).count() == 0
+
+
+def test_scratch_tables_can_be_released(spark, tmp_path, monkeypatch):
+    from playcohort import session
+
+    monkeypatch.setattr(session, "run_folder", lambda _: f"{tmp_path}/run")
+    assert session.staged(spark.range(3)).count() == 3
+    assert list((tmp_path / "run").iterdir())
+    session.release(spark)
+    assert not (tmp_path / "run").exists()
