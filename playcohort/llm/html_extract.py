@@ -20,6 +20,7 @@ empty table; columns other than those named are not read. A task holds one batch
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -69,27 +70,28 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.parents = [-1]
-        # Open elements: (tag, excluded, container).
-        self.open: list[tuple[str, bool, int]] = []
+        # Open elements: (tag, excluded, container, whether in an article), and how many of each
+        # tag, so that looking for one that is not open costs nothing.
+        self.open: list[tuple[str, bool, int, bool]] = []
+        self.count: Counter = Counter()
         self.text: list[str] = []
-        self.tags = self.linked = self.links = 0
+        self.tags = self.linked = 0
 
-    def around(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def around(self) -> tuple[bool, int, bool]:
+        return self.open[-1][1:] if self.open else (False, 0, False)
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            excluded, container = self.around()
+            excluded, container, _ = self.around()
             self.lines.append((line, self.tags, self.linked, container, excluded))
             self.tags = 0
         self.text.clear()
         self.linked = 0
 
-    def is_excluded(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def is_excluded(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
         if tag in NEVER:
             return True
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
         if tag == "header" and not inside:
             return True
         if tag in ("html", "body", "article", "main") and not attrs:
@@ -104,9 +106,11 @@ class PageLines(HTMLParser):
 
     def pop_to(self, tags: set[str], scopes: frozenset | set) -> None:
         """End the innermost open element of ``tags`` unless a scope lies between."""
+        if not any(self.count[tag] for tag in tags):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in tags:
-                self.links -= sum(t == "a" for t, _, _ in self.open[i:])
+                self.count.subtract(element[0] for element in self.open[i:])
                 del self.open[i:]
                 return
             if self.open[i][0] in scopes:
@@ -123,12 +127,13 @@ class PageLines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        excluded, container = self.around()
+        excluded, container, inside = self.around()
         if tag in CONTAINERS:
             self.parents.append(container)
             container = len(self.parents) - 1
-        self.links += tag == "a"
-        self.open.append((tag, excluded or self.is_excluded(tag, attrs), container))
+        self.count[tag] += 1
+        excluded = excluded or self.is_excluded(tag, attrs, inside)
+        self.open.append((tag, excluded, container, inside or tag in ("article", "main")))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # As browsers do, the slash counts for void elements only.
@@ -145,7 +150,7 @@ class PageLines(HTMLParser):
         if self.open and self.open[-1][0] in ("script", "style"):
             return
         self.text.append(data)
-        if self.links:
+        if self.count["a"] > 0:
             self.linked += len("".join(data.split()))
 
 

@@ -66,6 +66,13 @@ def test_broken_markup():
     assert main_text("<p>" * 5000 + "deep" + "<div>" * 5000) == "deep"
 
 
+def test_deep_and_unmatched_tags_take_linear_time():
+    n = 30_000
+    assert main_text("<div>" * n + "deep") == "deep"
+    assert main_text("<b>" * n + "</i>" * n + "text") == "text"
+    assert main_text("<b><p>" * n + "end") == "end"
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, "v", "<p>" + "word &amp; " * 50_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
