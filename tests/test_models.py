@@ -128,7 +128,7 @@ def test_enrichment_end_to_end_and_resume(spark, sf, tmp_path):
         spark, str(tmp_path / "one"), as_of=as_of, plays_tsv=str(tsv), profiles_tsv=str(people),
         fetch_artists=artists, fetch_tracks=tracks)
     assert {k: v.count() for k, v in out.items()} == {
-        "scrobbles": 2, "profiles": 1, "artist_genres": 2, "audio_features": 2}
+        "scrobbles": 2, "profiles": 1, "artist_genres": 2, "audio_features": 2, "users_to_fetch": 1}
     assert asked.value == 2
     again = run_enrichment(
         spark, str(tmp_path / "two"), as_of=as_of, plays_tsv=str(tsv), previous=str(tmp_path / "one"),
