@@ -310,5 +310,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         narrow.join(roots, F.col("key") == F.col("_key"), "left").select("row", "id", F.coalesce("root", "key").alias("root"))
     )
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("_best"))
-    best = first.select(F.col("_best.row").alias("_kept"))
+    # The kept rows have no bound, so they are never broadcast; the row numbers spread evenly.
+    best = first.select(F.col("_best.row").alias("_kept")).hint("merge")
     return numbered.join(best, F.col(row) == F.col("_kept"), "left_semi").drop(row)
