@@ -5,10 +5,10 @@ text between block-level tags, each with its characters and the tags it took to
 The text-to-tag ratio of the lines, smoothed by a Gaussian along the page, is split into two
 clusters by the threshold that minimises their squared deviations; the upper cluster is
 content. The content region is the innermost container (article, main, section, div, cell,
-body) that holds most of the characters of that cluster. All its lines are returned, short
-ones too, except those in elements that are never content: menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments (by tag, role, or words
-of class and id), and lists made of links alone.
+body) that holds most of the characters of that cluster. All its lines are returned, short ones too, except those in elements that are never content:
+menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments (by tag, role, or whole names of class and id), and lists made of links alone. A
+form or an element of such a name is kept when it wraps the content.
 
 Character references are decoded, white space inside a line becomes one space, empty lines
 vanish, lines are joined by two line feeds. Broken markup is read as far as the parser goes:
@@ -56,7 +56,22 @@ NAMES = frozenset(
     "share sharing social related recommended recommendations widget search skip".split()
 )
 HEADERS = frozenset("header masthead".split())
-NAME_WORD = re.compile(r"[a-z]+")
+#: Words that may stand beside a name in a compound like site-footer or comment-list.
+BESIDE = frozenset(
+    "site page main global top bottom left right upper lower primary secondary inner outer box bar list area wrap wrapper "
+    "container block section panel group item items link links button buttons icon icons message text form thread "
+    "posts post articles stories content body the js col row".split()
+)
+NAME_PART = re.compile(r"[a-z]+")
+
+
+def named(given: dict[str, str], names: frozenset) -> bool:
+    """Whether a whole class or id is one of ``names``, or a compound of them and of ``BESIDE``."""
+    for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+        parts = set(NAME_PART.findall(name))
+        if parts & names and parts <= NAMES | HEADERS | BESIDE:
+            return True
+    return False
 
 
 class PageLines(HTMLParser):
@@ -64,45 +79,94 @@ class PageLines(HTMLParser):
 
     A line is (text, tags, characters inside links, container, excluded). Containers are
     numbered in page order; ``parents`` gives the one around each.
+
+    Elements that are excluded by name, and forms, are doubtful until the page has ended: one
+    that wraps the content is not excluded. They are numbered from 1 in page order, too.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.parents = [-1]
-        # Open elements: (tag, excluded, container, whether in an article), and how many of each
-        # tag, so that looking for one that is not open costs nothing.
-        self.open: list[tuple[str, bool, int, bool]] = []
+        #: Containers that are an article or main.
+        self.marks: list[int] = []
+        #: Of each line: the doubtful element around it, whether it is a main heading.
+        self.notes: list[tuple[int, bool]] = []
+        #: The doubtful element that an article or main is in, or is.
+        self.mark_doubts: dict[int, int] = {}
+        #: Of each doubtful element: the one around it, whether it is like a page header.
+        self.doubts: list[tuple[int, bool]] = [(-1, False)]
+        # Open elements: (tag, excluded, container, whether in an article, doubtful element, block),
+        # and how many of each tag, so that looking for one that is not open costs nothing.
+        self.open: list[tuple[str, bool, int, bool, int, str]] = []
         self.count: Counter = Counter()
         self.text: list[str] = []
         self.tags = self.linked = 0
 
-    def around(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+    def around(self) -> tuple[bool, int, bool, int, str]:
+        return self.open[-1][1:] if self.open else (False, 0, False, 0, "")
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            excluded, container, _ = self.around()
+            excluded, container, _, doubt, block = self.around()
             self.lines.append((line, self.tags, self.linked, container, excluded))
+            self.notes.append((doubt, block == "h1"))
             self.tags = 0
         self.text.clear()
         self.linked = 0
 
-    def is_excluded(self, tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> bool:
-        if tag in NEVER:
-            return True
-        if tag == "header" and not inside:
-            return True
-        if tag in ("html", "body", "article", "main") and not attrs:
-            return False
-        given = {name: (value or "").lower() for name, value in attrs}
-        if "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES:
+    def is_excluded(self, tag: str, given: dict[str, str], inside: bool) -> bool:
+        if tag in NEVER and tag != "form" or tag == "header" and not inside:
             return True
+        return "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES
+
+    def is_doubtful(self, tag: str, given: dict[str, str], inside: bool) -> tuple[bool, bool]:
+        """Whether to exclude the element if it holds no content, and if it is like a page header."""
         if tag in ("html", "body", "main"):
-            return False
-        words = set(NAME_WORD.findall(f"{given.get('class', '')} {given.get('id', '')}"))
-        return bool(words & NAMES) or bool(words & HEADERS) and not inside
+            return False, False
+        header = not inside and named(given, HEADERS)
+        return tag == "form" or header or named(given, NAMES), header
+
+    def settle(self) -> None:
+        """Decide the doubtful elements, and exclude the lines in those without the content.
+
+        One holds the content when it has the largest article or main (without any: a main
+        heading) and no fewer characters than there are outside of doubtful elements, or
+        nearly all characters of a page where nothing else marks the content.
+        """
+        if len(self.doubts) == 1:
+            return
+        size = [0] * len(self.doubts)
+        heading = [False] * len(self.doubts)
+        inside = [0] * len(self.parents)
+        for (text, _, linked, container, out), (doubt, is_heading) in zip(self.lines, self.notes):
+            if not out:
+                n = max(0, len(text) - linked)
+                size[doubt] += n
+                heading[doubt] |= is_heading
+                inside[container] += n
+        plain = size[0]
+        for i in range(len(size) - 1, 0, -1):
+            around, header = self.doubts[i]
+            size[around] += size[i]
+            heading[i] &= not header
+            heading[around] |= heading[i]
+        for i in range(len(inside) - 1, 0, -1):
+            inside[self.parents[i]] += inside[i]
+        mark = max(self.marks, key=lambda c: inside[c], default=0)
+        holds = heading
+        if mark and inside[mark]:
+            holds = [False] * len(size)
+            at = self.mark_doubts[mark]
+            while at >= 0:
+                holds[at] = True
+                at = self.doubts[at][0]
+        dropped = [False] * len(size)
+        for i in range(1, len(size)):
+            wraps = holds[i] and size[i] >= plain or not holds[0] and size[i] >= 0.95 * size[0] > 0
+            dropped[i] = dropped[self.doubts[i][0]] or not wraps
+        self.lines = [(*line[:4], line[4] or dropped[doubt]) for line, (doubt, _) in zip(self.lines, self.notes)]
 
     def pop_to(self, tags: set[str], scopes: frozenset | set) -> None:
         """End the innermost open element of ``tags`` unless a scope lies between."""
@@ -127,13 +191,23 @@ class PageLines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        excluded, container, inside = self.around()
+        excluded, container, inside, doubt, block = self.around()
         if tag in CONTAINERS:
             self.parents.append(container)
             container = len(self.parents) - 1
         self.count[tag] += 1
-        excluded = excluded or self.is_excluded(tag, attrs, inside)
-        self.open.append((tag, excluded, container, inside or tag in ("article", "main")))
+        given = {name: (value or "").lower() for name, value in attrs}
+        excluded = excluded or self.is_excluded(tag, given, inside)
+        if not excluded:
+            doubtful, header = self.is_doubtful(tag, given, inside)
+            if doubtful:
+                self.doubts.append((doubt, header))
+                doubt = len(self.doubts) - 1
+        if tag in ("article", "main"):
+            inside = True
+            self.marks.append(container)
+            self.mark_doubts[container] = doubt
+        self.open.append((tag, excluded, container, inside, doubt, tag if tag in BLOCKS else block))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # As browsers do, the slash counts for void elements only.
@@ -171,6 +245,7 @@ def page_lines(html: str) -> PageLines:
         except AssertionError:  # the parser's answer to an unknown <![section
             continue
         page.end_line()
+        page.settle()
         return page
     return PageLines()
 

@@ -55,6 +55,24 @@ def test_content_is_found_without_semantic_tags():
     assert main_text(page) == "\n\n".join(text)
 
 
+def test_wrappers_with_names_of_other_things():
+    text = "".join(f"<p>Sentence {i} of the story is of the usual length for such a text.</p>" for i in range(8))
+    note = '<div class="cookie-notice">We use cookies on this site, please accept all of them now.</div>'
+    comments = '<div id="comments"><article><p>A comment that is long enough to look like a text.</p></article></div>'
+    want = re.findall("<p>(.*?)</p>", text)
+    for page in [
+        f'<div class="page has-sidebar"><article>{text}</article></div>',
+        f'<div id="wrap" class="with-comments"><div>{text}</div></div>',
+        f'<article class="post category-social">{text}</article>',
+        f'<div class="sidebar"><article>{text}</article>{note}{comments}</div>',
+        f'<body><form action="/"><div>{text}</div>{note}</form></body>',
+        f'<body><form><main>{text}</main><div class="site-footer">Imprint and more</div></form></body>',
+        f'<body><article>{text}</article>{comments}<form>Subscribe to our letter</form></body>',
+    ]:
+        assert main_text(page).split("\n\n") == want, page
+    assert main_text(f"<header><h1>Site</h1></header>{note}<div><p>One sentence.</p></div>") == "One sentence."
+
+
 def test_broken_markup():
     assert main_text("<p>a<p>b <i>c") == "a\n\nb c"
     assert main_text("</div></p>a</article>") == "a"
