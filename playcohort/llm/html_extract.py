@@ -4,8 +4,9 @@ The standard library's parser streams a page as events, which are turned into li
 text between block-level tags, each with its characters and the tags it took to mark them up.
 The text-to-tag ratio of the lines, smoothed by a Gaussian along the page, is split into two
 clusters by the threshold that minimises their squared deviations; the upper cluster is
-content. The content region is the innermost container (article, main, section, div, cell,
-body) that holds most of the characters of that cluster. All its lines are returned, short ones too, except those in elements that are never content:
+content. The content region is the least container around the largest article or main that
+has the main headings and the lines of that cluster; without such an element, the innermost
+container that has all text but links. All its lines are returned, short ones too, except those in elements that are never content:
 menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments (by tag, role, or whole names of class and id), and lists made of links alone. A
 form or an element of such a name is kept when it wraps the content.
@@ -269,31 +270,53 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
     return values >= ordered[1 + int(np.argmax(between))]
 
 
-def content_region(page: PageLines, sigma: float, share: float) -> int:
-    """The innermost container with at least ``share`` of the content characters."""
+def content_region(page: PageLines, sigma: float) -> int:
+    """The container to return: nothing beside it but links and what is never content.
+
+    With an article or main, it is the least container around the largest of them with all main
+    headings and all content lines. Without one it is found from the page inwards, as long as
+    all of the text that is not links lies in one container.
+    """
     ratios = np.array([0.0 if out else len(t) / max(1, tags) for t, tags, _, _, out in page.lines])
     chosen = upper_cluster(smoothed(ratios, sigma))
-    if not any(c and not line[4] for c, line in zip(chosen, page.lines)):
-        chosen = ratios > 0
     weight = [0] * len(page.parents)
-    for is_content, (text, _, linked, container, out) in zip(chosen, page.lines):
-        if is_content and not out:
+    own = [False] * len(page.parents)
+    for text, _, linked, container, out in page.lines:
+        if not out and linked < 0.9 * len(text.replace(" ", "")):
             weight[container] += max(0, len(text) - linked)
+            own[container] = True
     # Children have higher numbers than the containers around them.
     for i in range(len(weight) - 1, 0, -1):
         weight[page.parents[i]] += weight[i]
-    best = 0
-    for i in range(1, len(weight)):
-        if weight[0] and weight[i] >= share * weight[0]:
-            best = i
+    mark = max(page.marks, key=lambda c: weight[c], default=0)
+    if not mark or not weight[mark]:
+        best = 0
+        for i in range(1, len(weight)):
+            # Containers of all the text lie inside each other.
+            if weight[i] == weight[0] and not own[best] and page.parents[i] == best:
+                best = i
+        return best
+    around = set()
+    at = mark
+    while at >= 0:
+        around.add(at)
+        at = page.parents[at]
+    best = mark
+    for is_content, (text, _, linked, container, out), (_, heading) in zip(chosen, page.lines, page.notes):
+        if out or linked >= 0.9 * len(text.replace(" ", "")) or not (heading or is_content):
+            continue
+        # Up from the line to a container around the mark; the outer one of it and the best so far.
+        while container not in around:
+            container = page.parents[container]
+        best = min(best, container)
     return best
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.6) -> str:
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     page = page_lines(html) if html else None
     if page is None or not page.lines:
         return ""
-    region = content_region(page, sigma, share)
+    region = content_region(page, sigma)
     inside = [False] * len(page.parents)
     for i in range(len(inside)):
         inside[i] = i == region or i > 0 and inside[page.parents[i]]
@@ -308,15 +331,13 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.6) -> str:
     return "\n\n".join(out)
 
 
-def extract(
-    pages: DataFrame, keep: list[str], html_col: str = "html", sigma: float = 1.0, share: float = 0.6
-) -> DataFrame:
+def extract(pages: DataFrame, keep: list[str], html_col: str = "html", sigma: float = 1.0) -> DataFrame:
     """The columns ``keep``, ``text`` and ``n_chars`` (code points), one row per page."""
     given = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], text_of(html_col).alias("html"))
     kept = [f"k{i} {given.schema[i].dataType.simpleString()}" for i in range(len(keep))]
 
     def rows(columns: dict[str, list]) -> dict[str, list]:
-        texts = [main_text(html, sigma, share) for html in columns["html"]]
+        texts = [main_text(html, sigma) for html in columns["html"]]
         return {**columns, "text": texts, "n_chars": [len(text) for text in texts]}
 
     out = map_rows(given, rows, ", ".join([*kept, "text string", "n_chars bigint"]))

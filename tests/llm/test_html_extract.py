@@ -55,6 +55,23 @@ def test_content_is_found_without_semantic_tags():
     assert main_text(page) == "\n\n".join(text)
 
 
+def test_articles_split_into_containers():
+    a = "".join(f"<p>Sentence {i} of the first part is of the usual length for such a text.</p>" for i in range(10))
+    b = "".join(f"<p>Sentence {i} of the second part is of the usual length for such a text.</p>" for i in range(6))
+    short = "<ul>" + "".join(f"<li>short point {i}</li>" for i in range(5)) + "</ul>"
+    texts = lambda html: [x for x in re.split("<[^>]+>", html) if x]
+    title = "<h1>The title</h1>"
+    for page, want in [
+        (f"<article><section>{a}</section><section>{b}</section></article>", a + b),
+        (f"<article><div>{title}</div><div>{a}</div></article>", title + a),
+        (f"<article><section>{a}</section><section>{short}</section></article>", a + short),
+        (f"<body><div>{title}</div><article>{a}</article></body>", title + a),
+        (f"<body><div><div>{title}</div><div>{a}</div><div>{short}</div></div></body>", title + a + short),
+        (f"<body><article>{a}</article><article>{b}</article></body>", a + b),
+    ]:
+        assert main_text(page).split("\n\n") == texts(want), page
+
+
 def test_wrappers_with_names_of_other_things():
     text = "".join(f"<p>Sentence {i} of the story is of the usual length for such a text.</p>" for i in range(8))
     note = '<div class="cookie-notice">We use cookies on this site, please accept all of them now.</div>'
