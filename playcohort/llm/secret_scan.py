@@ -9,7 +9,10 @@ their characters, random strings many. Runs of at least ``least`` key characters
 candidates when they mix letters and digits, or upper and lower case inside a word; known
 digests, UUIDs, numbers, dates, addresses and identifiers made of words are excluded; what
 remains is a secret of kind ``random`` where it has fewer than ``ratio`` characters for each
-token of the vocabulary. Spans that touch a pattern match are not reported twice.
+token of the vocabulary. Words of one case and at least ``least`` letters in other runs are
+judged by themselves, by the stricter ``one_case_ratio``, as long words and random letters are
+nearer to each other. Pattern matches are not reported twice: the parts of a run outside of them
+are judged, and letters and digits around a hexadecimal match together with it.
 
 Spans count code points, ends are exclusive. A null text has no spans. Whole texts are
 scanned where they are read; nothing is shuffled; equal rows give equal rows, an empty table
@@ -51,7 +54,12 @@ NUMERIC = re.compile(r"[0-9.+/_=-]+([eE][0-9+-]+)?")
 DATE = re.compile(r"[0-9]{4}[-/.]?[0-9]{2}[-/.]?[0-9]{2}[T_.-]?[0-9.+-]*Z?")
 # Words in lower, upper or title case, camel case included, with short numbers between
 # separators: names of variables, files, hosts and paths.
-IDENTIFIER = re.compile(r"[._/=+-]*(([A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}|[0-9]{1,4})([._/=+-]+(([A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}|[0-9]{1,8}))*[._/=+-]*")
+SEPARATORS = re.compile(r"[._/=+-]+")
+FIRST_PART = re.compile(r"[A-Za-z]+[0-9]{0,4}|[0-9]{1,4}")
+PART = re.compile(r"[A-Za-z]+[0-9]{0,4}|[0-9]{1,8}")
+# Letters of one case, that may begin with a capital.
+ONE_CASE = re.compile(r"(?<![A-Za-z0-9])([A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z0-9])")
+ALNUM = re.compile(r"[A-Za-z0-9]*")
 WORDY = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])")
 
 
@@ -63,6 +71,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def identifier(run: str) -> bool:
+    """Whether all parts between separators are words or short numbers."""
+    parts = [part for part in SEPARATORS.split(run) if part]
+    return bool(parts and FIRST_PART.fullmatch(parts[0])) and all(map(PART.fullmatch, parts[1:]))
+
+
 def known(run: str) -> bool:
     """Digests, UUIDs, numbers and identifiers made of words."""
     if NUMERIC.fullmatch(run) or DATE.fullmatch(run) or UUID.fullmatch(run):
@@ -70,7 +84,7 @@ def known(run: str) -> bool:
     if len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run):
         return True
     # Camel case is an identifier only where its words have some length on average.
-    if IDENTIFIER.fullmatch(run):
+    if identifier(run):
         words = WORDY.findall(run)
         letters = sum(c.isalpha() for c in run)
         changes = sum(a.islower() != b.islower() for a, b in zip(run, run[1:]) if a.isalpha() and b.isalpha())
@@ -78,9 +92,11 @@ def known(run: str) -> bool:
     return False
 
 
-def scanner(vocabulary_file: str, pattern: str, ratio: float, least: int) -> Callable[[list], list]:
+def scanner(
+    vocabulary_file: str, pattern: str, ratio: float, least: int, one_case_ratio: float = 2.0
+) -> Callable[[list], list]:
     """A function from texts (or None) to their spans, each sorted by start and kind."""
-    runs = re.compile(f"(?<!{RUN})(?=[A-Za-z0-9+/_=.-]*[0-9A-Z]){RUN}{{{least},}}")
+    runs = re.compile(f"(?<!{RUN}){RUN}{{{least},}}")
     state: dict = {}
 
     def tokens(run: str) -> int:
@@ -96,17 +112,66 @@ def scanner(vocabulary_file: str, pattern: str, ratio: float, least: int) -> Cal
             )
         return len(state["encoding"].encode_ordinary(run))
 
+    def is_random(run: str) -> bool:
+        mixed = any(c.isdigit() for c in run) or any(c.isupper() for c in run[1:]) and any(c.islower() for c in run)
+        return mixed and any(c.isalpha() for c in run) and not known(run) and len(run) < ratio * tokens(run)
+
+    def judged(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+        """The spans of a run, or of a part of one."""
+        run = text[start:end].rstrip(".")
+        if len(run) < least:
+            return []
+        if is_random(run):
+            return [(start, 3, start + len(run))]
+        words = (m for m in ONE_CASE.finditer(run) if m.end() - m.start() >= least)
+        return [(start + m.start(), 3, start + m.end()) for m in words if len(m.group()) < one_case_ratio * tokens(m.group())]
+
     def random_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         out = []
+        # Base spans in order of their starts, as disjoint ones; whether hexadecimal only.
+        disjoint: list[tuple[int, int, bool]] = []
+        for s, kind, e in base:
+            if disjoint and s < disjoint[-1][1]:
+                disjoint[-1] = (disjoint[-1][0], max(e, disjoint[-1][1]), disjoint[-1][2] and kind == 2)
+            else:
+                disjoint.append((s, e, kind == 2))
+        first = 0
         for match in runs.finditer(text):
-            run = match.group().rstrip(".")
-            start, end = match.start(), match.start() + len(run)
-            if len(run) < least or any(s < end and start < e for s, _, e in base):
-                continue
-            mixed = any(c.isdigit() for c in run) or any(c.isupper() for c in run[1:]) and any(c.islower() for c in run)
-            if mixed and any(c.isalpha() for c in run) and not known(run) and len(run) < ratio * tokens(run):
-                out.append((start, 3, end))
-        return out
+            start, end = match.span()
+            while first < len(disjoint) and disjoint[first][1] <= start:
+                first += 1
+            touched, i = [], first
+            while i < len(disjoint) and disjoint[i][0] < end:
+                touched.append(disjoint[i])
+                i += 1
+            # The parts of the run outside of base spans.
+            at = start
+            for s, e, _ in [*touched, (end, end, False)]:
+                out += judged(text, at, s)
+                at = max(at, e)
+            # A key with hexadecimal characters inside: what is left of it on both sides. Each
+            # key is looked at once, whatever number of spans it has.
+            done = start
+            for i, (s, e, hexadecimal) in enumerate(touched):
+                if e <= done or not hexadecimal:
+                    done = max(done, e)
+                    continue
+                left, right, inner = s, ALNUM.match(text, e, end).end(), []
+                while left > done and text[left - 1].isalnum():
+                    left -= 1
+                for t, u, same in touched[i : i + right - e + 1]:
+                    if t >= right or not same:
+                        right = min(right, t) if t > e else right
+                        break
+                    inner.append((t, u))
+                done = right
+                if is_random(text[left:right]):
+                    at = left
+                    for t, u in [*inner, (right, right)]:
+                        if t > at and text[at:t] not in ("0x", "0X"):
+                            out.append((at, 3, t))
+                        at = max(at, u)
+        return sorted(set(out))
 
     def scan(texts: list) -> list:
         found = []
