@@ -1,9 +1,13 @@
 """Shards that all hold the mixture of the whole table.
 
-Rows are shuffled inside their stratum by a seeded hash and ranked there; the row of rank r
-among n gets the fractional rank (r + 1/2) / n. Sorted by fractional rank the strata
-interleave in proportion, so cutting the order into equal runs gives shards whose row counts
-differ by one at most and whose share of every stratum is that of the table, to a row or two.
+Rows are shuffled inside their stratum by a seeded hash and ranked there. The fractional rank
+of a row says where it stands among all shards: its whole part is a shard, the rest a place in
+it. Of a stratum with q * shards + r rows (r < shards) the first q * shards take the ranks
+(i + 1/2) / q, so every shard gets q of them at even distances. The r rows left start where
+the stratum before ended: the one at position g of the whole order (stratum, draw) belongs to
+shard g modulo ``shards``, at a place given by its draw. The cut at whole ranks then gives
+every shard q or q + 1 rows of every stratum, and shards that differ by one row at most,
+whatever the number and the sizes of the strata.
 
 Both rankings are range sorts of narrow rows (no texts), numbered from the row counts of the
 sorted partitions; no stratum meets in one task and no window runs over one. The numbered
@@ -24,37 +28,32 @@ from playcohort.session import staged
 
 #: Bits of monotonically_increasing_id() that count inside a partition.
 ROW_BITS = 33
+#: Steps that a draw is mapped to when it gives a place inside a shard.
+PLACES = 1 << 30
 
 
-def numbered(df: DataFrame, order: list[str], within: str | None = None) -> DataFrame:
-    """``df`` with ``rank``, the 0-based position in the order of ``order``, and ``total``, the rows.
-
-    With ``within`` (the first column of ``order``) both are taken inside each of its values.
-    """
+def numbered(df: DataFrame, order: list[str], within: str) -> DataFrame:
+    """``df`` with ``position``, the 0-based position in the order of ``order``, and, inside each
+    value of ``within`` (the first column of ``order``), ``rank`` from 0 and ``total``, its rows."""
     placed = staged(
         df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     )
-    # One row per sorted partition, or per stratum and partition that it reaches into.
-    stratum = [F.col(within).alias("_stratum")] if within else []
-    runs = staged(
-        placed.groupBy(*stratum, F.shiftright("_at", ROW_BITS).alias("_part")).agg(
-            F.count("*").alias("_n"), F.min("_at").alias("_first")
-        )
+    part = F.shiftright("_at", ROW_BITS)
+    # One row per sorted partition.
+    runs = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(
+        runs.select("_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
     )
-    key = ["_stratum"] if within else []
-    whole = Window.partitionBy(*key)
-    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = runs.select(
-        *key,
-        "_part",
-        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
-        F.sum("_n").over(whole).alias("total"),
+    at = placed.join(starts, part == F.col("_part")).withColumn("position", F.col("_at") + F.col("_shift"))
+    at = at.drop("_at", "_part", "_shift")
+    sizes = at.groupBy(F.col(within).alias("_within")).agg(
+        F.count("*").alias("total"), F.min("position").alias("_start")
     )
-    same = F.shiftright("_at", ROW_BITS) == F.col("_part")
-    if within:
-        same &= F.col(within).eqNullSafe(F.col("_stratum"))
-    return placed.join(starts, same).withColumn("rank", F.col("_at") + F.col("_shift")).drop(
-        "_at", "_shift", "_part", "_stratum"
+    return (
+        at.join(sizes, F.col(within).eqNullSafe(F.col("_within")))
+        .withColumn("rank", F.col("position") - F.col("_start"))
+        .drop("_within", "_start")
     )
 
 
@@ -80,18 +79,27 @@ def proportional_shards(
         F.octet_length(text).cast("long").alias("n_bytes"),
     ).withColumn("draw", F.xxhash64(F.lit(seed), "id", "text_crc32", "n_bytes"))
     shuffled = numbered(rows, ["stratum", "draw", "id"], within="stratum")
-    fraction = shuffled.select(
-        "stratum", "id", "text_crc32", "n_bytes", ((F.col("rank") + 0.5) / F.col("total")).alias("fraction"), "draw"
+    each = F.expr(f"total div {n_shards}")
+    even = F.col("rank") < F.col("each") * n_shards
+    ranked = shuffled.withColumn("each", each).select(
+        "stratum",
+        "id",
+        "text_crc32",
+        "n_bytes",
+        "draw",
+        F.when(even, F.expr("rank div each")).otherwise(F.col("position") % n_shards).cast("int").alias("shard"),
+        F.when(even, (F.expr("rank % each") + 0.5) / F.col("each"))
+        .otherwise((F.pmod("draw", F.lit(PLACES)) + 0.5) / PLACES)
+        .alias("place"),
     )
-    mixed = numbered(fraction, ["fraction", "stratum", "draw", "id"])
-    shard = F.expr(f"(rank * {n_shards}) div total")
-    first = F.expr(f"(shard * total + {n_shards - 1}) div {n_shards}")
-    return (
-        mixed.withColumn("shard", shard.cast("int"))
-        .withColumn("slot", F.col("rank") - first)
-        .select(
-            F.col("id").alias(id_col), F.col("stratum").alias(stratum_col), "text_crc32", "n_bytes", "shard", "slot"
-        )
+    mixed = numbered(ranked, ["shard", "place", "draw", "stratum", "id"], within="shard")
+    return mixed.select(
+        F.col("id").alias(id_col),
+        F.col("stratum").alias(stratum_col),
+        "text_crc32",
+        "n_bytes",
+        "shard",
+        F.col("rank").alias("slot"),
     )
 
 

@@ -44,6 +44,65 @@ def test_every_shard_has_the_mixture(spark):
     assert other != again
 
 
+def spread(rows, n_shards):
+    """The same shards and slots from lists of (stratum, draw, id)."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    sizes = Counter(r[0] for r in order)
+    seen, placed = Counter(), []
+    for position, (stratum, draw, key) in enumerate(order):
+        rank, each = seen[stratum], sizes[stratum] // n_shards
+        seen[stratum] += 1
+        if rank < each * n_shards:
+            shard, place = rank // each, (rank % each + 0.5) / each
+        else:
+            shard, place = position % n_shards, (draw % 2**30 + 0.5) / 2**30
+        placed.append((shard, place, draw, stratum is not None, stratum or "", key))
+    slots, out = Counter(), {}
+    for shard, *_, key in sorted(placed):
+        out[key] = (shard, slots[shard])
+        slots[shard] += 1
+    return out
+
+
+def within_a_row(got, total, n_shards):
+    """Every shard holds the share of every stratum, rounded down or up."""
+    parts = Counter((r.source, r.shard) for r in got)
+    for s, n in total.items():
+        for k in range(n_shards):
+            assert n // n_shards <= parts.get((s, k), 0) <= -(-n // n_shards)
+
+
+def test_against_lists(spark):
+    rows = [(i, f"t{i}", None if i % 11 == 0 else "hot" if i % 2 else f"s{i % 97}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = proportional_shards(docs, 24, seed=3).collect()
+    check(got, rows, 24)
+    within_a_row(got, Counter(s for _, _, s in rows), 24)
+    text = F.col("text")
+    hashed = docs.select(
+        "source",
+        F.xxhash64(F.lit(3), "doc_id", F.crc32(text.cast("binary")), F.octet_length(text).cast("long")),
+        "doc_id",
+    )
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == spread([tuple(r) for r in hashed.collect()], 24)
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        lambda i: f"one{i}" if i < 10_000 else "web",
+        lambda i: "huge" if i < 12_000 else f"s{i % 400}",
+        lambda i: f"s{int((2 * i) ** 0.5)}",
+    ],
+    ids=["10,000 one-row sources", "one huge and many equal", "200 sources of all sizes"],
+)
+def test_mixture_of_long_tails(spark, source):
+    rows = [(i, "", source(i)) for i in range(20_000)]
+    got = proportional_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), 24).collect()
+    check(got, rows, 24)
+    within_a_row(got, Counter(s for _, _, s in rows), 24)
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None), (None, None, None), (1, "", "a"), (1, "", "a"), (2, "é" * 50_000, None), (3, "x", "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rank", F.lit("x"))
