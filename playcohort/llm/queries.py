@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playcohort.llm import decontaminate, html_extract, jaccard_join, licences, packing, quality_rules, secret_scan, sharding, tokens, toxicity
+from playcohort.llm import conversations, decontaminate, html_extract, jaccard_join, licences, packing, quality_rules, secret_scan, sharding, tokens, toxicity
 from playcohort.llm.common import table
 
 WINDOW = 2048
@@ -129,6 +129,30 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """The conversations with faults that the checksum of their key decides (nulls: one space)."""
+    known = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", known("conv_id"), known("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(known("text"), "[.!?]", "")).otherwise(known("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1)))
+    return rows.where(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(known("role")).alias("role"), text.alias("text"), copies
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.summaries(conversations.edits(damaged(rows))).withColumnRenamed("conv_id", "_conv")
+    named = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return named.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
@@ -140,4 +164,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
 }

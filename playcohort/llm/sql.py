@@ -122,3 +122,79 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept,
        {', '.join(f'CAST({name} AS BIGINT) AS {name}' for name in _RATIOS)}
 FROM rated"""
+
+#: CRC-32 of an ASCII string: its bytes folded into a register, eight shifts each.
+_CRC32 = """
+xor(4294967295, list_reduce(
+  list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce(
+    list_prepend(xor(crc, b), range(8)),
+    lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+
+_LAST = "right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)"
+#: State (last role initial, - before the first), insertions before a row, their cost, and the
+#: state and lines they lead to.
+_INSERTED = """(VALUES
+  ('-', '', 0, '-', CAST([] AS VARCHAR[])), ('-', 'I', 2, 'u', ['user:']), ('-', 'II', 4, 'a', ['user:', 'assistant:']),
+  ('s', '', 0, 's', []), ('s', 'I', 2, 'u', ['user:']), ('s', 'II', 4, 'a', ['user:', 'assistant:']),
+  ('u', '', 0, 'u', []), ('u', 'I', 2, 'a', ['assistant:']),
+  ('a', '', 0, 'a', []), ('a', 'I', 2, 'u', ['user:'])) AS m(st, more, price, mid, lines)"""
+
+ORACLE["op11_conversation_repair"] = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+hashed AS (SELECT *, {_CRC32} % 20 AS h FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE h <> 0),
+counted AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS n FROM damaged),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS c,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n) AS i,
+         CASE WHEN {_LAST} = '' THEN 'blank' WHEN n > 1 THEN 'duplicate'
+              WHEN {_LAST} NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM counted),
+edits AS (
+  SELECT conv_id, i, st, 'D' AS edit, 3 AS price, st AS next, CAST([] AS VARCHAR[]) AS lines FROM placed, (VALUES ('-'), ('s'), ('u'), ('a')) s(st)
+  UNION ALL
+  SELECT conv_id, i, st, edit, price + CAST(fault = 'truncated' AS INT), next, [coalesce(given, role) || ':' || text]
+  FROM placed JOIN (VALUES
+    ('-', 'K', 0, 's', NULL, 's'), ('-', 'K', 0, 'u', NULL, 'u'), ('s', 'K', 0, 'u', NULL, 'u'),
+    ('u', 'K', 0, 'a', NULL, 'a'), ('a', 'K', 0, 'u', NULL, 'u'),
+    ('-', 'R', 2, NULL, 'user', 'u'), ('s', 'R', 2, NULL, 'user', 'u'), ('u', 'R', 2, NULL, 'assistant', 'a'),
+    ('a', 'R', 2, NULL, 'user', 'u')) AS e(st, edit, price, needs, given, next)
+    ON coalesce(needs, c) = c WHERE fault NOT IN ('blank', 'duplicate')),
+ways(conv_id, i, st, best) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '-', {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])}}
+  FROM placed GROUP BY conv_id
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.next,
+         min({{'cost': best.cost + m.price + e.price, 'audit': best.audit || more || edit,
+               'lines': list_concat(best.lines, m.lines, e.lines)}})
+  FROM ways w JOIN {_INSERTED} ON w.st = m.st
+  JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.st = m.mid
+  GROUP BY w.conv_id, w.i, e.next),
+ends AS (
+  SELECT w.conv_id, min({{'cost': best.cost + m.price, 'audit': best.audit || more, 'lines': list_concat(best.lines, m.lines)}}) AS best
+  FROM ways w JOIN (SELECT conv_id, max(i) AS i FROM placed GROUP BY conv_id) p
+    ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i
+  JOIN {_INSERTED} ON w.st = m.st WHERE mid IN ('-', 'a') GROUP BY w.conv_id),
+pairs AS (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM placed),
+figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM pairs GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM c.conv_id"""
