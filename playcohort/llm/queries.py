@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playcohort.llm import conversations, decontaminate, html_extract, jaccard_join, licences, packing, quality_rules, secret_scan, sharding, tokens, toxicity
+from playcohort.llm import conversations, decontaminate, html_extract, jaccard_join, licences, packing, quality_rules, secret_scan, sharding, simhash, tokens, toxicity
 from playcohort.llm.common import table
 
 WINDOW = 2048
@@ -153,6 +153,11 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.components(table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
@@ -165,4 +170,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_simhash_dedup": op12_simhash_dedup,
 }
