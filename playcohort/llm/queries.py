@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playcohort.llm import conversations, decontaminate, html_extract, jaccard_join, licences, packing, quality_rules, secret_scan, sharding, simhash, tokens, toxicity
+from playcohort.llm import conversations, decontaminate, hard_negatives, html_extract, jaccard_join, licences, packing, quality_rules, secret_scan, sharding, simhash, tokens, toxicity
 from playcohort.llm.common import table
 
 WINDOW = 2048
@@ -158,6 +158,12 @@ def op12_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_secret_scan": op2_secret_scan,
@@ -171,4 +177,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_simhash_dedup": op12_simhash_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }

@@ -10,10 +10,9 @@ The range-join: of ``reach`` differences at most reach // 2 fall into one half o
 linked fingerprints lie within that Manhattan distance in one half at least. Each half is a
 grid with a cell per embedding. A fingerprint stays in its own cell of both grids and visits
 the cells that lie within the distance and come later in the order of cells, so two cells meet
-in one place. Where fingerprints meet, the Manhattan distance of the whole embeddings and then
-the differing bits themselves decide. What meets is streamed in the order of the cells; a cell
-with more than ``block_rows`` fingerprints is split into blocks, whose pairs are spread over
-tasks. A meeting returns links that connect what it linked (fewer than it has fingerprints),
+in one place. Where fingerprints meet, the differing bits themselves decide. What meets is
+streamed in the order of the cells; a cell with more than ``block_rows`` fingerprints is split
+into blocks, whose pairs are spread over tasks. A meeting returns links that connect what it linked (fewer than it has fingerprints),
 never its pairs.
 
 Fingerprints are compared once each, whatever number of documents has them. Links are joined
