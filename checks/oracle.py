@@ -423,7 +423,10 @@ FROM (SELECT userid, artist_name, track_name, count(*) AS plays FROM plays_l
 LEFT JOIN (SELECT * FROM audio_l WHERE energy IS NOT NULL) a
   ON lower(artist_name) || '|||' || lower(track_name) = a.track_key""")
 oracle("feature_block_outer_join", f"""
-SELECT userid, {pick(ARTIST_COLS)}, {pick(TEMPORAL_COLS)} FROM artist_l FULL JOIN temporal_e USING (userid)""")
+SELECT userid, {pick(ARTIST_COLS)}, {pick(GENRE_COLS)}, {pick(TEMPORAL_COLS)},
+       {pick(engagement_cols((30, 90)))}, {pick(AUDIO_COLS)}
+FROM artist_l FULL JOIN genre_l USING (userid) FULL JOIN temporal_e USING (userid)
+FULL JOIN engagement_l USING (userid) FULL JOIN audio_block_l USING (userid)""")
 oracle("profile_left_join", f"""
 SELECT p.userid, p.total_scrobbles, f.gender, {num('f.age', 'age')}, f.country
 FROM (SELECT userid, count(*) AS total_scrobbles FROM plays_l GROUP BY userid) p
@@ -572,13 +575,15 @@ SELECT a.feature AS feat_a, b.feature AS feat_b,
 FROM matrix_long a JOIN matrix_long b ON a.userid = b.userid
 WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.feature, b.feature"""
 oracle("correlation_matrix", f"SELECT feat_a, feat_b, {num('r', 'correlation')} FROM corr_rows")
-PARTS["feature_pos"] = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {i} AS pos" for i, c in enumerate(FEATURES)
-)
+_AT = "CASE WHEN v[p] IS NOT NULL AND v[q] IS NOT NULL THEN v[{}] END"
 oracle("high_correlation_pairs", f"""
-SELECT feat_a, feat_b, {num('abs(r)', 'correlation')}
-FROM corr_rows JOIN feature_pos p ON feat_a = p.feature JOIN feature_pos q ON feat_b = q.feature
-WHERE p.pos > q.pos AND abs(r) > 0.75""")
+SELECT names[p] AS feat_a, names[q] AS feat_b, {num('abs(r)', 'correlation')}
+FROM (SELECT p, q, corr(v[p], v[q]) AS r
+      FROM (SELECT [{', '.join(f'CAST({c} AS DOUBLE)' for c in FEATURES)}] AS v FROM matrix_l)
+      JOIN (SELECT p, q FROM range(1, {len(FEATURES) + 1}) a(p) JOIN range(1, {len(FEATURES) + 1}) b(q) ON p > q) ON true
+      GROUP BY p, q HAVING stddev_pop({_AT.format('p')}) > 1e-9 AND stddev_pop({_AT.format('q')}) > 1e-9)
+JOIN (SELECT {FEATURES} AS names) ON true
+WHERE abs(r) > 0.75""")
 
 # -- sessions, top k, sets -------------------------------------------------------------
 
@@ -712,6 +717,72 @@ FINALLY
 SELECT v.vec_id, CAST(coalesce(n.cluster, -1) AS BIGINT) AS cluster
 FROM vec v LEFT JOIN comp c ON v.vec_id = c.i LEFT JOIN numbered n ON c.component = n.component""")
 
+# The hierarchy of densities, from the order in which a tree of least links grows: components
+# at any distance are runs of that order without a longer link inside.
+_GROWN = """
+core AS (SELECT i, d FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS rn FROM pairs) WHERE rn = 5),
+linked AS (
+  SELECT p.i, p.j, greatest(p.d, a.d, b.d, 1e-12::DOUBLE) AS w FROM pairs p JOIN core a ON a.i = p.i JOIN core b ON b.i = p.j),
+grown(step, i, best) AS (
+  SELECT 1, j, w FROM linked WHERE i = (SELECT min(i) FROM core)
+  UNION ALL
+  SELECT step + 1, g.i, least(best, w)
+  FROM (SELECT *, first_value(i) OVER (ORDER BY best, i) AS nearest FROM grown) g
+  JOIN linked l ON l.i = g.nearest AND l.j = g.i),
+places AS (
+  SELECT step AS pos, arg_min(i, (best, i)) AS i, min(best) AS w FROM grown GROUP BY step
+  UNION ALL SELECT 0, min(i), NULL FROM core),
+runs AS (
+  SELECT DISTINCT w, lo, hi, hi - lo + 1 AS size FROM (
+    SELECT a.w, coalesce(max(CASE WHEN b.pos <= a.pos AND b.w > a.w THEN b.pos END), 0) AS lo,
+           coalesce(min(CASE WHEN b.pos > a.pos AND b.w > a.w THEN b.pos END) - 1, max(b.pos)) AS hi
+    FROM places a, places b WHERE a.w IS NOT NULL GROUP BY a.pos, a.w)
+  WHERE hi - lo + 1 >= 5),
+above AS (
+  SELECT r.lo, r.hi, arg_min((o.lo, o.hi), o.size) AS up FROM runs r JOIN runs o
+  ON o.lo <= r.lo AND o.hi >= r.hi AND o.size > r.size GROUP BY r.lo, r.hi),
+begun AS (
+  SELECT r.*, coalesce(n, 0) AS parts FROM runs r LEFT JOIN (SELECT up, count(*) AS n FROM above GROUP BY up) k ON k.up = (r.lo, r.hi)
+  WHERE coalesce(n, 0) <> 1),
+chains AS (
+  SELECT r.w, r.lo, r.hi, r.size, arg_max((o.lo, o.hi), o.size) AS c
+  FROM runs r JOIN begun o ON o.lo >= r.lo AND o.hi <= r.hi GROUP BY r.w, r.lo, r.hi, r.size),
+tops AS (SELECT c, arg_max((lo, hi), size) AS top, max(size) AS size FROM chains GROUP BY c),
+leaving AS (
+  SELECT c, pos, i, min(h.w) AS w FROM chains h JOIN places ON pos BETWEEN lo AND hi GROUP BY c, pos, i),
+tree AS (
+  SELECT t.c, t.top, t.size, a.up AS parent, CASE WHEN u.w IS NULL THEN 0.0::DOUBLE ELSE 1 / u.w END AS birth, 1 / o.w AS death,
+         (SELECT sum(1 / l.w) FROM leaving l WHERE l.c = t.c) - t.size * CASE WHEN u.w IS NULL THEN 0.0::DOUBLE ELSE 1 / u.w END AS stability,
+         (SELECT min(l.i) FROM leaving l WHERE l.c = t.c) AS least,
+         row_number() OVER (ORDER BY t.size, t.top) AS k
+  FROM tops t JOIN begun o ON t.c = (o.lo, o.hi) LEFT JOIN above a ON t.top = (a.lo, a.hi) LEFT JOIN runs u ON a.up = (u.lo, u.hi)),
+family AS (SELECT t.*, coalesce((SELECT list(s.k) FROM tree s WHERE s.parent = t.c), []) AS kids FROM tree t),
+judged(k, best, stable) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST([] AS BOOLEAN[])
+  UNION ALL
+  SELECT f.k, list_append(best, CASE WHEN keep THEN f.stability ELSE below END), list_append(stable, keep)
+  FROM (SELECT j.*, f.k AS next, f.stability,
+               coalesce(list_sum(list_transform(kids, lambda x: best[x])), 0) AS below,
+               len(kids) = 0 OR f.stability >= list_sum(list_transform(kids, lambda x: best[x])) AS keep
+        FROM judged j JOIN family f ON f.k = j.k + 1) f(k0, best, stable, k, stability, below, keep)),
+verdict AS (SELECT stable FROM judged ORDER BY k DESC LIMIT 1),
+sound AS (SELECT f.* FROM family f, verdict v WHERE v.stable[f.k] AND f.parent IS NOT NULL),
+kept AS (
+  SELECT s.* FROM sound s WHERE NOT EXISTS (
+    SELECT 1 FROM sound o WHERE o.top[1] <= s.top[1] AND o.top[2] >= s.top[2] AND o.size > s.size))"""
+oracle("density_hierarchy", f"""RECURSIVE {_GROWN}
+FINALLY
+SELECT f.least, f.size, {num('birth', 'birth')}, {num('death', 'death')}, {num('stability', 'stability')},
+       f.c IN (SELECT c FROM kept) AS kept FROM family f""")
+oracle("density_auto", f"""RECURSIVE {_GROWN},
+numbered AS (SELECT top, row_number() OVER (ORDER BY least) - 1 AS cluster FROM kept),
+first_run AS (
+  SELECT p.i, arg_min((r.lo, r.hi), r.size) AS run FROM places p JOIN runs r ON p.pos BETWEEN r.lo AND r.hi GROUP BY p.i)
+FINALLY
+SELECT v.vec_id, CAST(coalesce(n.cluster, -1) AS BIGINT) AS cluster
+FROM vec v LEFT JOIN first_run f ON f.i = v.vec_id
+LEFT JOIN numbered n ON n.top[1] <= f.run[1] AND n.top[2] >= f.run[2]""")
+
 # -- profiles --------------------------------------------------------------------------
 
 oracle("cluster_summary", f"""

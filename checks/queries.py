@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from checks import mappings as m
 from playcohort.functions import columns as C
 from playcohort.operators import audio, blocks, cluster, density, diversity, engagement, explore
-from playcohort.operators import importance, prep, profiles as prof, quality, rollups, sessions
+from playcohort.operators import hierarchy, importance, prep, profiles as prof, quality, rollups, sessions
 from playcohort.operators import temporal, topk
 from playcohort.plans import clustering as plan_clustering
 from playcohort.plans.enrichment import ARTIST_ANSWER, run_enrichment
@@ -231,11 +231,15 @@ def q_audio_join(spark, sf):
 
 @query
 def q_feature_block_outer_join(spark, sf):
+    plays = m.plays_l(spark, sf)
     return r6(
         blocks.join_feature_blocks(
             [
-                diversity.artist_diversity(m.plays_l(spark, sf)),
+                diversity.artist_diversity(plays),
+                diversity.genre_diversity(plays, m.artist_genres(spark, sf)),
                 temporal.temporal_features(m.plays_e(spark, sf)),
+                engagement.engagement_features(plays),
+                audio.audio_profile(plays, m.audio_features(spark, sf)),
             ]
         ).drop(*STABILITY)
     )
@@ -832,7 +836,12 @@ def q_density_cluster(spark, sf):
 
 @query
 def q_density_auto(spark, sf):
-    return density.choose_eps(m.vectors(spark, sf), 5, 5, id_col="vec_id")[1]
+    return r6(hierarchy.density_hierarchy(m.vectors(spark, sf), 5, 5, "vec_id").labels)
+
+
+@query
+def q_density_hierarchy(spark, sf):
+    return r6(hierarchy.density_hierarchy(m.vectors(spark, sf), 5, 5, "vec_id").clusters)
 
 
 @query

@@ -7,57 +7,81 @@ that is not dense are noise (-1).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window, functions as F
 
-from playcohort.functions.quantiles import exact_quantiles
 from playcohort.operators.pairwise import (
     BLOCK_ROWS,
-    distance_strips,
+    PivotBlocks,
+    near_strips,
+    nearest,
     over_block_pairs,
+    over_meeting_blocks,
+    pivot_blocks,
     point_arrays,
 )
-from playcohort.operators.quality import silhouette_exact
 from playcohort.operators.topk import head_per_group
-from playcohort.session import cut_lineage
+from playcohort.session import cut_lineage, staged
 
 
 def neighbour_distances(
     points: DataFrame, min_samples: int = 5, id_col: str = "userid", block_rows: int | None = None
 ) -> DataFrame:
     """(id, core_distance): distance to the ``min_samples``-th nearest other point, null for
-    fewer points. A cell passes on only that many candidates per point."""
+    fewer points.
+
+    Points are dealt into blocks around pivots. Inside its block every point finds a first
+    bound for its distance; two blocks then meet only if the triangle inequality lets a point
+    of one lie within the largest bound of the other. A meeting passes on at most
+    ``min_samples`` candidates per point.
+    """
     arrays = point_arrays(points.select(id_col, "features"), id_col)
     id_type = arrays.schema["id"].dataType.simpleString()
+    count = arrays.count()
+    if count <= min_samples:
+        return points.select(id_col, F.lit(None).cast("double").alias("core_distance"))
+    blocks = pivot_blocks(arrays, count, block_rows)
 
-    def kernel(left, right, same):
+    def inside(pdf):
+        import numpy as np
+        import pandas as pd
+
+        x = np.stack(pdf["x"].to_numpy())
+        rows, d = nearest(x, x, min_samples, True)
+        return pd.DataFrame({"id": pdf["id"].to_numpy()[rows], "block": pdf["block"].iloc[0], "d": d})
+
+    first = staged(blocks.points.groupBy("block").applyInPandas(inside, f"id {id_type}, block int, d double"))
+    # A point of a small block may know fewer distances: it has no bound yet.
+    known = first.groupBy("block", "id").agg(F.max("d").alias("d"), F.count("*").alias("n"))
+    bound = F.when(F.col("n") == min_samples, F.col("d"))
+    bounds = blocks.points.select("block", "id").join(known, ["block", "id"], "left")
+    bounds = bounds.groupBy("block").agg(F.max(F.coalesce(bound, F.lit(float("inf")))).alias("d"))
+    reach = reach_of_blocks(blocks, bounds)
+
+    def between(left, right, same):
         import numpy as np
         import pandas as pd
 
         a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
         out = []
+        for ids, rows, d in [(left["id"].to_numpy(), *nearest(a, b, min_samples, False)),
+                             (right["id"].to_numpy(), *nearest(b, a, min_samples, False))]:
+            out.append(pd.DataFrame({"id": ids[rows], "d": d}))
+        return pd.concat(out)
 
-        def smallest(ids, dist):
-            take = min(min_samples, dist.shape[1])
-            if take:
-                part = np.partition(dist, take - 1, axis=1)[:, :take]
-                frame = pd.DataFrame({"id": np.repeat(ids, take), "d": part.ravel()})
-                out.append(frame[np.isfinite(frame["d"])])
+    more = over_meeting_blocks(blocks, blocks.points, reach, between, f"id {id_type}, d double")
+    closest = head_per_group(first.select("id", "d").union(more), ["id"], ["d"], min_samples)
+    kth = F.max(F.when(F.col("rn") == min_samples, F.col("d")))
+    return closest.groupBy("id").agg(kth.alias("core_distance")).withColumnRenamed("id", id_col)
 
-        for start, dist in distance_strips(a, b):
-            if same:
-                dist[np.arange(len(dist)), np.arange(start, start + len(dist))] = np.inf
-            smallest(left["id"].to_numpy()[start : start + len(dist)], dist)
-        if not same:
-            for start, dist in distance_strips(b, a):
-                smallest(right["id"].to_numpy()[start : start + len(dist)], dist)
-        return pd.concat(out) if out else pd.DataFrame({"id": left["id"][:0], "d": []})
 
-    near = over_block_pairs(arrays, arrays.count(), kernel, f"id {id_type}, d double", block_rows)
-    nearest = head_per_group(near, ["id"], ["d"], min_samples)
-    kth = F.max(F.when(F.col("rn") == min_samples, F.col("d")))
-    return nearest.groupBy("id").agg(kth.alias("core_distance")).withColumnRenamed("id", id_col)
+def reach_of_blocks(blocks: PivotBlocks, bounds: DataFrame):
+    """The numbers of ``bounds`` (block, d) in the order of the blocks: one per block."""
+    import numpy as np
+
+    reach = np.full(len(blocks.radii), -np.inf)
+    for r in bounds.collect():
+        reach[r["block"]] = r["d"]
+    return reach
 
 
 def dense_points(
@@ -72,8 +96,7 @@ def dense_points(
 
         a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
         n_left, n_right = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-        for start, dist in distance_strips(a, b):
-            near = dist <= eps
+        for start, near in near_strips(a, b, eps):
             if same:
                 near[np.arange(len(near)), np.arange(start, start + len(near))] = False
             n_left[start : start + len(near)] = near.sum(axis=1)
@@ -98,7 +121,7 @@ def _cell_links(dense: DataFrame, eps: float, count: int, block_rows: int | None
         import pandas as pd
 
         a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-        near = np.concatenate([dist <= eps for _, dist in distance_strips(a, b)])
+        near = np.concatenate([flags for _, flags in near_strips(a, b, eps)])
         n, m = near.shape
         if same:
             # Smallest reachable position, spread until nothing changes.
@@ -218,33 +241,3 @@ def density_cluster(
     return points.select(id_col).join(found, id_col, "left").select(
         id_col, F.coalesce("cluster", F.lit(-1)).alias("cluster")
     )
-
-
-def choose_eps(
-    points: DataFrame,
-    min_cluster_size: int = 10,
-    min_samples: int = 5,
-    quantiles: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9),
-    id_col: str = "userid",
-) -> tuple[float, DataFrame]:
-    """The radius, among quantiles of the core distance, whose clusters have the best exact
-    silhouette, and the labels there. Without any radius that gives two clusters, the
-    largest one tried."""
-    points = points.select(id_col, "features")
-    core = neighbour_distances(points, min_samples, id_col).withColumn("all", F.lit(1))
-    named = {f"q{i}": q for i, q in enumerate(sorted(quantiles))}
-    row = exact_quantiles(core, ["all"], "core_distance", named).first()
-    radii = sorted({row[n] for n in named if row is not None and row[n] is not None})
-    best: tuple[float, float, DataFrame] | None = None
-    for eps in radii:
-        labels = cut_lineage(density_cluster(points, eps, min_cluster_size, min_samples, id_col))
-        clusters = labels.where(F.col("cluster") != -1).select("cluster").distinct().count()
-        score = -2.0
-        if clusters > 1:
-            score = silhouette_exact(points.join(labels, id_col), id_col).first()["silhouette"]
-        if best is None or score > best[0] or (score == -2.0 and best[0] == -2.0):
-            best = (score, eps, labels)
-    if best is None:
-        labels = points.select(id_col, F.lit(-1).alias("cluster"))
-        return 0.0, labels
-    return best[1], best[2]

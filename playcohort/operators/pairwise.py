@@ -1,6 +1,6 @@
-"""Work over all pairs of points, without ever listing the pairs.
+"""Work over pairs of points, without ever listing the pairs.
 
-The points are hashed into blocks; a cell is an unordered pair of blocks, and one task
+The points are dealt into blocks, by a hash or by their nearest pivot; a cell is an unordered pair of blocks, and one task
 turns a cell into per-point results with matrix products. The number of blocks grows with
 the number of points, so a task always holds about two blocks, whatever the size of the
 table or of any cluster in it. The distance work itself stays quadratic.
@@ -9,10 +9,13 @@ table or of any cluster in it. The distance work itself stays quadratic.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from playcohort.session import staged
+
 BLOCK_ROWS = 4096
 _LARGE_BLOCK_ROWS = 32_768
 _STRIP_CELLS = 1 << 22
@@ -51,6 +54,11 @@ def over_block_pairs(
         F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *placed.columns
     )
 
+    return _on_cells(cells, kernel, schema)
+
+
+def _on_cells(cells: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel`` on every (lo, hi), of which ``block`` is one."""
     names = T.StructType.fromDDL(schema).names
 
     def run(pdf):
@@ -66,6 +74,148 @@ def over_block_pairs(
     return cells.groupBy("lo", "hi").applyInPandas(run, schema)
 
 
+#: Pivots at most; they are fetched to the driver and sent to tasks.
+PIVOTS = 1024
+
+
+@dataclass
+class PivotBlocks:
+    """Points (id, x, ``block``, ``away`` from the pivot of the block), and for each block, by its
+    number, the pivot and the radius: a few numbers per block of ``block_rows`` points."""
+
+    points: DataFrame
+    centres: object
+    radii: object
+
+
+def pivot_blocks(arrays: DataFrame, count: int, block_rows: int | None = None) -> PivotBlocks:
+    """Blocks of points that lie together: by the nearest of up to ``PIVOTS`` points (drawn by
+    their hash), a crowded neighbourhood in several blocks by a hash of the id."""
+    import numpy as np
+
+    size = block_rows or block_rows_for(count)
+    drawn = arrays.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, -(-count // size)))).select("x").collect()
+    pivots = np.array([r["x"] for r in drawn], dtype=float).reshape(len(drawn), -1)
+
+    def place(batches):
+        for pdf in batches:
+            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.empty((0, pivots.shape[1]))
+            at, away = np.zeros(len(x), dtype=np.int32), np.full(len(x), np.inf)
+            for k, pivot in enumerate(pivots):
+                d = direct_distances(x, pivot)
+                nearer = d < away
+                at[nearer], away[nearer] = k, d[nearer]
+            yield pdf.assign(pivot=at, away=away)
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in arrays.schema.fields)
+    placed = staged(arrays.mapInPandas(place, f"{kind}, pivot int, away double"))
+    rows = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+    parts = [max(1, -(-rows.get(k, 0) // size)) for k in range(len(pivots))]
+    firsts = np.cumsum([0, *parts])
+    lit = lambda values: F.array(*[F.lit(int(v)) for v in values])
+    first, n = F.get(lit(firsts), F.col("pivot")), F.get(lit(parts), F.col("pivot"))
+    points = staged(placed.withColumn("block", (first + F.pmod(F.xxhash64("id"), n)).cast("int")).drop("pivot"))
+    radii = np.full(int(firsts[-1]), -np.inf)
+    for r in points.groupBy("block").agg(F.max("away").alias("r")).collect():
+        radii[r["block"]] = r["r"]
+    return PivotBlocks(points, np.repeat(pivots, parts, axis=0), radii)
+
+
+def meeting_blocks(centres, radii, reach, block: int):
+    """The later blocks that may hold a point within reach of one of ``block``, or the other way
+    round: by the triangle inequality no distance is below that of the pivots less both radii."""
+    import numpy as np
+
+    gap = direct_distances(centres, centres[block]) - radii - radii[block]
+    # Room for rounding in the sums above.
+    room = 1e-9 * (1.0 + np.abs(centres).max(initial=0.0))
+    near = (gap <= np.maximum(reach, reach[block]) + room) & np.isfinite(radii)
+    return np.flatnonzero(near & (np.arange(len(radii)) > block))
+
+
+def over_meeting_blocks(blocks: PivotBlocks, points: DataFrame, reach, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel`` on the pairs of different blocks that may hold points within ``reach`` (an array,
+    one number per block) of each other. ``points`` are those of ``blocks``, with more columns."""
+    import pandas as pd
+
+    centres, radii = blocks.centres, blocks.radii
+
+    def partners(batches):
+        for pdf in batches:
+            for lo in pdf["id"]:
+                found = meeting_blocks(centres, radii, reach, int(lo))
+                yield pd.DataFrame({"lo": int(lo), "hi": found})
+
+    pairs = points.sparkSession.range(len(radii)).mapInPandas(partners, "lo int, hi int")
+    pairs = staged(pairs)
+    ends = pairs.select(F.col("lo").alias("block"), "lo", "hi").union(pairs.select(F.col("hi"), "lo", "hi"))
+    return _on_cells(points.join(ends, "block"), kernel, schema)
+
+
+def direct_distances(a, b):
+    """Distances of rows, from the differences of their entries: exact to the last digits
+    wherever the points lie, and the same in every block."""
+    import numpy as np
+
+    gap = a - b
+    return np.sqrt((gap * gap).sum(axis=1))
+
+
+def _at_a_time(rows, columns, a, b, step: int = 1 << 16):
+    import numpy as np
+
+    parts = [direct_distances(a[rows[k : k + step]], b[columns[k : k + step]]) for k in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
+def square_strips(a, b, cells: int = _STRIP_CELLS):
+    """(start, squared distances, how far they may be off) of a strip of rows of ``a`` to all of
+    ``b``, by matrix products; for choosing what is then looked at by ``direct_distances``."""
+    import numpy as np
+
+    middle = a.mean(axis=0)
+    a, b = a - middle, b - middle
+    rows = max(1, cells // max(1, len(b)))
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    off = 4e-16 * (a.shape[1] + 8) * (np.sqrt(aa.max(initial=0.0)) + np.sqrt(bb.max(initial=0.0))) ** 2
+    for start in range(0, len(a), rows):
+        part = a[start : start + rows]
+        yield start, aa[start : start + rows, None] + bb[None, :] - 2.0 * (part @ b.T), off
+
+
+def nearest(a, b, k: int, same: bool):
+    """(rows of ``a``, distances): the ``k`` least distances of each row of ``a`` to other rows of
+    ``b`` (all, where there are fewer). With ``same``, row i of both is one point."""
+    import numpy as np
+
+    found = []
+    for start, sq, off in square_strips(a, b):
+        if same:
+            sq[np.arange(len(sq)), np.arange(start, start + len(sq))] = np.inf
+        take = min(k, sq.shape[1])
+        kth = np.partition(sq, take - 1, axis=1)[:, take - 1]
+        rows, columns = np.nonzero((sq <= kth[:, None] + 2 * off) & np.isfinite(sq))
+        d = _at_a_time(rows + start, columns, a, b)
+        order = np.lexsort((d, rows))
+        rows, d = rows[order], d[order]
+        firsts = np.searchsorted(rows, rows)
+        kept = np.arange(len(rows)) - firsts < take
+        found.append((rows[kept] + start, d[kept]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def near_strips(a, b, eps: float):
+    """(start, flags): which rows of ``b`` lie within ``eps`` of a strip of rows of ``a``; what is
+    close to the edge is decided by the direct distance."""
+    import numpy as np
+
+    for start, sq, off in square_strips(a, b):
+        near = sq <= eps * eps
+        rows, columns = np.nonzero(np.abs(sq - eps * eps) <= 2 * off + 1e-12 * eps * eps)
+        near[rows, columns] = _at_a_time(rows + start, columns, a, b) <= eps
+        yield start, near
+
+
 def distance_strips(a, b, cells: int = _STRIP_CELLS):
     """Euclidean distances of the rows of ``a`` to all rows of ``b``, a strip at a time; a
     strip has a bounded number of entries.
