@@ -680,6 +680,28 @@ FROM (SELECT a.cluster, max((a.s + b.s) / m.d) AS worst
             FROM centres p JOIN centres q ON p.pos = q.pos GROUP BY p.cluster, q.cluster) m
         ON m.i = a.cluster AND m.j = b.cluster
       GROUP BY a.cluster)""")
+_ASSIGNED = """
+SELECT k, vec_id, arg_min(c, (d, c)) AS c, min(d) AS d
+FROM (SELECT k, c, vec_id, sum((v - value) * (v - value)) AS d FROM {} m JOIN vec_cells USING (pos) GROUP BY k, c, vec_id)
+GROUP BY k, vec_id"""
+oracle("kmeans_rounds", f"""RECURSIVE
+starts AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, vec_id FROM vec QUALIFY c < 6),
+moved(turn, k, c, pos, value) AS (
+  SELECT 0, k, c, pos, v FROM starts JOIN vec_cells USING (vec_id) JOIN (VALUES (2), (4), (6)) s(k) ON c < k
+  UNION ALL
+  SELECT turn, k, c, pos, avg(v)
+  FROM (SELECT any_value(turn) + 1 AS turn, k, vec_id, arg_min(c, (d, c)) AS c
+        FROM (SELECT turn, k, c, vec_id, sum((v - value) * (v - value)) AS d
+              FROM moved JOIN vec_cells USING (pos) WHERE turn < 12 GROUP BY turn, k, c, vec_id)
+        GROUP BY k, vec_id)
+  JOIN vec_cells USING (vec_id) GROUP BY turn, k, c, pos),
+before AS (SELECT * FROM moved WHERE turn = 11),
+costs AS ({_ASSIGNED.format('before')})
+FINALLY
+SELECT {big('k', 'k')}, {big('c', 'centre')}, members, {num('cost', 'cost')}, {num('square', 'square')}
+FROM (SELECT k, c, count(*) AS members FROM costs GROUP BY k, c)
+JOIN (SELECT k, sum(d) AS cost FROM costs GROUP BY k) USING (k)
+JOIN (SELECT k, c, sum(value * value) AS square FROM moved WHERE turn = 12 GROUP BY k, c) USING (k, c)""")
 oracle("core_distance", f"""
 SELECT i AS vec_id, {num('d', 'core_distance')}
 FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS rn FROM pairs) WHERE rn = 5""")
@@ -867,7 +889,7 @@ oracle("pca_facts", f"""
 SELECT {big('n', 'users')}, {big('0', 'variance_lost')}, {big('0', 'correlated')} {_USERS}""")
 oracle("kmeans_facts", f"""
 SELECT {big('n', 'users')}, {big('n', 'labelled')}, {big('0', 'nearer_elsewhere')}, {big('8', 'tried')},
-       {big('0', 'rising')} {_USERS}""")
+       {big('0', 'rising')}, {big('0', 'extra_reads')} {_USERS}""")
 oracle("pipeline_facts", f"""
 SELECT {big('n', 'users')}, {big('n', 'labelled')}, {big('0', 'noise')}, {big('0', 'scores_off')} {_USERS}""")
 oracle("importance_facts", f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache, reduce
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -13,6 +14,7 @@ from playcohort.functions import columns as C
 from playcohort.operators import audio, blocks, cluster, density, diversity, engagement, explore
 from playcohort.operators import hierarchy, importance, prep, profiles as prof, quality, rollups, sessions
 from playcohort.operators import temporal, topk
+from playcohort.operators.pairwise import point_arrays
 from playcohort.plans import clustering as plan_clustering
 from playcohort.plans.enrichment import ARTIST_ANSWER, run_enrichment
 from playcohort.plans.features import build_feature_matrix
@@ -804,9 +806,10 @@ def q_elbow_table(spark, sf):
 @query
 def q_kmeans_facts(spark, sf):
     """What must hold for a sweep, whatever the start: every user has one label, all k were
-    tried, nobody is nearer to another centre, and no larger k costs more than 1 % more."""
+    tried, nobody is nearer to another centre, no larger k costs more than 1 % more, and the
+    vectors were read as often as the slowest model has rounds."""
     space, fitted = sweep(spark, sf)
-    centres = [[float(v) for v in c] for c in fitted.models[fitted.best_k].clusterCenters()]
+    centres = [[float(v) for v in c] for c in fitted.models[fitted.best_k].centres]
     point = vector_to_array("features")
     away = F.array(*[
         F.aggregate(
@@ -826,9 +829,25 @@ def q_kmeans_facts(spark, sf):
         "users", "labelled", "nearer_elsewhere",
         F.lit(len(costs)).cast("bigint").alias("tried"),
         F.lit(sum(b > 1.01 * a for a, b in zip(costs, costs[1:]))).cast("bigint").alias("rising"),
+        F.lit(fitted.reads - fitted.rounds).cast("bigint").alias("extra_reads"),
     )
 
 
+@query
+def q_kmeans_rounds(spark, sf):
+    """Models of three sizes, started at the first vectors, after twelve rounds together."""
+    rows = m.vectors(spark, sf)
+    first = [r["features"] for r in rows.orderBy("vec_id").limit(6).collect()]
+    fits = {k: cluster.Model(np.array(first[:k])) for k in (2, 4, 6)}
+    cluster.advance(point_arrays(rows.select("vec_id", "features"), "vec_id"), fits, -1.0, 12)
+    table = [
+        (k, c, int(fit.sizes[c]), float(fit.cost), float((fit.centres[c] ** 2).sum()))
+        for k, fit in fits.items()
+        for c in range(k)
+    ]
+    return r6(spark.createDataFrame(table, "k int, centre int, members bigint, cost double, square double"))
+
+
 @query
 def q_density_cluster(spark, sf):
     return r6(density.density_cluster(m.vectors(spark, sf), 1.165, 5, 5, "vec_id"))

@@ -1,5 +1,6 @@
 """Invariants of the randomised and iterative parts."""
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import mappings as m
 from checks.queries import user_vectors
 from playcohort.operators import cluster, density, importance, prep, quality, temporal
+from playcohort.operators.pairwise import point_arrays
 from playcohort.plans import clustering, report
 from playcohort.plans.enrichment import run_enrichment
 
@@ -60,6 +62,39 @@ def test_sweep(spark, points):
     assert [r["k"] for r in table] == [3, 4, 5]
 
 
+def test_models_advance_like_each_alone(spark, points):
+    rows = points.select("vec_id", "features").collect()
+    x = np.array([list(r.features) for r in rows], dtype=float)
+    arrays = point_arrays(points.select("vec_id", "features"), "vec_id").repartition(5)
+    far = np.full((1, x.shape[1]), 1e6)
+    starts = {"three": x[:3], "five": x[10:15], "empty": np.concatenate([x[:2], far])}
+    fits = {name: cluster.Model(c.copy()) for name, c in starts.items()}
+    reads = cluster.advance(arrays, fits, 1e-9)
+    assert reads == max(m.rounds for m in fits.values()) and all(m.settled for m in fits.values())
+    for name, centres in starts.items():
+        for turn in range(300):
+            gap = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+            at = gap.argmin(axis=1)
+            moved = np.array([x[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(len(centres))])
+            if ((moved - centres) ** 2).sum() <= 1e-9:
+                break
+            centres = moved
+        assert fits[name].rounds == turn + 1
+        assert fits[name].cost == pytest.approx(gap.min(axis=1).sum(), rel=1e-9)
+        assert fits[name].centres == pytest.approx(centres, abs=1e-9)
+        assert fits[name].sizes.tolist() == np.bincount(at, minlength=len(centres)).tolist()
+    assert fits["empty"].sizes[2] == 0 and (fits["empty"].centres[2] == far).all()
+
+
+def test_sweep_of_repeated_rows(spark):
+    """Fewer different rows than centres."""
+    rows = spark.range(30).selectExpr("id AS userid", "array(double(id % 2), 1D) AS features")
+    sweep = cluster.kmeans_sweep(rows, (2, 4), n_init=2)
+    assert sweep.best_k == 2 and sweep.inertias == {2: 0.0, 3: 0.0, 4: 0.0}
+    with pytest.raises(ValueError):
+        cluster.kmeans_sweep(rows.limit(0), (2, 3), n_init=1)
+
+
 def test_block_size_does_not_change_results(points):
     whole = quality.silhouette_exact(points, "vec_id").first()[0]
     split = quality.silhouette_exact(points, "vec_id", block_rows=64).first()[0]

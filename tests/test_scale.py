@@ -73,9 +73,9 @@ def test_filters_and_columns_reach_the_scan(spark, heavy):
 
 
 #: The functions that may fetch rows: a count, a level, one row of moments, a row per column,
-#: per pivot, per block of some thousand points, or per counted cluster.
+#: per pivot, per block of some thousand points, per centre, per counted cluster, or the seeds.
 FETCHES = {
-    "operators/cluster.py:mean_variance", "operators/density.py:connected_components",
+    "operators/cluster.py:advance", "operators/cluster.py:kmeans_sweep", "operators/cluster.py:mean_variance", "operators/density.py:connected_components",
     "operators/density.py:reach_of_blocks", "operators/explore.py:correlation_matrix",
     "operators/hierarchy.py:condense", "operators/pairwise.py:pivot_blocks", "operators/prep.py:fit_medians",
     "operators/prep.py:fit_moments", "operators/prep.py:vector_size", "operators/quality.py:_silhouettes",
