@@ -4,10 +4,14 @@ Every document gets a few counts (words, their characters, symbols, repeated lin
 repeated five-word windows). Fixed base rules come first. For the documents that pass them
 four ratios are sketched per language and source: an integer histogram that is exact up to
 4,095 thousandths and keeps twelve leading bits beyond, so a sketch has a bounded number of
-buckets, and adding counts merges sketches in any order to the same result. Groups with
-fewer than ``least_rows`` documents use the merged sketch of their language, such languages
-that of the corpus. A document is kept when all its ratios lie within ``reach`` times the
-interquartile range of its group's quartiles (a range below ``least_range`` counts as that).
+buckets, and adding counts merges sketches in any order to the same result.
+
+Every sketch is smoothed by its parent: the language's sketch gets ``weight`` documents at
+even quantiles of the corpus', the sketch of a language and source as many at those of its
+smoothed language. A small group so follows its parents and a large one itself, without a
+size at which that changes. The fence of a ratio is a high quantile of the smoothed sketch
+plus a multiple of its distance to a lower one (``RULES``); no fence has a fixed value. A
+document is kept when all its ratios lie within the fences of its group.
 
 Only built-in expressions: whole texts are turned into counts where they are read, nothing
 but narrow rows is shuffled, and the histogram is summed before the shuffle. The thresholds
@@ -41,9 +45,20 @@ RATIOS = {
     "repeat_share": ("n_repeat_words", "n_words"),
 }
 
-#: Ratio -> least interquartile range, and whether low values are outside too.
-LEAST_RANGE = {"word_length": 800, "symbol_share": 50, "dup_line_share": 150, "repeat_share": 100}
+#: Ratio -> (lower level, upper level, reach): the fence is the quantile at the upper level plus
+#: ``reach`` times its distance to the lower one; levels in hundredths. Lengths of words and
+#: symbols are compared with the bulk of the group; repetition, which most documents have
+#: none of, with its tail.
+RULES = {
+    "word_length": (50, 90, 3),
+    "symbol_share": (50, 90, 3),
+    "dup_line_share": (90, 99, 1),
+    "repeat_share": (90, 99, 1),
+}
+#: Ratios whose low values are outside too, by the mirrored levels.
 LOWER = {"word_length"}
+#: Documents that a parent's sketch counts for.
+WEIGHT = 100
 
 
 def repeated(hashes: Column) -> Column:
@@ -125,47 +140,50 @@ def merged(sketch: DataFrame, group: list[str]) -> DataFrame:
     return sketch.groupBy(*group, "ratio", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, group: list[str], reach: int, level: str) -> DataFrame:
-    """One row per group: its number of documents, and the lower and upper fence of each ratio."""
-    whole = Window.partitionBy(*group, "ratio")
-    ranked = sketch.select(
-        *group,
-        "ratio",
-        "bucket",
-        F.sum("n").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-        F.sum("n").over(whole).alias("_all"),
-    )
-    quartile = lambda k: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * k, F.col("bucket")))
-    quartiles = ranked.groupBy(*group, "ratio").agg(
-        F.max("_all").alias("_n"), quartile(1).alias("_q1"), quartile(3).alias("_q3")
-    )
-    least = F.create_map(*[F.lit(x) for pair in LEAST_RANGE.items() for x in pair])
-    spread = F.greatest(F.col("_q3") - F.col("_q1"), F.element_at(least, F.col("ratio"))) * reach
-    bounded = quartiles.select(*group, "ratio", "_n", (F.col("_q1") - spread).alias("_low"), (F.col("_q3") + spread).alias("_high"))
-    pick = lambda column, ratio: F.max(F.when(F.col("ratio") == ratio, F.col(column)))
-    return bounded.groupBy(*group).agg(
-        F.max("_n").alias(f"{level}_n"),
-        *[pick("_high", r).alias(f"{level}_{r}_high") for r in RATIOS],
-        *[pick("_low", r).alias(f"{level}_{r}_low") for r in RATIOS if r in LOWER],
-    )
+def upto(group: list[str]) -> Column:
+    """Documents of a sketch up to and with a bucket."""
+    return F.sum("n").over(Window.partitionBy(*group, "ratio").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def of_all(group: list[str]) -> Column:
+    return F.sum("n").over(Window.partitionBy(*group, "ratio"))
+
+
+def even_quantiles(sketch: DataFrame, group: list[str], weight: int) -> DataFrame:
+    """A sketch of ``weight`` documents at even quantiles (the middles of equal shares) of each one."""
+    ranked = sketch.select(*group, "ratio", "bucket", "n", upto(group).alias("_upto"), of_all(group).alias("_all"))
+    share = lambda x: F.expr(f"({2 * weight} * ({x}) + _all) div (2 * _all)")
+    return ranked.select(*group, "ratio", "bucket", (share("_upto") - share("_upto - n")).alias("n")).where("n > 0")
+
+
+def smoothed(sketch: DataFrame, group: list[str], parent: DataFrame, parent_group: list[str]) -> DataFrame:
+    """Each sketch with the documents that its parent stands for."""
+    given = parent.withColumnsRenamed({**{c: f"_{c}" for c in parent_group}, "ratio": "_ratio"})
+    same = F.col("ratio") == F.col("_ratio")
+    for c in parent_group:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    from_parent = sketch.select(*group, "ratio").distinct().join(given, same).select(*group, "ratio", "bucket", "n")
+    return merged(sketch.unionByName(from_parent), group)
+
+
+def thresholds(sketch: DataFrame, weight: int) -> DataFrame:
+    """Fences of every (language, source): ``<ratio>_high``, and ``<ratio>_low`` where low values count."""
+    corpus = even_quantiles(merged(sketch, []), [], weight)
+    by_lang = smoothed(merged(sketch, ["lang"]), ["lang"], corpus, [])
+    group = ["lang", "source"]
+    by_source = smoothed(sketch, group, even_quantiles(by_lang, ["lang"], weight), ["lang"])
+    ranked = by_source.select(*group, "ratio", "bucket", upto(group).alias("_upto"), of_all(group).alias("_all"))
+
+    def at(ratio: str, level: int) -> Column:
+        reached = (F.col("ratio") == ratio) & (F.col("_upto") * 100 >= F.col("_all") * level)
+        return F.min(F.when(reached, F.col("bucket")))
 
+    def fence(ratio: str, low: int, high: int, reach: int) -> Column:
+        return at(ratio, high) + reach * (at(ratio, high) - at(ratio, low))
 
-def thresholds(sketch: DataFrame, reach: int, least_rows: int) -> DataFrame:
-    """Fences of every (language, source), each from the finest sketch with enough rows."""
-    by_source = fences(sketch, ["lang", "source"], reach, "source")
-    by_lang = fences(merged(sketch, ["lang"]), ["lang"], reach, "lang").withColumnRenamed("lang", "_lang")
-    # The fences of the whole corpus are one row of a few numbers.
-    overall = fences(merged(sketch, []), [], reach, "all").first().asDict()
-    joined = by_source.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")))
-    names = [f"{r}_high" for r in RATIOS] + [f"{r}_low" for r in RATIOS if r in LOWER]
-    chosen = [
-        F.when(F.col("source_n") >= least_rows, F.col(f"source_{name}"))
-        .when(F.col("lang_n") >= least_rows, F.col(f"lang_{name}"))
-        .otherwise(F.lit(overall[f"all_{name}"]).cast("bigint"))
-        .alias(name)
-        for name in names
-    ]
-    return joined.select("lang", "source", *chosen)
+    highs = [fence(r, *rule).alias(f"{r}_high") for r, rule in RULES.items()]
+    lows = [fence(r, 100 - RULES[r][0], 100 - RULES[r][1], RULES[r][2]).alias(f"{r}_low") for r in RATIOS if r in LOWER]
+    return ranked.groupBy(*group).agg(*highs, *lows)
 
 
 def judge(
@@ -174,8 +192,7 @@ def judge(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
-    reach: int = 3,
-    least_rows: int = 200,
+    weight: int = WEIGHT,
 ) -> DataFrame:
     """One row per document: id, the counts, ``base_failed``, ``kept`` and the ratios."""
     named = docs.select(
@@ -185,13 +202,14 @@ def judge(
     rows = rows.select("*", *[thousandths(*pair).alias(name) for name, pair in RATIOS.items()])
     rows = staged(rows.withColumn("base_failed", base_failed()))
     sketch = staged(sketches(rows.where(~F.col("base_failed")), ["lang", "source"]))
-    limits = staged(thresholds(sketch, reach, least_rows)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = staged(thresholds(sketch, weight)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     inside = F.lit(True)
     for r in RATIOS:
-        inside &= F.col(r) <= F.col(f"{r}_high")
+        # Fences are made of buckets.
+        inside &= bucket(F.col(r)) <= F.col(f"{r}_high")
         if r in LOWER:
-            inside &= F.col(r) >= F.col(f"{r}_low")
+            inside &= bucket(F.col(r)) >= F.col(f"{r}_low")
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
     return rows.join(limits, same, "left").select(
         F.col("id").alias(id_col),

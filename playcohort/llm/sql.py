@@ -52,31 +52,45 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BI
        coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN owners USING (r)"""
 
-#: Ratio -> numerator, denominator, least interquartile range.
+#: Ratio -> numerator, denominator, and the levels and reach of its fence.
 _RATIOS = {
-    "word_length": ("word_chars", "n_words", 800),
-    "symbol_share": ("n_symbols", "n_words", 50),
-    "dup_line_share": ("n_dup_lines", "n_lines", 150),
-    "repeat_share": ("n_repeat_words", "n_words", 100),
+    "word_length": ("word_chars", "n_words", 50, 90, 3),
+    "symbol_share": ("n_symbols", "n_words", 50, 90, 3),
+    "dup_line_share": ("n_dup_lines", "n_lines", 90, 99, 1),
+    "repeat_share": ("n_repeat_words", "n_words", 90, 99, 1),
 }
 
 
-def _fences(level: str, keys: str) -> str:
-    """The fences of every ratio at one level of grouping."""
-    group, part = (f"{keys}, ", f"{keys}, ") if keys else ("", "")
+def _bucket(name: str) -> str:
+    """The twelve leading bits of a ratio."""
+    return f"(({name} >> greatest(length(bin({name})) - 12, 0)) << greatest(length(bin({name})) - 12, 0))"
+
+
+def _ranked(rows: str, keys: str) -> str:
+    """A sketch with the documents up to each bucket, and all of them."""
+    return f"""
+  SELECT *, CAST(sum(n) OVER (PARTITION BY {keys}ratio ORDER BY bucket) AS BIGINT) AS upto,
+         CAST(sum(n) OVER (PARTITION BY {keys}ratio) AS BIGINT) AS total FROM ({rows})"""
+
+
+def _stands_for(rows: str, keys: str) -> str:
+    """A hundred documents at even quantiles of a sketch."""
     return f"""
-{level} AS (
-  SELECT {group}ratio, max(total) AS total,
-         min(bucket) FILTER (upto * 4 >= total) - 3 * greatest(
-           min(bucket) FILTER (upto * 4 >= total * 3) - min(bucket) FILTER (upto * 4 >= total), any_value(least_range)) AS low,
-         min(bucket) FILTER (upto * 4 >= total * 3) + 3 * greatest(
-           min(bucket) FILTER (upto * 4 >= total * 3) - min(bucket) FILTER (upto * 4 >= total), any_value(least_range)) AS high
-  FROM (SELECT {group}ratio, bucket, least_range,
-               sum(count(*)) OVER (PARTITION BY {part}ratio ORDER BY bucket) AS upto,
-               sum(count(*)) OVER (PARTITION BY {part}ratio) AS total
-        FROM entries GROUP BY {group}ratio, bucket, least_range)
-  GROUP BY {group}ratio)"""
+  SELECT {keys}ratio, bucket, (200 * upto + total) // (2 * total) - (200 * (upto - n) + total) // (2 * total) AS n
+  FROM ({_ranked(rows, keys)})"""
+
+
+def _at(level: int) -> str:
+    return f"min(bucket) FILTER (upto * 100 >= total * {level})"
+
 
+_FENCES = " UNION ALL ".join(
+    f"""
+  SELECT lang, source, ratio, {_at(high)} + {reach} * ({_at(high)} - {_at(low)}) AS high,
+         {f"{_at(100 - high)} + {reach} * ({_at(100 - high)} - {_at(100 - low)})" if name == "word_length" else "NULL"} AS low
+  FROM ranked WHERE ratio = '{name}' GROUP BY lang, source, ratio"""
+    for name, (_, _, low, high, reach) in _RATIOS.items()
+)
 
 ORACLE["op8_quality_rules"] = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -100,24 +114,32 @@ counts AS (
   FROM docs JOIN tokens USING (r) LEFT JOIN lines USING (r) LEFT JOIN repeats USING (r)),
 rated AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         {', '.join(f"CASE WHEN {d} > 0 THEN {n} * 1000 // {d} ELSE 0 END AS {name}" for name, (n, d, _) in _RATIOS.items())}
+         {', '.join(f"CASE WHEN {d} > 0 THEN {n} * 1000 // {d} ELSE 0 END AS {name}" for name, (n, d, *_) in _RATIOS.items())}
   FROM counts),
 entries AS ({' UNION ALL '.join(
-    f'''SELECT lang, source, '{name}' AS ratio, {least} AS least_range,
-    ({name} >> greatest(length(bin({name})) - 12, 0)) << greatest(length(bin({name})) - 12, 0) AS bucket
-    FROM rated WHERE NOT base_failed''' for name, (_, _, least) in _RATIOS.items())}),
-{_fences('by_source', 'lang, source')}, {_fences('by_lang', 'lang')}, {_fences('overall', '')},
-chosen AS (
-  SELECT s.lang, s.source, s.ratio,
-         CASE WHEN s.total >= 200 THEN s.low WHEN l.total >= 200 THEN l.low ELSE o.low END AS low,
-         CASE WHEN s.total >= 200 THEN s.high WHEN l.total >= 200 THEN l.high ELSE o.high END AS high
-  FROM by_source s JOIN by_lang l ON s.lang IS NOT DISTINCT FROM l.lang AND s.ratio = l.ratio
-  JOIN overall o ON s.ratio = o.ratio),
+    f'''SELECT lang, source, '{name}' AS ratio, {_bucket(name)} AS bucket
+    FROM rated WHERE NOT base_failed''' for name in _RATIOS)}),
+corpus AS ({_stands_for("SELECT ratio, bucket, count(*) AS n FROM entries GROUP BY ratio, bucket", "")}),
+by_lang AS (
+  SELECT lang, ratio, bucket, sum(n) AS n FROM (
+    SELECT lang, ratio, bucket, count(*) AS n FROM entries GROUP BY lang, ratio, bucket
+    UNION ALL SELECT lang, ratio, bucket, n FROM (SELECT DISTINCT lang, ratio FROM entries) JOIN corpus USING (ratio))
+  GROUP BY lang, ratio, bucket),
+of_lang AS ({_stands_for("SELECT * FROM by_lang", "lang, ")}),
+by_source AS (
+  SELECT lang, source, ratio, bucket, sum(n) AS n FROM (
+    SELECT lang, source, ratio, bucket, count(*) AS n FROM entries GROUP BY lang, source, ratio, bucket
+    UNION ALL
+    SELECT e.lang, source, e.ratio, bucket, n FROM (SELECT DISTINCT lang, source, ratio FROM entries) e
+    JOIN of_lang o ON e.lang IS NOT DISTINCT FROM o.lang AND e.ratio = o.ratio)
+  GROUP BY lang, source, ratio, bucket),
+ranked AS ({_ranked("SELECT * FROM by_source", "lang, source, ")}),
+chosen AS ({_FENCES}),
 outside AS (
   SELECT DISTINCT r FROM rated JOIN chosen c
   ON rated.lang IS NOT DISTINCT FROM c.lang AND rated.source IS NOT DISTINCT FROM c.source
-  WHERE {' OR '.join(f"c.ratio = '{name}' AND {name} > c.high" for name in _RATIOS)}
-     OR c.ratio = 'word_length' AND word_length < c.low)
+  WHERE {' OR '.join(f"c.ratio = '{name}' AND {_bucket(name)} > c.high" for name in _RATIOS)}
+     OR c.ratio = 'word_length' AND {_bucket('word_length')} < c.low)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND r NOT IN (SELECT r FROM outside) AS kept,
        {', '.join(f'CAST({name} AS BIGINT) AS {name}' for name in _RATIOS)}

@@ -57,14 +57,65 @@ def test_sketches_merge_and_bound(spark):
     assert all(r.b == r.v if r.v < 4096 else r.v * (1 - 2**-11) <= r.b <= r.v for r in kept)
 
 
-def test_small_groups_use_the_language(spark):
-    text = "these are some words that make a line of quite usual length here"
-    rows = [(i, f"{text} {i}", "en", "big") for i in range(300)] + [(1000, f"{text} | | | | | | | |", "en", "small")]
+PLAIN = "these are some words that make a line of quite usual length here"
+
+
+def kept_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+
+
+def test_each_ratio_can_reject(spark):
+    """One document outside one fence only, none of them failing the base rules."""
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(10))
+    rows = [(i, f"{PLAIN} {i}\n{own(i)}", "en", "big") for i in range(300)]
+    rows += [
+        (1000, " ".join(f"extraordinarily{k}" for k in range(20)), "en", "big"),
+        (1001, " ".join(f"a{k % 10}" if k % 2 else f"{k}" for k in range(12)), "en", "big"),
+        (1002, f"{PLAIN} 1 | < > # * % &", "en", "big"),
+        (1003, f"{PLAIN}\nsame line\n{own(1)}\nsame line\n{own(2)}", "en", "big"),
+        (1004, f"{PLAIN} {own(3)} {own(4)} {own(5)} {own(6)} {own(7)} one two of five words {own(8)} one two of five words", "en", "big"),
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    kept = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert not any(got[i].kept or got[i].base_failed for i in range(1000, 1005))
+    assert got[1002].n_symbols and not got[1002].n_dup_lines
+    assert got[1003].n_dup_lines and not got[1003].n_repeat_words and not got[1003].n_symbols
+    assert got[1004].n_repeat_words and not got[1004].n_dup_lines
+
+
+def test_small_groups_follow_their_language(spark):
+    rows = [(i, f"{PLAIN} {i}", "en", "big") for i in range(300)] + [(1000, f"{PLAIN} | | | | | | | |", "en", "small")]
+    kept = kept_of(spark, rows)
     assert not kept.pop(1000) and all(kept.values())
 
 
+def test_a_group_comes_into_its_own_by_degrees(spark):
+    """The fence of a source moves from its language's to its own as its documents grow in number."""
+    fences = []
+    for n in (1, 5, 10, 20, 40, 80, 160, 320):
+        rows = [(i, f"{PLAIN} {i}", "en", "big") for i in range(300)]
+        rows += [(1000 + i, f"{PLAIN} {'| ' * (1 + i % 8)}", "en", "code") for i in range(n)]
+        docs = spark.createDataFrame(rows, "id long, text string, lang string, source string")
+        counts = quality_rules.counted(docs, "text", ["lang", "source"])
+        ratios = counts.select("*", *[quality_rules.thousandths(*p).alias(r) for r, p in quality_rules.RATIOS.items()])
+        limits = quality_rules.thresholds(quality_rules.sketches(ratios, ["lang", "source"]), 100)
+        fences.append({r.source: r.symbol_share_high for r in limits.collect()})
+    code = [f["code"] for f in fences]
+    assert code[0] == 0 and 0 < code[2] < code[3] and min(code[3:]) > 500
+    assert all(f["big"] == 0 for f in fences)
+
+
+def test_sketches_stand_for_their_quantiles(spark):
+    rows = [("r", b, n) for b, n in [(0, 700), (10, 200), (50, 99), (1000, 1)]]
+    sketch = spark.createDataFrame(rows, "ratio string, bucket long, n long")
+    got = {r.bucket: r.n for r in quality_rules.even_quantiles(sketch, [], 100).collect()}
+    assert got == {0: 70, 10: 20, 50: 10}
+    few = {r.bucket: r.n for r in quality_rules.even_quantiles(sketch.where("bucket = 50"), [], 7).collect()}
+    assert few == {50: 7}
+
+
 def test_plan_has_no_python(spark, sf):
     plan = op8_quality_rules(spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
