@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from playcohort.operators.pairwise import (
     BLOCK_ROWS,
-    PivotBlocks,
     near_strips,
     nearest,
     over_block_pairs,
     over_meeting_blocks,
     pivot_blocks,
     point_arrays,
+    reach_of_blocks,
 )
 from playcohort.operators.topk import head_per_group
 from playcohort.session import cut_lineage, staged
@@ -74,16 +74,6 @@ def neighbour_distances(
     return closest.groupBy("id").agg(kth.alias("core_distance")).withColumnRenamed("id", id_col)
 
 
-def reach_of_blocks(blocks: PivotBlocks, bounds: DataFrame):
-    """The numbers of ``bounds`` (block, d) in the order of the blocks: one per block."""
-    import numpy as np
-
-    reach = np.full(len(blocks.radii), -np.inf)
-    for r in bounds.collect():
-        reach[r["block"]] = r["d"]
-    return reach
-
-
 def dense_points(
     arrays: DataFrame, eps: float, min_samples: int, count: int, block_rows: int | None
 ) -> DataFrame:

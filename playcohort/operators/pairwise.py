@@ -152,6 +152,16 @@ def over_meeting_blocks(blocks: PivotBlocks, points: DataFrame, reach, kernel: C
     return _on_cells(points.join(ends, "block"), kernel, schema)
 
 
+def reach_of_blocks(blocks: PivotBlocks, bounds: DataFrame):
+    """The numbers of ``bounds`` (block, d) in the order of the blocks: one per block."""
+    import numpy as np
+
+    reach = np.full(len(blocks.radii), -np.inf)
+    for r in bounds.collect():
+        reach[r["block"]] = r["d"]
+    return reach
+
+
 def direct_distances(a, b):
     """Distances of rows, from the differences of their entries: exact to the last digits
     wherever the points lie, and the same in every block."""

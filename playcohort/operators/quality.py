@@ -11,13 +11,16 @@ import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from playcohort.functions.quantiles import exact_lower_share
 from playcohort.operators.pairwise import (
     distance_strips,
     over_block_pairs,
+    over_meeting_blocks,
+    pivot_blocks,
     point_arrays,
+    reach_of_blocks,
 )
 from playcohort.session import staged
 
@@ -306,47 +309,81 @@ def _distance_to(centre: Column, x: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
 
 
-def davies_bouldin(points: DataFrame, centroids: Centroids | None = None) -> float:
+def _worst_partners(left, right, same):
+    """The largest (S_i + S_j) / M_ij of each cluster of both sides with one of the other; centres
+    that coincide are passed over."""
+    import pandas as pd
+
+    a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+    sa, sb = left["s"].to_numpy(), right["s"].to_numpy()
+    for_a, for_b = np.zeros(len(a)), np.zeros(len(b))
+    strip = max(1, _CENTRE_CELLS // max(1, len(b) * b.shape[1]))
+    for start in range(0, len(a), strip):
+        part = slice(start, start + strip)
+        m = np.sqrt(((a[part, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (sa[part, None] + sb[None, :]) / m
+        r[~np.isfinite(r)] = 0.0
+        if same:
+            r[np.arange(len(r)), np.arange(start, start + len(r))] = 0.0
+        for_a[part] = r.max(axis=1)
+        for_b = np.maximum(for_b, r.max(axis=0))
+    sides = [pd.DataFrame({"id": left["id"], "worst": for_a})]
+    if not same:
+        sides.append(pd.DataFrame({"id": right["id"], "worst": for_b}))
+    return pd.concat(sides)
+
+
+def davies_bouldin(
+    points: DataFrame, centroids: Centroids | None = None, block_rows: int | None = None
+) -> float:
     """Mean over clusters of the worst (S_i + S_j) / M_ij.
 
-    The spread S needs a second pass over the points. Distances of the centres are taken a
-    strip of clusters at a time, so the driver never holds more than the centres and a strip.
+    The spread S needs a second pass over the points. Centres are dealt into blocks around
+    pivots. Each cluster first finds its worst partner inside its block; two blocks meet only
+    if they are near enough for a pair with the largest spreads to be worse than that.
     """
-    c = centroids or fit_centroids(points)
-    k = len(c.cluster)
+    spark = points.sparkSession
+    kept = drop_noise(points).withColumn("cluster", F.col("cluster").cast("int"))
+    if centroids is not None:
+        rows = [(int(i), [float(v) for v in m]) for i, m in zip(centroids.cluster, centroids.centre)]
+        table = spark.createDataFrame(rows, "id int, x array<double>")
+    else:
+        mean = Summarizer.mean(F.col("features"))
+        means = as_vectors(kept).groupBy("cluster").agg(mean.alias("m"))
+        table = staged(means.select(F.col("cluster").alias("id"), vector_to_array("m").alias("x")))
+    k = table.count()
     if k < 2:
         return 0.0
-    spark = points.sparkSession
-    table = spark.createDataFrame(
-        [(int(i), [float(v) for v in m]) for i, m in zip(c.cluster, c.centre)],
-        "cluster int, centre array<double>",
-    )
-    arrays = drop_noise(points).withColumn(
-        "x",
+    arrays = kept.withColumn(
+        "_x",
         F.col("features").cast("array<double>")
         if isinstance(points.schema["features"].dataType, T.ArrayType)
         else vector_to_array("features"),
     )
-    rows = (
-        arrays.select(F.col("cluster").cast("int").alias("cluster"), "x")
-        .join(table, "cluster")
+    spread = (
+        arrays.select("cluster", "_x")
+        .join(table, F.col("cluster") == F.col("id"))
         .groupBy("cluster")
-        .agg(F.avg(_distance_to(F.col("centre"), F.col("x"))).alias("s"))
-        .collect()
+        .agg(F.avg(_distance_to(F.col("x"), F.col("_x"))).alias("s"))
     )
-    spread_of = {r["cluster"]: r["s"] for r in rows}
-    s = np.array([spread_of[i] for i in c.cluster])
-    worst = np.zeros(k)
-    strip = max(1, _CENTRE_CELLS // (k * c.centre.shape[1]))
-    for start in range(0, k, strip):
-        part = slice(start, min(k, start + strip))
-        m = np.sqrt(((c.centre[part, None, :] - c.centre[None, :, :]) ** 2).sum(axis=2))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = (s[part, None] + s[None, :]) / m
-        r[np.arange(len(r)), np.arange(part.start, part.stop)] = 0.0
-        r[~np.isfinite(r)] = 0.0
-        worst[part] = r.max(axis=1)
-    return float(worst.mean())
+    centres = staged(table.join(spread, F.col("id") == F.col("cluster")).drop("cluster"))
+    blocks = pivot_blocks(centres, k, block_rows)
+
+    def inside(pdf):
+        return _worst_partners(pdf, pdf, True).assign(block=int(pdf["block"].iloc[0]))
+
+    own = staged(blocks.points.groupBy("block").applyInPandas(inside, "id int, worst double, block int"))
+    least = own.groupBy("block").agg(F.min("worst").alias("worst"))
+    widest = blocks.points.groupBy("block").agg(F.max("s").alias("s"))
+    largest = F.max("s").over(Window.partitionBy())
+    # One row per block.
+    bound = widest.join(least, "block").withColumn("all", largest)
+    reach = F.when(F.col("worst") > 0, (F.col("s") + F.col("all")) / F.col("worst")).otherwise(F.lit(float("inf")))
+    far = reach_of_blocks(blocks, bound.select("block", reach.alias("d")))
+    met = over_meeting_blocks(blocks, blocks.points, far, _worst_partners, "id int, worst double")
+    worst = own.select("id", "worst").union(met).groupBy("id").agg(F.max("worst").alias("worst"))
+    return float(worst.agg(F.avg("worst")).first()[0])
 
 
 def quality_row(spark: SparkSession, **values: float) -> DataFrame:

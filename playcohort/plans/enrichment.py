@@ -11,11 +11,14 @@ from playcohort.schemas import ARTIST_GENRES, AUDIO_FEATURES, PLAYS
 from playcohort.sources.ingest import ingest_recent_plays, merge_dedup, users_to_fetch
 from playcohort.sources.lookup import (
     artist_answers,
+    enrich_stored,
     enrich_with,
     missing_artists,
     missing_tracks,
+    stored,
     track_answers,
     upsert,
+    upsert_stored,
 )
 from playcohort.session import cut_lineage
 from playcohort.sources.parquet import read_or_empty, user_universe, write_parquet
@@ -40,6 +43,7 @@ def run_enrichment(
     profiles_tsv: str | None = None,
     landed_pages: str | None = None,
     previous: str | None = None,
+    lookups: str | None = None,
     fetch_artists: Fetch | None = None,
     fetch_tracks: Fetch | None = None,
     lookback_years: int = 5,
@@ -54,8 +58,12 @@ def run_enrichment(
     whose landed plays reach the threshold. A resumed collection starts from it.
 
     Lookup tables of a ``previous`` output folder are extended: only keys they lack are
-    asked for. The new folder gets the whole tables; the old one is not touched.
+    asked for. The new folder gets the whole tables; the old one is not touched. With a
+    ``lookups`` folder instead, the tables live there across runs: a run rewrites the parts of
+    them that its answers fall into, and goes on where an interrupted one stopped asking.
     """
+    if previous and lookups:
+        raise ValueError("give the folder of a previous run or one of lookup tables, not both")
     sources: list[DataFrame] = []
     log = read_plays_tsv(spark, plays_tsv) if plays_tsv else None
     if log is not None:
@@ -78,17 +86,27 @@ def run_enrichment(
         save("profiles", read_profiles_tsv(spark, profiles_tsv), ["userid"])
     universe = user_universe(out.get("profiles"), plays if log is None else log)
     out["users_to_fetch"] = users_to_fetch(universe, landed, min_scrobbles)
-    if fetch_artists:
-        known = read_or_empty(spark, previous and f"{previous}/artist_genres", ARTIST_GENRES)
+
+    def extend(name: str, key: str, schema: T.StructType, fetch: Fetch, answer: T.StructType, missing, as_rows) -> None:
+        if lookups:
+            path = f"{lookups}/{name}"
+            answers = enrich_stored(missing(stored(spark, path, schema)), fetch, answer, f"{path}_asked")
+            upsert_stored(path, as_rows(answers), key, schema)
+            out[name] = stored(spark, path, schema)
+            return
+        known = read_or_empty(spark, previous and f"{previous}/{name}", schema)
         # Checkpointed: the sorted write would otherwise ask twice, once for its ranges.
-        answers = cut_lineage(
-            enrich_with(missing_artists(plays, known), fetch_artists, ARTIST_ANSWER)
+        answers = cut_lineage(enrich_with(missing(known), fetch, answer))
+        save(name, upsert(known, as_rows(answers), key), [key])
+
+    if fetch_artists:
+        extend(
+            "artist_genres", "artist_name_normalized", ARTIST_GENRES, fetch_artists, ARTIST_ANSWER,
+            lambda known: missing_artists(plays, known), artist_answers,
         )
-        merged = upsert(known, artist_answers(answers), "artist_name_normalized")
-        save("artist_genres", merged, ["artist_name_normalized"])
     if fetch_tracks:
-        known = read_or_empty(spark, previous and f"{previous}/audio_features", AUDIO_FEATURES)
-        wanted = missing_tracks(tracks_to_enrich(plays, tracks_per_user), known)
-        answers = cut_lineage(enrich_with(wanted, fetch_tracks, TRACK_ANSWER))
-        save("audio_features", upsert(known, track_answers(answers), "track_key"), ["track_key"])
+        extend(
+            "audio_features", "track_key", AUDIO_FEATURES, fetch_tracks, TRACK_ANSWER,
+            lambda known: missing_tracks(tracks_to_enrich(plays, tracks_per_user), known), track_answers,
+        )
     return out

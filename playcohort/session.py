@@ -54,6 +54,12 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads the path from."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path in this application's run folder; ``release`` removes them all."""
     return f"{run_folder(spark)}/{uuid.uuid4().hex}"

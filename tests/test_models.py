@@ -169,3 +169,12 @@ def test_enrichment_end_to_end_and_resume(spark, sf, tmp_path):
         spark, str(tmp_path / "two"), as_of=as_of, plays_tsv=str(tsv), previous=str(tmp_path / "one"),
         fetch_artists=artists)
     assert again["artist_genres"].count() == 2 and asked.value == 2
+    kept = [
+        run_enrichment(
+            spark, str(tmp_path / name), as_of=as_of, plays_tsv=str(tsv), lookups=str(tmp_path / "lookups"),
+            fetch_artists=artists, fetch_tracks=tracks)
+        for name in ("three", "four")
+    ]
+    assert asked.value == 4
+    for out in kept:
+        assert out["artist_genres"].count() == 2 and out["audio_features"].count() == 2

@@ -4,6 +4,7 @@ import ast
 import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,12 +77,12 @@ def test_filters_and_columns_reach_the_scan(spark, heavy):
 #: per pivot, per block of some thousand points, per centre, per counted cluster, or the seeds.
 FETCHES = {
     "operators/cluster.py:advance", "operators/cluster.py:kmeans_sweep", "operators/cluster.py:mean_variance", "operators/density.py:connected_components",
-    "operators/density.py:reach_of_blocks", "operators/explore.py:correlation_matrix",
+    "operators/pairwise.py:reach_of_blocks", "operators/explore.py:correlation_matrix",
     "operators/hierarchy.py:condense", "operators/pairwise.py:pivot_blocks", "operators/prep.py:fit_medians",
     "operators/prep.py:fit_moments", "operators/prep.py:vector_size", "operators/quality.py:_silhouettes",
     "operators/quality.py:davies_bouldin", "operators/quality.py:fit_centroids",
     "operators/quality.py:silhouette_by_labelling", "plans/clustering.py:_scored",
-    "plans/clustering.py:run_clustering", "plans/clustering.py:score",
+    "plans/clustering.py:run_clustering", "plans/clustering.py:score", "sources/lookup.py:upsert_stored",
 }
 
 
@@ -163,6 +164,22 @@ def test_many_small_clusters(spark):
     assert quality.davies_bouldin(points) == pytest.approx(0.1, rel=1e-6)
 
 
+def test_worst_partners_in_blocks_of_any_size(spark):
+    points = spark.range(3_000).selectExpr(
+        "id AS vec_id", "cast(id % 300 AS int) AS cluster",
+        "array(id % 300 + sin(id) * (id % 7), id % 17 + cos(id) * (id % 5), pow(id % 300, 2) / 50) AS features")
+    rows = points.collect()
+    x, at = np.array([r.features for r in rows]), np.array([r.cluster for r in rows])
+    c = np.array([x[at == k].mean(axis=0) for k in range(300)])
+    s = np.array([np.sqrt(((x[at == k] - c[k]) ** 2).sum(axis=1)).mean() for k in range(300)])
+    m = np.sqrt(((c[:, None] - c[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(m, np.inf)
+    want = ((s[:, None] + s[None]) / m).max(axis=1).mean()
+    for rows_ in (None, 100, 12):
+        assert quality.davies_bouldin(points, block_rows=rows_) == pytest.approx(want, rel=1e-9)
+    assert quality.davies_bouldin(points, quality.fit_centroids(points)) == pytest.approx(want, rel=1e-9)
+
+
 def test_edge_plays_are_reduced_where_they_lie(spark, heavy):
     from playcohort.session import staged
 
