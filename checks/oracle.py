@@ -893,4 +893,5 @@ SELECT {big('n', 'users')}, {big('n', 'labelled')}, {big('0', 'nearer_elsewhere'
 oracle("pipeline_facts", f"""
 SELECT {big('n', 'users')}, {big('n', 'labelled')}, {big('0', 'noise')}, {big('0', 'scores_off')} {_USERS}""")
 oracle("importance_facts", f"""
-SELECT {big('38', 'features')}, {big('38', 'named')}, CAST(1 AS DOUBLE) AS total, {big('0', 'negative')}""")
+SELECT {big('38', 'features')}, {big('38', 'named')}, CAST(1 AS DOUBLE) AS total, {big('0', 'negative')},
+       {big('200', 'trees')}, {big('0', 'lost')}, {big('0', 'impure')}""")

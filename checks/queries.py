@@ -955,12 +955,14 @@ def q_feature_importance(spark, sf):
 
 @lru_cache(maxsize=None)
 def _forest(app: str, spark, sf):
-    return staged(importance.feature_importance(m.saved_matrix(spark, sf), m.labels(spark, sf)))
+    forest, names = importance.cluster_forest(m.saved_matrix(spark, sf), m.labels(spark, sf))
+    return staged(forest), names
 
 
 def _importances(spark, sf):
     """The whole forest, 200 full trees, grown once per application."""
-    return _forest(spark.sparkContext.applicationId, spark, sf).orderBy(F.desc("importance"), "feature")
+    table = importance.importances(*_forest(spark.sparkContext.applicationId, spark, sf))
+    return table.orderBy(F.desc("importance"), "feature")
 
 
 @query
@@ -970,13 +972,21 @@ def q_top_importances(spark, sf):
 
 @query
 def q_importance_facts(spark, sf):
-    """One row per feature, shares that sum to one, none below zero."""
-    return _importances(spark, sf).agg(
+    """One row per feature, shares that sum to one, none below zero. All trees are there, what
+    their splits take is the impurity of the root, and nothing of it is left in the leaves."""
+    shares = _importances(spark, sf).agg(
         F.count("*").alias("features"),
         F.count_distinct("feature").alias("named"),
         F.round(F.sum("importance"), 6).alias("total"),
         F.count(F.when(F.col("importance") < 0, 1)).alias("negative"),
     )
+    taken = F.aggregate("decreases", F.lit(0.0), lambda a, b: a + b)
+    trees = _forest(spark.sparkContext.applicationId, spark, sf)[0].agg(
+        F.count("*").alias("trees"),
+        F.count(F.when(F.abs(taken - F.col("root")) > 1e-6 * F.col("root"), 1)).alias("lost"),
+        F.count(F.when(F.col("left_over") > 1e-6, 1)).alias("impure"),
+    )
+    return shares.join(trees, F.lit(True))
 
 
 # -- profiles --------------------------------------------------------------------------

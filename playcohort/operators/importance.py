@@ -1,40 +1,236 @@
-"""Which features tell the clusters apart."""
+"""Which features tell the clusters apart: a random forest whose trees are grown in full.
+
+A tree sees each row as often as a Poisson draw of mean 1 says, taken from a hash of row and
+tree, so trees repeat and no row is shuffled to be drawn. A node with more than
+``group_rows`` drawn rows is split by the counts of labels in bins of a random choice of
+features, added up over all tasks; its rows move on to its children. A smaller node is handed
+to one task, which finishes its subtree, down to nodes of one label or of equal rows, with
+splits between any two values. So depth has no limit, and no task holds more rows than that.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window, functions as F
 
 from playcohort.operators.prep import assemble, median_impute
 from playcohort.session import staged
 
-#: The deepest trees that MLlib grows.
-FULL_DEPTH = 30
+GROUP_ROWS = 32_768
+BINS = 64
+#: Cumulative shares of a Poisson distribution of mean 1: rows drawn 0, 1, 2, ... times.
+_POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(12)])
 
 
-def feature_importance(
-    matrix: DataFrame,
-    labels: DataFrame,
-    n_trees: int = 200,
-    max_depth: int = FULL_DEPTH,
-    seed: int = 42,
+def impurity(counts: np.ndarray) -> np.ndarray:
+    """Rows times Gini impurity, from the counts of labels along the last axis."""
+    total = counts.sum(axis=-1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mixed = total - (counts * counts).sum(axis=-1) / total
+    return np.where(total > 0, np.maximum(mixed, 0.0), 0.0)
+
+
+def grow(x: np.ndarray, label: np.ndarray, weight: np.ndarray, rng: np.random.Generator, tried: int):
+    """(decrease of impurity per feature, impurity of the root, and what is left in the leaves)."""
+    decrease, left_over, root = np.zeros(x.shape[1]), 0.0, None
+    classes, label = np.unique(label, return_inverse=True)
+    drawn = np.zeros((len(x), len(classes)))
+    drawn[np.arange(len(x)), label] = weight
+    stack = [np.arange(len(x))]
+    while stack:
+        rows = stack.pop()
+        counts = drawn[rows].sum(axis=0)
+        here = float(impurity(counts))
+        root = here if root is None else root
+        best = None
+        if here > 1e-9:
+            features = rng.permutation(x.shape[1])
+            # More features are tried as long as none can split the node.
+            for start in range(0, len(features), tried):
+                some = features[start : start + tried]
+                values = x[np.ix_(rows, some)]
+                order = values.argsort(axis=0, kind="stable")
+                values = np.take_along_axis(values, order, axis=0)
+                below = drawn[rows[order]].cumsum(axis=0)[:-1]
+                split = impurity(below) + impurity(counts - below)
+                split[values[1:] == values[:-1]] = np.inf
+                at = split.argmin(axis=0)
+                costs = split[at, np.arange(len(some))] if len(split) else np.array([np.inf])
+                if np.isfinite(costs.min()):
+                    k = int(costs.argmin())
+                    best = (int(some[k]), float(costs[k]), rows[order[: at[k] + 1, k]], rows[order[at[k] + 1 :, k]])
+                    break
+        if best is None:
+            left_over += here
+            continue
+        feature, cost, low, high = best
+        decrease[feature] += here - cost
+        stack += [low, high]
+    return decrease, root or 0.0, left_over
+
+
+def _features_of(tree: int, node: int, width: int, tried: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, tree, node & ((1 << 63) - 1)]).permutation(width)[:tried]
+
+
+def _split_level(big: DataFrame, edges: list[list[float]], tried: int, seed: int) -> DataFrame:
+    """(tree, node, feature, at, decrease, root): the best split of each node between bins, at the
+    upper edge ``at`` of a bin; ``feature`` null where no bins differ."""
+    width = len(edges)
+
+    def bins(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            parts = []
+            for (tree, node), rows in pdf.groupby(["tree", "node"], sort=False):
+                x = np.stack(rows["x"].to_numpy())
+                # Twice as many as a node in a task tries: bins may all be the same.
+                for f in _features_of(tree, node, width, 2 * tried, seed):
+                    at = np.searchsorted(edges[f], x[:, f], side="left")
+                    found = pd.DataFrame({"bin": at, "label": rows["label"].to_numpy(), "n": rows["weight"].to_numpy()})
+                    parts.append(found.groupby(["bin", "label"], as_index=False)["n"].sum().assign(tree=tree, node=node, feature=f))
+            if parts:
+                yield pd.concat(parts)[["tree", "node", "feature", "bin", "label", "n"]]
+
+    counts = big.mapInPandas(bins, "tree int, node bigint, feature int, bin int, label int, n double")
+    counts = counts.groupBy("tree", "node", "feature", "bin", "label").agg(F.sum("n").alias("n"))
+
+    def best(pdf):
+        import pandas as pd
+
+        found = None
+        for f, rows in pdf.groupby("feature"):
+            table = rows.pivot_table(index="bin", columns="label", values="n", fill_value=0.0).sort_index()
+            below = table.to_numpy().cumsum(axis=0)
+            root = float(impurity(below[-1]))
+            if len(table) < 2:
+                found = found or (None, None, 0.0, root)
+                continue
+            cost = impurity(below[:-1]) + impurity(below[-1] - below[:-1])
+            k = int(cost.argmin())
+            if found is None or found[0] is None or root - cost[k] > found[2]:
+                found = (int(f), float(edges[int(f)][int(table.index[k])]), root - float(cost[k]), root)
+        key = (int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0]))
+        return pd.DataFrame([key + found], columns=["tree", "node", "feature", "at", "decrease", "root"]).astype({"feature": object, "at": object})
+
+    return counts.groupBy("tree", "node").applyInPandas(
+        best, "tree int, node bigint, feature int, at double, decrease double, root double"
+    )
+
+
+def grow_forest(
+    rows: DataFrame, width: int, n_trees: int = 200, seed: int = 42, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
-    """(feature, importance), strongest first, of a random forest that predicts the cluster
-    from the imputed features. Noise users take no part. Trees are grown in full, as far as
-    the library goes; the rows are staged, since the indexer and every level read them."""
-    kept = labels.where(F.col("cluster") != -1).select("userid", "cluster")
+    """(tree, root, decreases, left_over) of a forest over rows (id, x, label): the impurity of
+    the root, how much of it the splits by each of the ``width`` features take, and what the
+    leaves keep because their rows are equal."""
+    tried = max(1, int(width**0.5))
+    u = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    times = F.aggregate(
+        F.array(*[F.lit(float(p)) for p in _POISSON]), F.lit(0.0), lambda n, p: n + F.when(u >= p, 1.0).otherwise(0.0)
+    )
+    drawn = (
+        rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+        .withColumn("weight", times)
+        .where(F.col("weight") > 0)
+        .select("tree", F.lit(0).cast("bigint").alias("node"), "weight", "x", "label")
+    )
+    parts, splits, level = [], [], drawn
+    # A tree draws about 0.63 of the rows; leave room for chance.
+    may_be_big = 0.7 * rows.count() + 100 > group_rows
+    edges: list[list[float]] = []
+    if may_be_big:
+        level = staged(level)
+        spread = rows.select(*[F.col("x")[k].alias(f"f{k}") for k in range(width)])
+        cuts = spread.approxQuantile(spread.columns, [k / BINS for k in range(1, BINS)], 0.002)
+        edges = [sorted(set(c)) for c in cuts]
+    while may_be_big:
+        sizes = level.groupBy("tree", "node").agg(F.count("*").alias("n"))
+        large = staged(sizes.where(F.col("n") > group_rows).select("tree", "node"))
+        if large.isEmpty():
+            break
+        found = staged(_split_level(level.join(large, ["tree", "node"], "left_semi"), edges, tried, seed))
+        splits.append(found)
+        small = level.join(large, ["tree", "node"], "left_anti")
+        parts.append(small)
+        down = level.join(found.where("feature IS NOT NULL").select("tree", "node", "feature", "at"), ["tree", "node"])
+        side = F.when(F.get("x", F.col("feature")) <= F.col("at"), 0).otherwise(1)
+        # A node that bins cannot split is finished like a leaf below; it keeps its impurity.
+        level = staged(down.withColumn("node", F.xxhash64("node", side)).drop("feature", "at"))
+    parts.append(level)
+
+    def finish(pdf):
+        import pandas as pd
+
+        tree, node = int(pdf["tree"].iloc[0]), int(pdf["node"].iloc[0])
+        # The order of rows that meet in a task is not given; equal sums need one.
+        x = np.stack(pdf["x"].to_numpy())
+        order = np.lexsort((pdf["label"].to_numpy(), *x.T[::-1]))
+        rng = np.random.default_rng([seed, tree, node & ((1 << 63) - 1)])
+        decrease, root, left_over = grow(
+            x[order], pdf["label"].to_numpy()[order], pdf["weight"].to_numpy()[order], rng, tried
+        )
+        return pd.DataFrame(
+            {"tree": [tree], "root": [root if node == 0 else 0.0], "decreases": [decrease], "left_over": [left_over]}
+        )
+
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    done = whole.groupBy("tree", "node").applyInPandas(
+        finish, "tree int, root double, decreases array<double>, left_over double"
+    )
+    for found in splits:
+        one = F.transform(
+            F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(k == F.col("feature"), F.col("decrease")).otherwise(0.0)
+        )
+        done = done.unionByName(
+            found.select(
+                "tree",
+                F.when(F.col("node") == 0, F.col("root")).otherwise(0.0).alias("root"),
+                one.alias("decreases"),
+                F.when(F.col("feature").isNull(), F.col("root")).otherwise(0.0).alias("left_over"),
+            )
+        )
+    added = F.array(*[F.sum(F.col("decreases")[k]) for k in range(width)])
+    return staged(done).groupBy("tree").agg(
+        F.sum("root").alias("root"), added.alias("decreases"), F.sum("left_over").alias("left_over")
+    )
+
+
+def importances(forest: DataFrame, names: list[str]) -> DataFrame:
+    """(feature, importance): the share of each feature in what the splits of a tree take, averaged
+    over the trees that have a split, and scaled to sum to one."""
+    total = F.aggregate("decreases", F.lit(0.0), lambda a, b: a + b)
+    entries = F.posexplode(F.transform("decreases", lambda d: F.try_divide(d, F.col("total")))).alias("k", "share")
+    shares = forest.withColumn("total", total).select(entries)
+    mean = shares.groupBy("k").agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("mean"))
+    labels = F.array(*[F.lit(n) for n in names])
+    # One row per feature.
+    scaled = F.coalesce(F.try_divide("mean", F.sum("mean").over(Window.partitionBy())), F.lit(0.0))
+    return mean.select(F.get(labels, F.col("k")).alias("feature"), scaled.alias("importance"))
+
+
+def cluster_forest(
+    matrix: DataFrame, labels: DataFrame, n_trees: int = 200, seed: int = 42, group_rows: int = GROUP_ROWS
+) -> tuple[DataFrame, list[str]]:
+    """The trees that predict the cluster from the imputed features, and the names of these.
+    Noise users take no part."""
+    kept = labels.where(F.col("cluster") != -1).select("userid", F.col("cluster").cast("int").alias("label"))
     users = matrix.join(kept.select("userid"), "userid", "left_semi")
     imputed, names = median_impute(users)
     rows = assemble(imputed, names).join(kept, "userid")
-    rows = staged(rows.withColumn("cluster", F.col("cluster").cast("string")))
-    indexed = StringIndexer(inputCol="cluster", outputCol="label").fit(rows).transform(rows)
-    forest = RandomForestClassifier(numTrees=n_trees, maxDepth=max_depth, seed=seed).fit(
-        indexed.select("features", "label")
-    )
-    pairs = [(n, float(v)) for n, v in zip(names, forest.featureImportances.toArray())]
-    table = matrix.sparkSession.createDataFrame(pairs, "feature string, importance double")
-    return table.orderBy(F.desc("importance"), "feature")
+    rows = staged(rows.select(F.col("userid").alias("id"), vector_to_array("features").alias("x"), "label"))
+    return grow_forest(rows, len(names), n_trees, seed, group_rows), names
+
+
+def feature_importance(
+    matrix: DataFrame, labels: DataFrame, n_trees: int = 200, seed: int = 42, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """(feature, importance), strongest first, of a random forest that predicts the cluster."""
+    return importances(*cluster_forest(matrix, labels, n_trees, seed, group_rows)).orderBy(F.desc("importance"), "feature")
 
 
 def top_importances(importance: DataFrame, n: int = 20) -> DataFrame:

@@ -120,6 +120,47 @@ def test_importance_sums_to_one_and_finds_the_signal(spark):
     assert sum(r["importance"] for r in got) == pytest.approx(1.0)
 
 
+def forest_rows(spark, n):
+    """Label by two of five columns; the others are noise, one of them constant."""
+    return spark.range(n).selectExpr(
+        "id", "cast((id % 10 >= 5) AS int) + 2 * cast((pmod(xxhash64(id, 1), 100) >= 70) AS int) AS label",
+        "array(double(id % 10), double(pmod(xxhash64(id, 1), 100)), double(pmod(xxhash64(id, 2), 100)), 3D, "
+        "double(pmod(xxhash64(id, 3), 50))) AS x")
+
+
+def test_forest_of_whole_trees_and_of_split_ones(spark):
+    rows = forest_rows(spark, 1500)
+    shares = {}
+    for group_rows in (32_768, 200):
+        trees = importance.grow_forest(rows, 5, 12, 1, group_rows).collect()
+        assert sorted(t.tree for t in trees) == list(range(12))
+        for t in trees:
+            assert t.left_over == pytest.approx(0.0, abs=1e-6)
+            assert sum(t.decreases) == pytest.approx(t.root, rel=1e-9) and t.decreases[3] == 0.0
+        table = importance.importances(spark.createDataFrame(trees), list("abcde"))
+        shares[group_rows] = {r.feature: r.importance for r in table.collect()}
+        assert sum(shares[group_rows].values()) == pytest.approx(1.0)
+        assert min(shares[group_rows][f] for f in "ab") > 2 * max(shares[group_rows][f] for f in "ce")
+    assert shares[200] == pytest.approx(shares[32_768], abs=0.1)
+
+
+def test_equal_rows_with_two_labels_stay_a_leaf(spark):
+    rows = spark.range(400).selectExpr("id", "cast(id % 2 AS int) AS label", "array(1D, 2D) AS x")
+    for group_rows in (1000, 50):
+        trees = importance.grow_forest(rows, 2, 3, 1, group_rows).collect()
+        assert all(t.left_over == pytest.approx(t.root) and sum(t.decreases) == 0.0 for t in trees)
+    table = importance.importances(importance.grow_forest(rows, 2, 3, 1), ["a", "b"]).collect()
+    assert {r.importance for r in table} == {0.0}
+
+
+def test_deep_trees_against_plain_growing():
+    """A staircase: each split takes one row, far deeper than thirty levels."""
+    n = 200
+    x = np.arange(n, dtype=float)[:, None]
+    decrease, root, left = importance.grow(x, np.arange(n) % 2, np.ones(n), np.random.default_rng(1), 1)
+    assert root == pytest.approx(n / 2) and left == 0.0 and decrease[0] == pytest.approx(root)
+
+
 def test_pipeline_and_selection(spark, sf):
     matrix = m.saved_matrix(spark, sf)
     km = clustering.run_clustering(matrix, "kmeans", k_range=(3, 4), n_init=1)
