@@ -44,7 +44,7 @@ def test_stages_one_by_one(spark, sf):
 
 def test_registered(spark, sf):
     registered = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in registered if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in registered if k.startswith("op")}
     assert registered["pipeline"] is corpus_pipeline.run
     out = registered["pipeline"](spark, sf)
     assert out.columns[:5] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] and out.count() > 0
