@@ -5,11 +5,13 @@ text between block-level tags, each with its characters and the tags it took to
 The text-to-tag ratio of the lines, smoothed by a Gaussian along the page, is split into two
 clusters by the threshold that minimises their squared deviations; the upper cluster is
 content. The content region is the least container around the largest article or main that
-has the main headings and the lines of that cluster; without such an element, the innermost
-container that has all text but links. All its lines are returned, short ones too, except those in elements that are never content:
-menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments (by tag, role, or whole names of class and id), and lists made of links alone. A
-form or an element of such a name is kept when it wraps the content.
+has the main headings and the lines of that cluster; without such an element, the least
+container that has these. All its lines are returned, short ones too, except those in
+elements that are never content: menus, page headers and footers, sidebars, notices, adverts,
+forms, scripts, styles, hidden elements, reader comments (by tag, role, or names of class and
+id), and list items and the like made of links alone, two or more in a row; paragraphs that
+are links stay. A form or an element of such a name is kept when it wraps the content; an
+article inside one is the main one only if none lies outside.
 
 Character references are decoded, white space inside a line becomes one space, empty lines
 vanish, lines are joined by two line feeds. Broken markup is read as far as the parser goes:
@@ -64,13 +66,18 @@ BESIDE = frozenset(
     "posts post articles stories content body the js col row".split()
 )
 NAME_PART = re.compile(r"[a-z]+")
+#: Names that say what an element is wherever they stand in a compound.
+ANYWHERE = frozenset("ad ads advert adverts comment comments".split())
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 def named(given: dict[str, str], names: frozenset) -> bool:
-    """Whether a whole class or id is one of ``names``, or a compound of them and of ``BESIDE``."""
+    """Whether a class or id is one of ``names``, a compound that ends with one, or one of them and
+    of words that may stand beside."""
     for name in f"{given.get('class', '')} {given.get('id', '')}".split():
-        parts = set(NAME_PART.findall(name))
-        if parts & names and parts <= NAMES | HEADERS | BESIDE:
+        parts = NAME_PART.findall(name)
+        found = names.intersection(parts)
+        if found and (parts[-1] in names or found & ANYWHERE or set(parts) <= NAMES | HEADERS | BESIDE):
             return True
     return False
 
@@ -91,8 +98,8 @@ class PageLines(HTMLParser):
         self.parents = [-1]
         #: Containers that are an article or main.
         self.marks: list[int] = []
-        #: Of each line: the doubtful element around it, whether it is a main heading.
-        self.notes: list[tuple[int, bool]] = []
+        #: Of each line: the doubtful element around it, and the block it is in.
+        self.notes: list[tuple[int, str]] = []
         #: The doubtful element that an article or main is in, or is.
         self.mark_doubts: dict[int, int] = {}
         #: Of each doubtful element: the one around it, whether it is like a page header.
@@ -112,7 +119,7 @@ class PageLines(HTMLParser):
         if line:
             excluded, container, _, doubt, block = self.around()
             self.lines.append((line, self.tags, self.linked, container, excluded))
-            self.notes.append((doubt, block == "h1"))
+            self.notes.append((doubt, block))
             self.tags = 0
         self.text.clear()
         self.linked = 0
@@ -120,7 +127,8 @@ class PageLines(HTMLParser):
     def is_excluded(self, tag: str, given: dict[str, str], inside: bool) -> bool:
         if tag in NEVER and tag != "form" or tag == "header" and not inside:
             return True
-        return "hidden" in given or given.get("aria-hidden") == "true" or given.get("role") in ROLES
+        hidden = "hidden" in given or given.get("aria-hidden") == "true" or HIDING.search(given.get("style", ""))
+        return bool(hidden) or given.get("role") in ROLES
 
     def is_doubtful(self, tag: str, given: dict[str, str], inside: bool) -> tuple[bool, bool]:
         """Whether to exclude the element if it holds no content, and if it is like a page header."""
@@ -129,6 +137,15 @@ class PageLines(HTMLParser):
         header = not inside and named(given, HEADERS)
         return tag == "form" or header or named(given, NAMES), header
 
+    def main_mark(self, size: list[int]) -> int:
+        """The largest article or main with text, of those inside the fewest doubtful elements; 0
+        without any."""
+        depth = {0: 0}
+        for i in range(1, len(self.doubts)):
+            depth[i] = depth[self.doubts[i][0]] + 1
+        order = lambda c: (-depth[self.mark_doubts[c]], size[c])
+        return max((c for c in self.marks if size[c]), key=order, default=0)
+
     def settle(self) -> None:
         """Decide the doubtful elements, and exclude the lines in those without the content.
 
@@ -141,11 +158,11 @@ class PageLines(HTMLParser):
         size = [0] * len(self.doubts)
         heading = [False] * len(self.doubts)
         inside = [0] * len(self.parents)
-        for (text, _, linked, container, out), (doubt, is_heading) in zip(self.lines, self.notes):
+        for (text, _, linked, container, out), (doubt, block) in zip(self.lines, self.notes):
             if not out:
                 n = max(0, len(text) - linked)
                 size[doubt] += n
-                heading[doubt] |= is_heading
+                heading[doubt] |= block == "h1"
                 inside[container] += n
         plain = size[0]
         for i in range(len(size) - 1, 0, -1):
@@ -155,7 +172,7 @@ class PageLines(HTMLParser):
             heading[around] |= heading[i]
         for i in range(len(inside) - 1, 0, -1):
             inside[self.parents[i]] += inside[i]
-        mark = max(self.marks, key=lambda c: inside[c], default=0)
+        mark = self.main_mark(inside)
         holds = heading
         if mark and inside[mark]:
             holds = [False] * len(size)
@@ -271,45 +288,36 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
 
 
 def content_region(page: PageLines, sigma: float) -> int:
-    """The container to return: nothing beside it but links and what is never content.
-
-    With an article or main, it is the least container around the largest of them with all main
-    headings and all content lines. Without one it is found from the page inwards, as long as
-    all of the text that is not links lies in one container.
-    """
+    """The container to return: the least one with all content lines and main headings and, where
+    there is one, the largest article or main."""
     ratios = np.array([0.0 if out else len(t) / max(1, tags) for t, tags, _, _, out in page.lines])
     chosen = upper_cluster(smoothed(ratios, sigma))
     weight = [0] * len(page.parents)
-    own = [False] * len(page.parents)
     for text, _, linked, container, out in page.lines:
         if not out and linked < 0.9 * len(text.replace(" ", "")):
             weight[container] += max(0, len(text) - linked)
-            own[container] = True
     # Children have higher numbers than the containers around them.
     for i in range(len(weight) - 1, 0, -1):
         weight[page.parents[i]] += weight[i]
-    mark = max(page.marks, key=lambda c: weight[c], default=0)
-    if not mark or not weight[mark]:
-        best = 0
-        for i in range(1, len(weight)):
-            # Containers of all the text lie inside each other.
-            if weight[i] == weight[0] and not own[best] and page.parents[i] == best:
-                best = i
-        return best
-    around = set()
-    at = mark
-    while at >= 0:
-        around.add(at)
-        at = page.parents[at]
-    best = mark
-    for is_content, (text, _, linked, container, out), (_, heading) in zip(chosen, page.lines, page.notes):
-        if out or linked >= 0.9 * len(text.replace(" ", "")) or not (heading or is_content):
+    best = page.main_mark(weight) or None
+    if best is None:
+        # Smoothing lifts what stands next to the text; a line must be like it by itself, too.
+        chosen = chosen & upper_cluster(ratios)
+    for is_content, (text, _, linked, container, out), (_, block) in zip(chosen, page.lines, page.notes):
+        if out or linked >= 0.9 * len(text.replace(" ", "")) or not (block == "h1" or is_content):
             continue
-        # Up from the line to a container around the mark; the outer one of it and the best so far.
-        while container not in around:
-            container = page.parents[container]
-        best = min(best, container)
-    return best
+        best = container if best is None else shared(page.parents, best, container)
+    return best or 0
+
+
+def shared(parents: list[int], a: int, b: int) -> int:
+    """The least container around two."""
+    while a != b:
+        if a > b:
+            a = parents[a]
+        else:
+            b = parents[b]
+    return a
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
@@ -320,10 +328,10 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     inside = [False] * len(page.parents)
     for i in range(len(inside)):
         inside[i] = i == region or i > 0 and inside[page.parents[i]]
-    kept = [line for line in page.lines if inside[line[3]] and not line[4]]
-    is_link = [linked >= 0.9 * len(text.replace(" ", "")) for text, _, linked, _, _ in kept]
+    kept = [(line, block) for line, (_, block) in zip(page.lines, page.notes) if inside[line[3]] and not line[4]]
+    is_link = [block != "p" and linked >= 0.9 * len(text.replace(" ", "")) for (text, _, linked, _, _), block in kept]
     out = []
-    for i, line in enumerate(kept):
+    for i, (line, _) in enumerate(kept):
         # Two or more links in a row are a list of links; a single one may be a sentence.
         beside = i > 0 and is_link[i - 1] or i + 1 < len(kept) and is_link[i + 1]
         if not (is_link[i] and beside):

@@ -1,11 +1,12 @@
 """Documents whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
-Equal texts form a class and are looked at once. A forest of prefix trees finds candidates:
-each of ``trees`` trees labels a text with a sequence of MinHash values, and texts that share
-a prefix of a sequence are near each other in that tree. Prefixes start at ``longest`` values
-and are shortened until a pair at the threshold shares one in some tree with the probability
-``recall``; longer ones would miss pairs, shorter ones only add candidates. Texts with a common
-prefix are tied to the smallest of them, so a run of n texts gives n - 1 candidate edges.
+Equal texts form a class and are looked at once. Candidates are found by MinHash banding:
+each of ``trees`` bands labels a text with the hash of its first MinHash values, and texts with
+a common label are tied to the smallest of them, so a run of n texts gives n - 1 candidate
+edges. The values a band has follow from the threshold, the number of bands and ``recall``,
+the least probability that a pair at the threshold shares a label (see ``prefix_length``).
+Sequences are cut at that one length: no trie is sorted, and no prefix is lengthened or
+shortened by what it matches.
 
 Connected candidates are then verified exactly, on the full shingle sets: all pairs of a
 candidate component are compared by products of its text-by-shingle matrix, and what leaves a

@@ -90,6 +90,40 @@ def test_wrappers_with_names_of_other_things():
     assert main_text(f"<header><h1>Site</h1></header>{note}<div><p>One sentence.</p></div>") == "One sentence."
 
 
+STORY = "".join(f"<p>Sentence {i} of the story is of the usual length for such a text.</p>" for i in range(8))
+TOLD = re.findall("<p>(.*?)</p>", STORY)
+
+
+def test_comments_and_adverts_of_any_name():
+    long = "".join(f"<p>Reader {i} writes a comment that is longer than the story itself, and goes on.</p>" for i in range(20))
+    for page in [
+        f'<body><article>{STORY}</article><div class="comments"><article>{long}</article></div></body>',
+        f'<div class="page"><article>{STORY}</article><div id="comments"><article>{long}</article></div></div>',
+        f'<main><article>{STORY}</article><section class="user-comments">{long}</section></main>',
+        f'<main><article>{STORY}<div class="reader-comments">{long}</div></article></main>',
+        f'<article>{STORY}<div class="ad-slot">Buy this thing today, it is really very cheap.</div></article>',
+        f'<article><div id="google-ads">Buy this thing today, it is really cheap.</div>{STORY}</article>',
+        f'<article>{STORY}<p style="color:red; display: none">This text is never shown to a reader of it.</p></article>',
+        f'<article>{STORY}<div style="visibility:hidden"><p>Nor is this one shown to a reader.</p></div></article>',
+    ]:
+        assert main_text(page).split("\n\n") == TOLD, page
+
+
+def test_short_lines_beside_the_text():
+    top, end = "<div>Breaking: subscribe today</div>", "<div>Posted by someone</div>"
+    for page in [
+        f"<body>{top}<div>{STORY}</div>{end}</body>",
+        f"<body><div>{top}<div><div>{STORY}</div></div></div>{end}</body>",
+    ]:
+        assert main_text(page).split("\n\n") == TOLD, page
+
+
+def test_paragraphs_that_are_links_stay():
+    links = '<p><a href="1">A source of this story</a></p><p><a href="2">Another source of it</a></p>'
+    want = [*TOLD, "A source of this story", "Another source of it", *TOLD]
+    assert main_text(f"<article>{STORY}{links}{STORY}</article>").split("\n\n") == want
+
+
 def test_broken_markup():
     assert main_text("<p>a<p>b <i>c") == "a\n\nb c"
     assert main_text("</div></p>a</article>") == "a"
