@@ -534,6 +534,69 @@ HOUR_SHARES = ", ".join(
 )
 oracle("hour_profile", f"SELECT userid, {HOUR_SHARES} FROM plays_e GROUP BY userid")
 
+# Principal axes: the matrix is squared until one axis is left, that axis is taken out, and so on.
+PARTS["hour_z"] = """
+SELECT userid, h, CASE WHEN stddev_pop(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_pop(x) OVER w ELSE 0 END AS z
+FROM (SELECT userid, h, avg(CASE WHEN hour(ts) = h THEN 1.0::DOUBLE ELSE 0 END) AS x
+      FROM plays_e, range(24) r(h) GROUP BY userid, h) WINDOW w AS (PARTITION BY h)"""
+PARTS["vec_z"] = """
+SELECT vec_id, pos AS h, v - avg(v) OVER (PARTITION BY pos) AS z FROM vec_cells"""
+
+
+def principal(cells: str, key: str, d: int, count: int, squarings: int = 18) -> str:
+    """``axes`` (axis, share, v) of the first ``count`` axes of cells (key, h, z), ``rows`` (key, x), and
+    ``scores`` (key, axis, score)."""
+    each, diagonal = f"range({d * d})", f"list_transform(range({d}), lambda j: {{}}[j * {d} + j + 1])"
+    trace = lambda m: f"list_sum({diagonal.format(m)})"
+    return f"""
+start AS (
+  SELECT list(v ORDER BY p, q) AS m FROM (
+    SELECT a.h AS p, b.h AS q, avg(a.z * b.z) AS v FROM {cells} a JOIN {cells} b USING ({key}) GROUP BY a.h, b.h)),
+walk(axis, turn, base, power, v, share) AS (
+  SELECT 0, 0, m, m, CAST([] AS DOUBLE[]), CAST(0 AS DOUBLE) FROM start
+  UNION ALL
+  SELECT axis + CAST(done AS INT), CASE WHEN done THEN 0 ELSE turn + 1 END, rest,
+         list_transform(next, lambda x: x / {trace('next')}), v, share
+  FROM (
+    SELECT *, CASE WHEN done THEN rest ELSE list_transform({each}, lambda i: list_sum(list_transform(range({d}),
+             lambda k: power[(i // {d}) * {d} + k + 1] * power[k * {d} + i % {d} + 1]))) END AS next
+    FROM (
+      SELECT axis, turn, done, power, v, share / {trace('whole')} AS share,
+             CASE WHEN done THEN list_transform({each}, lambda i: base[i + 1] - share * v[i // {d} + 1] * v[i % {d} + 1])
+                  ELSE base END AS rest
+      FROM (
+        SELECT *, CASE WHEN done THEN list_sum(list_transform({each}, lambda i: v[i // {d} + 1] * base[i + 1] * v[i % {d} + 1])) END AS share
+        FROM (
+          SELECT axis, turn, done, base, power, whole,
+                 list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS v
+          FROM (
+            SELECT axis, turn, base, power, turn = {squarings} AS done, (SELECT m FROM start) AS whole,
+                   list_transform(range({d}), lambda i: power[i * {d} + list_position({diagonal.format('power')},
+                     list_max({diagonal.format('power')}))]) AS c
+            FROM walk WHERE axis < {count}))))) ),
+axes AS (
+  SELECT axis - 1 AS axis, share,
+         CASE WHEN list_max(v) >= -list_min(v) THEN v ELSE list_transform(v, lambda x: -x) END AS v
+  FROM walk WHERE turn = 0 AND axis > 0),
+rows AS (SELECT {key}, list(z ORDER BY h) AS x FROM {cells} GROUP BY {key}),
+scores AS (SELECT {key}, axis, list_dot_product(x, v) AS score FROM rows, axes)"""
+
+
+oracle("temporal_pca", f"""RECURSIVE {principal('hour_z', 'userid', 24, 5)}
+FINALLY
+SELECT userid, {', '.join(num(f"max(CASE WHEN axis = {k} THEN score END)", f"temporal_stability_pc{k + 1}") for k in range(5))}
+FROM scores GROUP BY userid""")
+oracle("hour_axes", f"""RECURSIVE {principal('hour_z', 'userid', 24, 23)},
+kept AS (SELECT * FROM (SELECT axis, coalesce(sum(share) OVER (ORDER BY axis ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                        FROM axes) WHERE before <= 0.6)
+FINALLY
+SELECT userid, {big('axis', 'axis')}, {num('score', 'score')} FROM scores JOIN kept USING (axis)""")
+oracle("vector_plane", f"""RECURSIVE {principal('vec_z', 'vec_id', 64, 2)}
+FINALLY
+SELECT vec_id, {num('max(CASE WHEN axis = 0 THEN score END)', 'umap_x')}, {num('max(CASE WHEN axis = 1 THEN score END)', 'umap_y')},
+       'Cluster ' || any_value(cluster) AS cluster_label
+FROM scores JOIN vec USING (vec_id) GROUP BY vec_id""")
+
 # -- matrix and exploration ------------------------------------------------------------
 
 oracle("feature_matrix", f"""
@@ -684,7 +747,7 @@ _ASSIGNED = """
 SELECT k, vec_id, arg_min(c, (d, c)) AS c, min(d) AS d
 FROM (SELECT k, c, vec_id, sum((v - value) * (v - value)) AS d FROM {} m JOIN vec_cells USING (pos) GROUP BY k, c, vec_id)
 GROUP BY k, vec_id"""
-oracle("kmeans_rounds", f"""RECURSIVE
+_MOVED = """
 starts AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, vec_id FROM vec QUALIFY c < 6),
 moved(turn, k, c, pos, value) AS (
   SELECT 0, k, c, pos, v FROM starts JOIN vec_cells USING (vec_id) JOIN (VALUES (2), (4), (6)) s(k) ON c < k
@@ -694,7 +757,8 @@ moved(turn, k, c, pos, value) AS (
         FROM (SELECT turn, k, c, vec_id, sum((v - value) * (v - value)) AS d
               FROM moved JOIN vec_cells USING (pos) WHERE turn < 12 GROUP BY turn, k, c, vec_id)
         GROUP BY k, vec_id)
-  JOIN vec_cells USING (vec_id) GROUP BY turn, k, c, pos),
+  JOIN vec_cells USING (vec_id) GROUP BY turn, k, c, pos)"""
+oracle("kmeans_rounds", f"""RECURSIVE {_MOVED},
 before AS (SELECT * FROM moved WHERE turn = 11),
 costs AS ({_ASSIGNED.format('before')})
 FINALLY
@@ -702,6 +766,40 @@ SELECT {big('k', 'k')}, {big('c', 'centre')}, members, {num('cost', 'cost')}, {n
 FROM (SELECT k, c, count(*) AS members FROM costs GROUP BY k, c)
 JOIN (SELECT k, sum(d) AS cost FROM costs GROUP BY k) USING (k)
 JOIN (SELECT k, c, sum(value * value) AS square FROM moved WHERE turn = 12 GROUP BY k, c) USING (k, c)""")
+_JUDGED = f"""{_MOVED},
+settled AS (SELECT * FROM moved WHERE turn = 12),
+given AS ({_ASSIGNED.format('settled')}),
+mids AS (SELECT k, c, pos, avg(v) AS mid, count(*) AS n FROM given JOIN vec_cells USING (vec_id) GROUP BY k, c, pos),
+off AS (
+  SELECT k, c, vec_id, sum((v - mid) * (v - mid)) AS sq
+  FROM given JOIN vec_cells USING (vec_id) JOIN mids USING (k, c, pos) GROUP BY k, c, vec_id),
+spread AS (SELECT k, c, avg(sqrt(sq)) AS s, count(*) AS n FROM off GROUP BY k, c),
+apart AS (
+  SELECT a.k, a.c AS i, b.c AS j, sqrt(sum((a.mid - b.mid) * (a.mid - b.mid))) AS m
+  FROM mids a JOIN mids b ON a.k = b.k AND a.pos = b.pos AND a.c <> b.c GROUP BY a.k, a.c, b.c),
+worst AS (
+  SELECT k, avg(w) AS davies_bouldin FROM (
+    SELECT a.k, a.i, max((x.s + y.s) / m) AS w FROM apart a JOIN spread x ON x.k = a.k AND x.c = a.i
+    JOIN spread y ON y.k = a.k AND y.c = a.j GROUP BY a.k, a.i) GROUP BY k),
+inner_ AS (SELECT k, sum(sq) AS inertia FROM off GROUP BY k),
+outer_ AS (
+  SELECT k, sum(n * (mid - g) * (mid - g)) AS apart FROM mids JOIN (SELECT pos, avg(v) AS g FROM vec_cells GROUP BY pos) USING (pos)
+  GROUP BY k),
+kinds AS (SELECT k, count(*) AS clusters, sum(n) AS n FROM spread GROUP BY k),
+nearness AS (
+  SELECT a.k, p.i, a.c AS ci, b.c AS cj, avg(p.d) AS m FROM pairs p JOIN given a ON a.vec_id = p.i
+  JOIN given b ON b.k = a.k AND b.vec_id = p.j GROUP BY a.k, p.i, a.c, b.c),
+sides AS (
+  SELECT k, i, max(CASE WHEN ci = cj THEN m END) AS own, min(CASE WHEN ci <> cj THEN m END) AS other FROM nearness GROUP BY k, i),
+silhouettes AS (SELECT k, avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END) AS silhouette FROM sides GROUP BY k)"""
+oracle("elbow_given", f"""RECURSIVE {_JUDGED}
+FINALLY
+SELECT {big('k', 'k')}, {num('inertia', 'inertia')}, {num('silhouette', 'silhouette')} FROM inner_ JOIN silhouettes USING (k)""")
+oracle("model_choice", f"""RECURSIVE {_JUDGED}
+FINALLY
+SELECT 'KMeans (k=' || k || ')' AS algorithm, clusters, CAST(0 AS BIGINT) AS noise_points, {num('silhouette', 'silhouette')},
+       {num('davies_bouldin', 'davies_bouldin')}, {num('(apart / (clusters - 1)) / (inertia / (n - clusters))', 'calinski_harabasz')}
+FROM kinds JOIN silhouettes USING (k) JOIN worst USING (k) JOIN inner_ USING (k) JOIN outer_ USING (k)""")
 oracle("core_distance", f"""
 SELECT i AS vec_id, {num('d', 'core_distance')}
 FROM (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d) AS rn FROM pairs) WHERE rn = 5""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache, reduce
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -548,6 +549,28 @@ def q_temporal_pca(spark, sf):
     return r6(block.select("userid", *STABILITY))
 
 
+@query
+def q_hour_axes(spark, sf):
+    """The hour profile on as many axes as hold 60 % of its variance."""
+    shares = staged(temporal.hour_profile(m.plays_e(spark, sf)))
+    scaled, names = prep.preprocess(shares)
+    scores, _ = prep.pca_reduce(prep.assemble(scaled, names), 0.6)
+    return r6(_as_array(scores).select("userid", F.posexplode("features").alias("axis", "score")))
+
+
+@query
+def q_vector_plane(spark, sf):
+    """The scatter of the given vectors: their first two axes, and the name of their cluster."""
+    rows = m.vectors(spark, sf)
+    mean = F.array(*[F.avg(F.col("features")[k]) for k in range(64)])
+    centre = rows.agg(mean.alias("centre"))
+    centred = rows.join(centre, F.lit(True)).select(
+        "vec_id", F.zip_with("features", "centre", lambda a, b: a - b).alias("features"))
+    plane = prep.embed_2d(quality.as_vectors(centred)).withColumnRenamed("vec_id", "userid")
+    labelled = rows.select(F.col("vec_id").alias("userid"), "cluster", F.lit(None).cast("string").alias("cluster_name"))
+    return r6(prof.scatter_rows(labelled.join(plane, "userid")).withColumnRenamed("userid", "vec_id"))
+
+
 # -- matrix and exploration ------------------------------------------------------------
 
 
@@ -833,13 +856,49 @@ def q_kmeans_facts(spark, sf):
     )
 
 
-@query
-def q_kmeans_rounds(spark, sf):
+def given_models(spark, sf) -> tuple[DataFrame, dict]:
     """Models of three sizes, started at the first vectors, after twelve rounds together."""
     rows = m.vectors(spark, sf)
     first = [r["features"] for r in rows.orderBy("vec_id").limit(6).collect()]
     fits = {k: cluster.Model(np.array(first[:k])) for k in (2, 4, 6)}
-    cluster.advance(point_arrays(rows.select("vec_id", "features"), "vec_id"), fits, -1.0, 12)
+    arrays = point_arrays(rows.select("vec_id", "features"), "vec_id")
+    cluster.advance(arrays, fits, -1.0, 12)
+    return arrays, fits
+
+
+def labelled_by_given_models(spark, sf) -> DataFrame:
+    arrays, fits = given_models(spark, sf)
+    return staged(cluster.labelled(arrays, list(fits.values())).withColumnsRenamed({"id": "userid", "x": "features"}))
+
+
+def of_model(marked: DataFrame, position: int) -> DataFrame:
+    return marked.select("userid", "features", F.get("labs", F.lit(position)).alias("cluster"))
+
+
+@query
+def q_elbow_given(spark, sf):
+    """The curve of the given models, their costs and silhouettes taken from their labels."""
+    marked = labelled_by_given_models(spark, sf)
+    scores = quality.silhouette_by_labelling(marked)
+    costs = {k: quality.inertia(of_model(marked, i)) for i, k in enumerate((2, 4, 6))}
+    return r6(quality.elbow_table(spark, costs, {k: scores[i] for i, k in enumerate((2, 4, 6))}))
+
+
+@query
+def q_model_choice(spark, sf):
+    """The scores of the given models side by side."""
+    marked = labelled_by_given_models(spark, sf)
+    results = [
+        SimpleNamespace(scores=plan_clustering.score_table(f"KMeans (k={k})", of_model(marked, i), k, 0, "exact"))
+        for i, k in enumerate((2, 4, 6))
+    ]
+    return r6(plan_clustering.compare(results))
+
+
+@query
+def q_kmeans_rounds(spark, sf):
+    """The given models: members, cost and place of their centres."""
+    _, fits = given_models(spark, sf)
     table = [
         (k, c, int(fit.sizes[c]), float(fit.cost), float((fit.centres[c] ** 2).sum()))
         for k, fit in fits.items()

@@ -8,7 +8,7 @@ from checks.oracle import ORACLE
 from checks.queries import QUERIES
 
 ROWS_ONLY = {
-    "temporal_pca", "feature_matrix_full", "pca_reduce", "kmeans_sweep", "elbow_table",
+    "feature_matrix_full", "pca_reduce", "kmeans_sweep", "elbow_table",
     "embed_2d", "clustering_pipeline", "model_selection",
     "feature_importance", "top_importances", "umap_scatter_rows",
 }

@@ -81,7 +81,7 @@ FETCHES = {
     "operators/hierarchy.py:condense", "operators/pairwise.py:pivot_blocks", "operators/prep.py:fit_medians",
     "operators/prep.py:fit_moments", "operators/prep.py:vector_size", "operators/quality.py:_silhouettes",
     "operators/quality.py:davies_bouldin", "operators/quality.py:fit_centroids",
-    "operators/quality.py:silhouette_by_labelling", "plans/clustering.py:_scored",
+    "operators/quality.py:silhouette_by_labelling", "plans/clustering.py:score_table",
     "plans/clustering.py:run_clustering", "plans/clustering.py:score", "sources/lookup.py:upsert_stored",
 }
 
