@@ -8,9 +8,10 @@ the shingle in the window gives the only possible start of an occurrence, which
 of the document must allow; the words are then compared in full.
 
 The window table is cut into blocks of about ``block_windows`` rows. A block is what is sent
-to the tasks (its size is bounded by that parameter), documents pass the blocks one after the
-other and are never shuffled. Between blocks the marked documents are written to the shared
-folder. Occurrence counts of the shingles are summed over the whole corpus.
+to the tasks (its size is bounded by that parameter); the documents are read for one block
+after the other. With one block they are never shuffled. With more they are written once with
+a row number, each block leaves what it found as narrow rows of the documents it hit, and the
+merged rows join the documents at the end. Occurrence counts of the shingles are summed over the whole corpus.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased: digits, letters
 a-z and everything outside ASCII. Null and empty texts have no words and no hits; an item
@@ -23,7 +24,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -154,21 +156,19 @@ def mark(
     texts = docs.select(F.col(text_col).cast("string"))
     spark = docs.sparkSession
 
-    def marked(df: DataFrame, number: int) -> DataFrame:
+    def finder(number: int) -> Callable[[list], dict[str, list]]:
+        """What finds the windows of one block in a list of texts."""
         block = [(r["item"], bytes(r["window"])) for r in rows.where(block_of == number).collect()]
         wanted = {s for _, window in block for s in shingles_of(window, shingle)}
         index = prefix_index(block, corpus_counts(texts, wanted), shingle)
         shared = spark.sparkContext.broadcast((sizes_by_first(index), index))
 
-        def find(found_texts: list, *before: list) -> dict[str, list]:
+        def find(found_texts: list) -> dict[str, list]:
             sizes, lookup = shared.value
             out: dict[str, list] = {n_words: [], hits: [], items: []}
-            for i, text in enumerate(found_texts):
+            for text in found_texts:
                 words = words_of(text)
                 spans, names = [], set()
-                if before:
-                    spans = list(zip(before[0][i][::2], before[0][i][1::2]))
-                    names = set(before[1][i])
                 for at, token in occurrences(words, sizes, lookup):
                     for (place, length), windows in lookup[token].items():
                         start = at - place
@@ -182,16 +182,34 @@ def mark(
                 out[items].append(sorted(names))
             return out
 
-        if number == 0:
-            return add_columns(df, [text_col], find, added)
-        before = {n: fresh(df, f"{n}_before") for n in (n_words, hits, items)}
-        again = add_columns(df.withColumnsRenamed(before), [text_col, before[hits], before[items]], find, added)
-        return again.drop(*before.values())
-
-    out = marked(docs, 0)
-    for number in range(1, blocks):
-        out = marked(staged(out), number)
-    return out
+        return find
+
+    if blocks == 1:
+        return add_columns(docs, [text_col], finder(0), added)
+    # Rows are written once, with a number; of a block only what it found is kept.
+    row = fresh(docs, "_row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = numbered.select(F.col(text_col).cast("string"))
+    narrow = numbered.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def found_in(number: int) -> DataFrame:
+        find = finder(number)
+        seen = add_columns(narrow, ["text"], find, added).drop("text")
+        # The first block tells the words of every row.
+        return staged(seen if number == 0 else seen.where(F.size(hits) > 0))
+
+    everything = reduce(DataFrame.unionByName, [found_in(number) for number in range(blocks)])
+    summed = everything.groupBy("row").agg(
+        F.max(n_words).alias(n_words),
+        F.flatten(F.collect_list(hits)).alias(hits),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items),
+    )
+    together = map_rows(
+        summed,
+        lambda c: {**c, hits: [merged(list(zip(spans[::2], spans[1::2]))) for spans in c[hits]]},
+        T.StructType().add("row", "long").add(n_words, "long").add(hits, added[hits].dataType).add(items, added[items].dataType),
+    ).withColumnRenamed("row", f"{row}_found")
+    return numbered.join(staged(together), F.col(row) == F.col(f"{row}_found")).select(*docs.columns, n_words, hits, items)
 
 
 def hit_words(hits: Column) -> Column:
