@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from playcohort.plans.features import build_feature_matrix
-from playcohort.session import configure, scratch_dir
+from playcohort.session import configure, on_release, scratch_dir
 
 
 _schemas: dict[str, T.StructType] = {}
@@ -138,6 +138,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _saved: dict[tuple[int, str], str] = {}
+on_release(_saved.clear)
 
 
 def saved_matrix(spark: SparkSession, sf: str) -> DataFrame:

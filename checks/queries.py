@@ -20,7 +20,7 @@ from playcohort.plans import clustering as plan_clustering
 from playcohort.plans.enrichment import ARTIST_ANSWER, run_enrichment
 from playcohort.plans.features import build_feature_matrix
 from playcohort.schemas import ARTIST_GENRES, DEMOGRAPHICS
-from playcohort.session import configure, scratch_dir, staged
+from playcohort.session import configure, on_release, scratch_dir, staged
 from playcohort.sources import ingest, lookup, parquet, tsv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -804,7 +804,14 @@ def q_pca_reduce(spark, sf):
     return r6(long)
 
 
-@lru_cache(maxsize=None)
+def once(fn):
+    """``fn`` remembered until the scratch tables are released."""
+    kept = lru_cache(maxsize=None)(fn)
+    on_release(kept.cache_clear)
+    return kept
+
+
+@once
 def _sweep(app: str, spark, sf):
     """The whole sweep, k 3 to 10 with 20 starts each, fitted once per application."""
     space = staged(prep.pca_reduce(user_vectors(spark, sf), 0.95)[0])
@@ -937,7 +944,7 @@ def q_clustering_pipeline(spark, sf):
     return _run(spark.sparkContext.applicationId, spark, sf, "kmeans").assignments
 
 
-@lru_cache(maxsize=None)
+@once
 def _run(app: str, spark, sf, algorithm: str):
     """A run with all defaults, made once per application."""
     return plan_clustering.run_clustering(m.saved_matrix(spark, sf), algorithm)
@@ -1012,7 +1019,7 @@ def q_feature_importance(spark, sf):
     return _importances(spark, sf)
 
 
-@lru_cache(maxsize=None)
+@once
 def _forest(app: str, spark, sf):
     forest, names = importance.cluster_forest(m.saved_matrix(spark, sf), m.labels(spark, sf))
     return staged(forest), names

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,13 @@ def build_session(
 
 
 _local_base: dict[str, str] = {}
+_on_release: list[Callable[[], None]] = []
+
+
+def on_release(forget: Callable[[], None]) -> Callable[[], None]:
+    """Have ``forget`` called when scratch tables are deleted, by whatever remembers some."""
+    _on_release.append(forget)
+    return forget
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -52,6 +60,8 @@ def release(spark: SparkSession) -> None:
     whatever was returned lazily, cannot be used afterwards."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for forget in _on_release:
+        forget()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
