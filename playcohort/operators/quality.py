@@ -36,6 +36,8 @@ def as_vectors(points: DataFrame) -> DataFrame:
     return points
 
 
+#: Labelled clusters up to which a point keeps a sum for every one.
+DENSE_SLOTS = 1024
 #: Numbers in a strip of the table of differences between cluster centres.
 _CENTRE_CELLS = 1 << 22
 
@@ -48,8 +50,9 @@ def _silhouettes(points: DataFrame, labellings: int, block_rows: int | None) ->
     several labellings. ``points`` has id, x and ``labs``, the cluster of the point in each
     labelling or null where it takes no part.
 
-    One pass over the block pairs serves all labellings: the kernel multiplies distances
-    with cluster indicators, so a point gets one sum per labelling and cluster.
+    One pass over the block pairs serves all labellings. Up to ``DENSE_SLOTS`` labelled clusters
+    the kernel multiplies distances with cluster indicators, and a point gets one sum for each;
+    beyond, it gets sums of the clusters that can be its own or its nearest other one only.
     """
     sizes_df = (
         points.select(F.posexplode("labs").alias("labelling", "cluster"))
@@ -57,7 +60,18 @@ def _silhouettes(points: DataFrame, labellings: int, block_rows: int | None) ->
         .groupBy("labelling", "cluster")
         .agg(F.count(F.lit(1)).alias("size"))
     )
-    # One row per labelling and cluster: model-sized.
+    some = sizes_df.limit(DENSE_SLOTS + 1).count()
+    ab = _sparse_means(points, staged(sizes_df), block_rows) if some > DENSE_SLOTS else _dense_means(points, sizes_df, block_rows)
+    # A point alone in its cluster scores 0; so does everything while there is one cluster.
+    s = F.coalesce(
+        F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)
+    )
+    return ab.select("labelling", "id", "cluster", s.alias("s"))
+
+
+def _dense_means(points: DataFrame, sizes_df: DataFrame, block_rows: int | None) -> DataFrame:
+    """(labelling, id, cluster, a, b): mean distance to the own cluster and to the nearest other."""
+    # At most DENSE_SLOTS rows.
     sizes = sizes_df.orderBy("labelling", "cluster").collect()
     slots = {(r["labelling"], r["cluster"]): i for i, r in enumerate(sizes)}
     width = len(slots)
@@ -121,20 +135,101 @@ def _silhouettes(points: DataFrame, labellings: int, block_rows: int | None) ->
         F.col("cluster").isNotNull()
     )
     mine = F.col("to") == F.col("cluster")
-    ab = (
+    return (
         totals.join(own, ["id", "labelling"])
         .groupBy("labelling", "id", "cluster")
         .agg(
-            F.max(F.when(mine, F.col("size"))).alias("size"),
             F.max(F.when(mine & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
             F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b"),
         )
     )
-    # A point alone in its cluster scores 0; so does everything while there is one cluster.
-    s = F.coalesce(
-        F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)
+
+
+def _sparse_means(points: DataFrame, sizes: DataFrame, block_rows: int | None) -> DataFrame:
+    """The same for many clusters.
+
+    The mean distance of a point to a cluster is no less than that to its centre, and no more
+    than that plus the mean distance of its members to the centre. Within blocks of points
+    that lie together each point finds a first bound from the clusters it meets there; in the
+    other blocks only clusters whose centre is nearer than that, and its own, are summed. A
+    task holds a strip of distances and of sums, whatever the number of clusters.
+    """
+    long = points.select("id", "x", F.posexplode("labs").alias("labelling", "cluster")).where(F.col("cluster").isNotNull())
+    keys = ["labelling", "cluster"]
+    mean = vector_to_array(Summarizer.mean(array_to_vector("x")))
+    centres = staged(long.groupBy(*keys).agg(mean.alias("centre")))
+    with_centre = long.join(centres, keys)
+    spread = with_centre.groupBy(*keys).agg(F.avg(_distance_to(F.col("centre"), F.col("x"))).alias("spread"))
+    known = centres.join(spread, keys)
+    # A labelling is a set of points of its own; names tell them apart in the blocks.
+    rows = staged(long.join(known, keys).select(F.struct("labelling", "id").alias("id"), "x", "labelling", "cluster", "centre", "spread"))
+    blocks = pivot_blocks(rows, rows.count(), block_rows)
+    key_type = rows.schema["id"].dataType.simpleString()
+
+    def met(frame):
+        """The clusters of a block: for each (labelling, cluster) its number, its centre and spread."""
+        codes, firsts, of = np.unique(
+            np.stack([frame["labelling"], frame["cluster"]], axis=1), axis=0, return_index=True, return_inverse=True
+        )
+        first = frame.iloc[firsts]
+        return codes, of.ravel(), np.stack(first["centre"].to_numpy()), first["spread"].to_numpy()
+
+    def bounds(pdf):
+        x = np.stack(pdf["x"].to_numpy())
+        codes, of, middle, wide = met(pdf)
+        labelling = pdf["labelling"].to_numpy()
+        bound = np.full(len(x), np.inf)
+        for start in range(0, len(codes), 256):
+            part = slice(start, start + 256)
+            far = np.sqrt(((x[:, None, :] - middle[None, part, :]) ** 2).sum(axis=2)) + wide[None, part]
+            other = (codes[None, part, 0] == labelling[:, None]) & (np.arange(len(codes))[None, part] != of[:, None])
+            bound = np.minimum(bound, np.where(other, far, np.inf).min(axis=1))
+        return pdf.assign(bound=bound)
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.points.schema.fields)
+    bounded = staged(blocks.points.groupBy("block").applyInPandas(bounds, f"{kind}, bound double"))
+
+    def sums(left, right, same):
+        import pandas as pd
+
+        out = []
+        for one, two in [(left, right)] if same else [(left, right), (right, left)]:
+            x, y = np.stack(one["x"].to_numpy()), np.stack(two["x"].to_numpy())
+            codes, of, middle, _ = met(two)
+            own = one[["labelling", "cluster"]].to_numpy()
+            bound, ids = one["bound"].to_numpy() * (1 + 1e-9), one["id"].to_numpy()
+            order = np.argsort(of, kind="stable")
+            firsts = np.searchsorted(of[order], np.arange(len(codes)))
+            for start, dist in distance_strips(x, y[order], cells=1 << 20):
+                stop = start + len(dist)
+                if same:
+                    at = np.empty(len(order), dtype=np.int64)
+                    at[order] = np.arange(len(order))
+                    dist[np.arange(len(dist)), at[start:stop]] = 0.0
+                total = np.add.reduceat(dist, firsts, axis=1)
+                near = next(distance_strips(x[start:stop], middle, cells=1 << 62))[1] <= bound[start:stop, None]
+                labelling = codes[None, :, 0] == own[start:stop, None, 0]
+                mine = labelling & (codes[None, :, 1] == own[start:stop, None, 1])
+                rows_, columns = np.nonzero(labelling & (near | mine))
+                out.append(
+                    pd.DataFrame({"id": ids[start:stop][rows_], "to": codes[columns, 1], "total": total[rows_, columns]})
+                )
+        return pd.concat(out)
+
+    names = over_block_pairs(bounded, bounded.count(), sums, f"id {key_type}, to int, total double", block_rows)
+    added = names.groupBy("id", "to").agg(F.sum("total").alias("total"))
+    sized = added.select("id.id", "id.labelling", "to", "total").join(
+        sizes.withColumnRenamed("cluster", "to"), ["labelling", "to"]
+    )
+    mine = F.col("to") == F.col("cluster")
+    return (
+        sized.join(long.select("id", "labelling", "cluster"), ["id", "labelling"])
+        .groupBy("labelling", "id", "cluster")
+        .agg(
+            F.max(F.when(mine & (F.col("size") > 1), F.col("total") / (F.col("size") - 1))).alias("a"),
+            F.min(F.when(~mine, F.col("total") / F.col("size"))).alias("b"),
+        )
     )
-    return ab.select("labelling", "id", "cluster", s.alias("s"))
 
 
 def silhouette_samples(

@@ -79,7 +79,7 @@ FETCHES = {
     "operators/cluster.py:advance", "operators/cluster.py:kmeans_sweep", "operators/cluster.py:mean_variance", "operators/density.py:connected_components",
     "operators/pairwise.py:reach_of_blocks", "operators/explore.py:correlation_matrix",
     "operators/hierarchy.py:condense", "operators/pairwise.py:pivot_blocks", "operators/prep.py:fit_medians",
-    "operators/prep.py:fit_moments", "operators/prep.py:vector_size", "operators/quality.py:_silhouettes",
+    "operators/prep.py:fit_moments", "operators/prep.py:vector_size", "operators/quality.py:_dense_means",
     "operators/quality.py:davies_bouldin", "operators/quality.py:fit_centroids",
     "operators/quality.py:silhouette_by_labelling", "plans/clustering.py:score_table",
     "plans/clustering.py:run_clustering", "plans/clustering.py:score", "sources/lookup.py:upsert_stored",
@@ -164,6 +164,29 @@ def test_many_small_clusters(spark):
     assert quality.davies_bouldin(points) == pytest.approx(0.1, rel=1e-6)
 
 
+def test_silhouettes_of_many_clusters_are_those_of_few(spark, monkeypatch):
+    """The sparse sums give the rows of the dense ones, and 3,000 clusters fit."""
+    points = spark.range(700).selectExpr(
+        "id AS vec_id", "cast(id % 60 - 1 AS int) AS cluster",
+        "array(id % 60 * 3 + sin(id) * (id % 7), cos(id * 5) * (id % 5), id % 11) AS features")
+    rows = lambda n: sorted(map(tuple, quality.silhouette_samples(points, "vec_id", n).collect()))
+    dense = rows(None)
+    replicates = [r[1] for r in sorted(quality.silhouette_replicates(points, 3, 0.8, "vec_id").collect())]
+    monkeypatch.setattr(quality, "DENSE_SLOTS", 5)
+    for n in (None, 90):
+        sparse = rows(n)
+        assert [r[:2] for r in sparse] == [r[:2] for r in dense]
+        assert [r[2] for r in sparse] == pytest.approx([r[2] for r in dense], abs=1e-9)
+    again = [r[1] for r in sorted(quality.silhouette_replicates(points, 3, 0.8, "vec_id").collect())]
+    assert again == pytest.approx(replicates, abs=1e-9)
+    pairs = spark.range(6_000).selectExpr(
+        "id AS vec_id", "array(double(id div 2), double(id % 2) / 10) AS features", "cast(id div 2 AS int) AS cluster")
+    got = quality.silhouette_samples(pairs, "vec_id", 1500)
+    assert got.count() == 6_000
+    # The other point is a tenth away, the two of the next pair 1 and sqrt(1.01).
+    assert got.agg(F.avg("silhouette")).first()[0] == pytest.approx(1 - 0.2 / (1 + 1.01**0.5), abs=1e-9)
+
+
 def test_worst_partners_in_blocks_of_any_size(spark):
     points = spark.range(3_000).selectExpr(
         "id AS vec_id", "cast(id % 300 AS int) AS cluster",
