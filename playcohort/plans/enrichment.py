@@ -96,7 +96,7 @@ def run_enrichment(
             return
         known = read_or_empty(spark, previous and f"{previous}/{name}", schema)
         # Checkpointed: the sorted write would otherwise ask twice, once for its ranges.
-        answers = cut_lineage(enrich_with(missing(known), fetch, answer))
+        answers = cut_lineage(enrich_with(missing(known), fetch, answer, halve=True))
         save(name, upsert(known, as_rows(answers), key), [key])
 
     if fetch_artists:

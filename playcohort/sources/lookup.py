@@ -126,13 +126,14 @@ def enrich_with(
     fetch: Callable[[list[dict]], Sequence[dict | None]],
     answer: T.StructType,
     batch_size: int = BATCH_SIZE,
+    halve: bool = False,
 ) -> DataFrame:
     """Ask ``fetch`` for every row of ``keys``, ``batch_size`` rows per call.
 
     ``fetch`` gets rows as dicts and returns one dict or None per row, in order. A batch that
-    raises is asked again in halves, so that one bad key costs its own answer only; a key that
-    raises alone, or an answer that is None, gives nulls instead of failing the job. Answers
-    carry the key columns along.
+    raises, or an answer that is None, gives nulls for those rows instead of failing the job.
+    With ``halve`` a batch that raises is asked again in halves, so that one bad key costs its
+    own answer only. Answers carry the key columns along.
     """
     import pandas as pd
 
@@ -146,9 +147,11 @@ def enrich_with(
             if len(got) != len(part):
                 raise ValueError("one reply per key is needed")
             return got
-        except Exception:  # noqa: BLE001 - what fails alone becomes a null answer
+        except Exception:  # noqa: BLE001 - what fails becomes null answers
+            if not halve or len(part) == 1:
+                return [None] * len(part)
             middle = len(part) // 2
-            return [None] if len(part) == 1 else replies(part[:middle]) + replies(part[middle:])
+            return replies(part[:middle]) + replies(part[middle:])
 
     def ask(batches):
         for pdf in batches:
@@ -172,7 +175,7 @@ def enrich_stored(
     batch_size: int = BATCH_SIZE,
     wave_batches: int = WAVE_BATCHES,
 ) -> DataFrame:
-    """``enrich_with`` whose answers are kept at ``path`` as they come in.
+    """``enrich_with`` (with ``halve``) whose answers are kept at ``path`` as they come in.
 
     A task asks for one batch and commits its file in the shared folder; nothing is computed
     from a finished task again, so a lost executor repeats the batches it was at. Keys are
@@ -200,5 +203,5 @@ def enrich_stored(
     for wave in range(waves):
         part = left.where(F.pmod(F.xxhash64(*names, F.lit("wave")), F.lit(waves)) == wave)
         batches = max(1, -(-part.count() // batch_size))
-        enrich_with(part.repartition(batches), fetch, answer, batch_size).write.mode("append").parquet(path)
+        enrich_with(part.repartition(batches), fetch, answer, batch_size, halve=True).write.mode("append").parquet(path)
     return keys.join(answered(), names, "left")
