@@ -13,17 +13,20 @@ from playcohort.functions.columns import DAY_US, HOUR_US, floor_div, micros
 from playcohort.operators.rollups import slot_rollup, slot_width
 
 
-def slot_sessions(plays: DataFrame, gap_minutes: float = 30) -> DataFrame:
+def slot_sessions(
+    plays: DataFrame, gap_minutes: float = 30, slots: DataFrame | None = None
+) -> DataFrame:
     """The slot roll-up with the session each slot belongs to, counted from 1 per user.
 
     A new session starts where the pause since the previous play is longer than the gap;
-    a pause of exactly the gap continues the session.
+    a pause of exactly the gap continues the session. A slot roll-up that exists already can
+    be given as ``slots``; the plays are not read then.
     """
     w = Window.partitionBy("userid").orderBy("slot")
     pause = F.col("first_us") - F.lag("last_us").over(w)
     starts = pause.isNull() | (pause > int(gap_minutes * 60_000_000))
     return (
-        slot_rollup(plays, gap_minutes)
+        (slot_rollup(plays, gap_minutes) if slots is None else slots)
         .withColumn("starts", starts.cast("int"))
         .withColumn("pause_us", F.when(~starts, pause).otherwise(F.lit(0)))
         .withColumn("session_id", F.sum("starts").over(w))
@@ -51,7 +54,10 @@ def session_table(plays: DataFrame, gap_minutes: float = 30) -> DataFrame:
 
 
 def listening_clock(
-    plays: DataFrame, gap_minutes: float = 30, recent_days: int = 90
+    plays: DataFrame,
+    gap_minutes: float = 30,
+    recent_days: int = 90,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """One row per user with every additive quantity the temporal and engagement blocks
     need: totals, session sums, active days, and plays by hour, weekday and month.
@@ -70,7 +76,7 @@ def listening_clock(
     now = F.max("last_us").over(Window.partitionBy("userid"))
     new_day = F.coalesce((F.lag("day").over(w) != F.col("day")).cast("int"), F.lit(1))
     slots = (
-        slot_sessions(plays, gap_minutes)
+        slot_sessions(plays, gap_minutes, slots)
         .withColumn("day", day)
         .select(
             "*",

@@ -37,6 +37,7 @@ def build_feature_matrix(
     pca_components: int = 5,
     with_stability: bool = True,
     save_path: str | None = None,
+    rollups: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per user: artist, genre, rhythm, engagement and audio features, and
     demographics if profiles are given. Sorted by user when saved.
@@ -44,10 +45,12 @@ def build_feature_matrix(
     Plays are scanned three times: for the listening clock, for the track roll-up and, with
     two columns, for the plays at the edge of the novelty window. The two roll-ups are
     staged and everything else derives from them. Every user has a clock row, so the blocks
-    are left-joined to it; each is already partitioned by user.
+    are left-joined to it; each is already partitioned by user. With ``rollups`` (slots and
+    tracks, see ``increments``) only the third scan is made.
     """
+    slots, tracks = rollups or (None, track_rollup(plays))
     clock, tracks = staged_together(
-        listening_clock(plays, session_gap_minutes, novelty_days), track_rollup(plays)
+        listening_clock(plays, session_gap_minutes, novelty_days, slots), tracks
     )
     artists = artists_from_tracks(tracks)
     stats = artist_stats(artists, clock, top_artists, discovery_windows, novelty_days)
