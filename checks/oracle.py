@@ -601,6 +601,7 @@ FROM scores JOIN vec USING (vec_id) GROUP BY vec_id""")
 
 oracle("feature_matrix", f"""
 SELECT userid, {pick(MATRIX_COLS)}, gender, {num('age', 'age')}, country FROM matrix_l""")
+ORACLE["feature_matrix_increments"] = ORACLE["feature_matrix"]
 oracle("dataset_summary", """
 SELECT 'scrobbles' AS metric, count(*) AS value FROM plays_l
 UNION ALL SELECT 'users', count(DISTINCT userid) FROM plays_l

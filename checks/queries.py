@@ -16,7 +16,7 @@ from playcohort.operators import audio, blocks, cluster, density, diversity, eng
 from playcohort.operators import hierarchy, importance, prep, profiles as prof, quality, rollups, sessions
 from playcohort.operators import temporal, topk
 from playcohort.operators.pairwise import point_arrays
-from playcohort.plans import clustering as plan_clustering
+from playcohort.plans import clustering as plan_clustering, increments
 from playcohort.plans.enrichment import ARTIST_ANSWER, run_enrichment
 from playcohort.plans.features import build_feature_matrix
 from playcohort.schemas import ARTIST_GENRES, DEMOGRAPHICS
@@ -586,6 +586,17 @@ def q_feature_matrix(spark, sf):
     return r6(_matrix(spark, sf).drop(*STABILITY))
 
 
+@query
+def q_feature_matrix_increments(spark, sf):
+    """The matrix from roll-ups that were stored in three batches of plays."""
+    plays, path = m.plays_l(spark, sf), scratch_dir(spark)
+    batch = F.pmod(F.xxhash64("userid", "timestamp", "track_name"), F.lit(3))
+    for i in range(3):
+        increments.add_batch(path, str(i), plays.where(batch == i))
+    kept = increments.merged_rollups(spark, path)
+    return r6(_matrix(spark, sf, rollups=kept).drop(*STABILITY))
+
+
 @query
 def q_feature_matrix_full(spark, sf):
     """All 38 features, written and read back as the stage does."""
