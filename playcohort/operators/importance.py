@@ -3,13 +3,17 @@
 A tree sees each row as often as a Poisson draw of mean 1 says, taken from a hash of row and
 tree, so trees repeat and no row is shuffled to be drawn. A node with more than
 ``group_rows`` drawn rows is split by the counts of labels in bins of a random choice of
-features, added up over all tasks; its rows move on to its children. A smaller node is handed
+features, added up over all tasks. Drawn rows are not stored: every level draws them again and
+leads them down the splits so far, which are sent to the tasks. A smaller node is handed
 to one task, which finishes its subtree, down to nodes of one label or of equal rows, with
 splits between any two values. So depth has no limit, and no task holds more rows than that.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import chain
+
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
@@ -19,6 +23,9 @@ from playcohort.session import staged
 
 GROUP_ROWS = 32_768
 BINS = 64
+#: Drawn rows that are counted together, and counts that a task holds.
+COUNT_ROWS = 200_000
+COUNT_CELLS = 4_000_000
 #: Cumulative shares of a Poisson distribution of mean 1: rows drawn 0, 1, 2, ... times.
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(12)])
 
@@ -74,27 +81,110 @@ def _features_of(tree: int, node: int, width: int, tried: int, seed: int) -> np.
     return np.random.default_rng([seed, tree, node & ((1 << 63) - 1)]).permutation(width)[:tried]
 
 
+def _binned(rows: DataFrame, edges: list[list[float]]) -> DataFrame:
+    """``rows`` (id, x, label) with ``bins``, a byte for each feature: the edges below its value."""
+
+    def place(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["x"].to_numpy())
+            at = [np.searchsorted(e, x[:, f], side="left").astype(np.uint8) for f, e in enumerate(edges)]
+            yield pdf.assign(bins=[row.tobytes() for row in np.stack(at, axis=1)])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInPandas(place, f"{kind}, bins binary")
+
+
+def _led_down(drawn: DataFrame, splits: list[DataFrame]) -> DataFrame:
+    """``drawn`` with the node that each row has come to. Rows of a node that could not be split are
+    left out; a node that was not to be split keeps its rows."""
+    level = drawn
+    for found in splits:
+        # One row per node of more than ``group_rows`` rows.
+        known = F.broadcast(found.select("tree", "node", "feature", "at", F.lit(True).alias("split")))
+        side = F.when(F.get("x", F.col("feature")) <= F.col("at"), 0).otherwise(1)
+        level = (
+            level.join(known, ["tree", "node"], "left")
+            .where(F.col("split").isNull() | F.col("feature").isNotNull())
+            .withColumn("node", F.when(F.col("split").isNull(), F.col("node")).otherwise(F.xxhash64("node", side)))
+            .drop("feature", "at", "split")
+        )
+    return level
+
+
 def _split_level(big: DataFrame, edges: list[list[float]], tried: int, seed: int) -> DataFrame:
     """(tree, node, feature, at, decrease, root): the best split of each node between bins, at the
     upper edge ``at`` of a bin; ``feature`` null where no bins differ."""
     width = len(edges)
+    # Twice as many as a node in a task tries: bins may all be the same.
+    some = min(width, 2 * tried)
 
     def bins(batches):
         import pandas as pd
 
-        for pdf in batches:
-            parts = []
-            for (tree, node), rows in pdf.groupby(["tree", "node"], sort=False):
-                x = np.stack(rows["x"].to_numpy())
-                # Twice as many as a node in a task tries: bins may all be the same.
-                for f in _features_of(tree, node, width, 2 * tried, seed):
-                    at = np.searchsorted(edges[f], x[:, f], side="left")
-                    found = pd.DataFrame({"bin": at, "label": rows["label"].to_numpy(), "n": rows["weight"].to_numpy()})
-                    parts.append(found.groupby(["bin", "label"], as_index=False)["n"].sum().assign(tree=tree, node=node, feature=f))
-            if parts:
-                yield pd.concat(parts)[["tree", "node", "feature", "bin", "label", "n"]]
-
-    counts = big.mapInPandas(bins, "tree int, node bigint, feature int, bin int, label int, n double")
+        nodes: dict[tuple[int, int], int] = {}
+        labels: dict[int, int] = {}
+        features: list[np.ndarray] = []
+
+        def counted(frames):
+            """(cell, drawn rows): a cell is a node, one of its features, a bin and a label."""
+            pdf = pd.concat(frames)
+            codes, keys = pd.MultiIndex.from_frame(pdf[["tree", "node"]]).factorize()
+            for key in keys:
+                if key not in nodes:
+                    nodes[key] = len(nodes)
+                    features.append(_features_of(int(key[0]), int(key[1]), width, 2 * tried, seed))
+            of, names = pd.factorize(pdf["label"])
+            for name in names:
+                labels.setdefault(int(name), len(labels))
+            chosen = np.stack([features[nodes[key]] for key in keys])
+            binned = np.frombuffer(b"".join(pdf["bins"]), dtype=np.uint8).reshape(len(pdf), width)
+            at = np.take_along_axis(binned, chosen[codes], axis=1).astype(np.int64)
+            cell = ((codes[:, None] * some + np.arange(some)) * (BINS + 1) + at) * len(names) + of[:, None]
+            n = np.bincount(cell.ravel(), np.repeat(pdf["weight"].to_numpy(), some))
+            used = np.flatnonzero(n)
+            rest, label = np.divmod(used, len(names))
+            node, rest = np.divmod(rest, some * (BINS + 1))
+            number = np.array([nodes[key] for key in keys])[node]
+            label = np.array([labels[int(name)] for name in names])[label]
+            return (number * (some * (BINS + 1)) + rest << 20) + label, n[used]
+
+        def table(cell, n):
+            order = {code: name for name, code in labels.items()}
+            named = np.array([order[k] for k in range(len(order))], dtype=np.int64)
+            at = list(nodes)
+            rest, label = cell >> 20, cell & ((1 << 20) - 1)
+            node, rest = np.divmod(rest, some * (BINS + 1))
+            feature, place = np.divmod(rest, BINS + 1)
+            return pd.DataFrame(
+                {
+                    "tree": np.array([t for t, _ in at])[node], "node": np.array([v for _, v in at], dtype=np.int64)[node],
+                    "feature": np.stack(features)[node, feature], "bin": place, "label": named[label], "n": n,
+                }
+            )
+
+        # Rows are counted many at a time, and cells added up before they are handed on.
+        waiting, rows, cells, held = [], 0, [], 0
+        for pdf in chain(batches, [None]):
+            if pdf is not None and len(pdf):
+                waiting.append(pdf)
+                rows += len(pdf)
+            if rows >= COUNT_ROWS or (pdf is None and waiting):
+                cells.append(counted(waiting))
+                held += len(cells[-1][0])
+                waiting, rows = [], 0
+            if held >= COUNT_CELLS or (pdf is None and cells):
+                cell, at = np.unique(np.concatenate([c for c, _ in cells]), return_inverse=True)
+                n = np.bincount(at.ravel(), np.concatenate([n for _, n in cells]))
+                cells, held = [(cell, n)], len(cell)
+                if pdf is None or held > COUNT_CELLS // 2:
+                    yield table(cell, n)
+                    cells, held = [], 0
+
+    counts = big.select("tree", "node", "bins", "label", "weight").mapInPandas(
+        bins, "tree int, node bigint, feature int, bin int, label int, n double"
+    )
     counts = counts.groupBy("tree", "node", "feature", "bin", "label").agg(F.sum("n").alias("n"))
 
     def best(pdf):
@@ -128,38 +218,30 @@ def grow_forest(
     leaves keep because their rows are equal."""
     tried = max(1, int(width**0.5))
     u = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    times = F.aggregate(
-        F.array(*[F.lit(float(p)) for p in _POISSON]), F.lit(0.0), lambda n, p: n + F.when(u >= p, 1.0).otherwise(0.0)
-    )
-    drawn = (
-        rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-        .withColumn("weight", times)
-        .where(F.col("weight") > 0)
-        .select("tree", F.lit(0).cast("bigint").alias("node"), "weight", "x", "label")
-    )
-    parts, splits, level = [], [], drawn
+    times = reduce(lambda n, p: n + F.when(F.col("u") >= float(p), 1.0).otherwise(0.0), _POISSON, F.lit(0.0))
+
+    def draw(some: DataFrame) -> DataFrame:
+        trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
+        weighed = some.withColumn("tree", trees).withColumn("u", u).withColumn("weight", times)
+        return weighed.where(F.col("weight") > 0).drop("id", "u").withColumn("node", F.lit(0).cast("bigint"))
+
+    splits: list[DataFrame] = []
     # A tree draws about 0.63 of the rows; leave room for chance.
-    may_be_big = 0.7 * rows.count() + 100 > group_rows
-    edges: list[list[float]] = []
-    if may_be_big:
-        level = staged(level)
+    if 0.7 * rows.count() + 100 > group_rows:
         spread = rows.select(*[F.col("x")[k].alias(f"f{k}") for k in range(width)])
         cuts = spread.approxQuantile(spread.columns, [k / BINS for k in range(1, BINS)], 0.002)
         edges = [sorted(set(c)) for c in cuts]
-    while may_be_big:
-        sizes = level.groupBy("tree", "node").agg(F.count("*").alias("n"))
-        large = staged(sizes.where(F.col("n") > group_rows).select("tree", "node"))
-        if large.isEmpty():
-            break
-        found = staged(_split_level(level.join(large, ["tree", "node"], "left_semi"), edges, tried, seed))
-        splits.append(found)
-        small = level.join(large, ["tree", "node"], "left_anti")
-        parts.append(small)
-        down = level.join(found.where("feature IS NOT NULL").select("tree", "node", "feature", "at"), ["tree", "node"])
-        side = F.when(F.get("x", F.col("feature")) <= F.col("at"), 0).otherwise(1)
-        # A node that bins cannot split is finished like a leaf below; it keeps its impurity.
-        level = staged(down.withColumn("node", F.xxhash64("node", side)).drop("feature", "at"))
-    parts.append(level)
+        binned = staged(_binned(rows.select("id", "x", "label"), edges))
+        while True:
+            level = _led_down(draw(binned), splits)
+            sizes = level.groupBy("tree", "node").agg(F.count("*").alias("n"))
+            large = staged(sizes.where(F.col("n") > group_rows).select("tree", "node"))
+            if large.isEmpty():
+                break
+            big = level.join(F.broadcast(large), ["tree", "node"], "left_semi")
+            splits.append(staged(_split_level(big, edges, tried, seed)))
+    # A node that bins cannot split keeps its impurity; the others are finished.
+    whole = _led_down(draw(rows), splits)
 
     def finish(pdf):
         import pandas as pd
@@ -176,9 +258,6 @@ def grow_forest(
             {"tree": [tree], "root": [root if node == 0 else 0.0], "decreases": [decrease], "left_over": [left_over]}
         )
 
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
     done = whole.groupBy("tree", "node").applyInPandas(
         finish, "tree int, root double, decreases array<double>, left_over double"
     )
