@@ -315,6 +315,8 @@ def gender_by_cluster(labelled: DataFrame) -> DataFrame:
 
 def median_age_by_cluster(labelled: DataFrame) -> DataFrame:
     """(cluster_name, median_age); null where no age is known."""
+    # Read four times; the names come from the whole matrix.
+    labelled = staged(labelled.select("cluster_name", "age"))
     few = few_groups(labelled, ["cluster_name"])
     medians = exact_quantiles(labelled, ["cluster_name"], "age", {"median_age": 0.5}, few)
     return labelled.select("cluster_name").distinct().join(medians, "cluster_name", "left")
