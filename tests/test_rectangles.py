@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playcohort.operators import importance, quality
+from playcohort.operators import importance, profiles, quality
 from playcohort.operators.pairwise import distance_tiles, rectangle_counts
 
 
@@ -74,3 +74,22 @@ def test_drawn_rows_of_a_forest_are_not_stored(spark, monkeypatch):
     assert len(trees) == 4 and not [c for c in kept if {"tree", "x"} <= c]
     whole = importance.grow_forest(rows, 2, 4, 1).collect()
     assert {r["tree"]: r["root"] for r in trees} == pytest.approx({r["tree"]: r["root"] for r in whole})
+
+
+def test_shuffles_are_put_together_by_size(spark):
+    """More parts than a fixed number gives, so that a task's share does not follow the table."""
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) > 200
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
+def test_ages_are_kept_once_for_all_reads(spark, monkeypatch):
+    kept = []
+
+    def staged(df):
+        kept.append(df.columns)
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(profiles, "staged", staged)
+    rows = spark.createDataFrame([("u1", "a", 1.0), ("u2", "a", 4.0), ("u3", "b", None)], "userid string, cluster_name string, age double")
+    got = {r["cluster_name"]: r["median_age"] for r in profiles.median_age_by_cluster(rows).collect()}
+    assert got == {"a": 2.5, "b": None} and kept == [["cluster_name", "age"]]
