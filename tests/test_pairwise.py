@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playcohort.operators.density import dense_points, neighbour_distances
-from playcohort.operators.pairwise import meeting_blocks, near_strips, nearest, pivot_blocks, point_arrays
+from playcohort.operators.pairwise import meeting_blocks, near_strips, nearest, nearest_within, pivot_blocks, point_arrays
 
 
 def far_groups(spark, shift=0.0):
@@ -67,3 +67,15 @@ def test_kernels_against_plain_distances():
     flags = np.concatenate([near for _, near in near_strips(a, b, eps)])
     direct = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)) <= eps
     assert (flags == direct).all()
+
+
+def test_candidates_beyond_the_bound_of_a_point_are_not_passed_on():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(40, 4)) + 100, rng.normal(size=(70, 4)) + 100
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    bound = np.sort(d, axis=1)[:, 2]
+    bound[::5], bound[1::5] = np.inf, 0.0
+    rows, found = nearest_within(a, b, 6, bound)
+    for k in range(len(a)):
+        want = np.sort(d[k])[:6]
+        assert np.allclose(sorted(found[rows == k]), want[want <= bound[k]], rtol=1e-14, atol=0)
