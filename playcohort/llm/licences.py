@@ -6,11 +6,15 @@ family (``licence_texts``: names and identifiers in frames, sentences of the lic
 family with the same weight, on wordings that deny a licence (a class ``negated``) and, for
 the class ``unknown``, on paragraphs of the corpus and on sentences that use the same words
 otherwise. The vocabulary is that of the wordings without n-grams of common words only (words
-in over ``common`` of the sampled corpus paragraphs that share no bigram with a wording), so an
+in over ``common`` of the corpus paragraphs that share no bigram with a wording), so an
 n-gram that can move a score has a rare word, and a paragraph without any rare word has at most
 the mark of a denial: unknown. That makes looking only at paragraphs with a rare word exact.
 
-``unknown`` is calibrated on corpus paragraphs kept from fitting: a family must reach a
+Words are counted, ``unknown`` is learned and the least probability is taken on all paragraphs of
+the corpus. Those with the same n-grams of the wordings are one row with their number; all
+together they weigh at most ``corpus_weight``, so a large corpus does not drown the wordings.
+
+``unknown`` is calibrated on the half of the corpus paragraphs kept from fitting: a family must reach a
 probability that at most ``alpha`` of them reach (and one half). A prediction counts if it is
 confirmed by a template: ``confirm`` of the bigrams of a sentence, name or identifier of the
 family must be in the paragraph. A paragraph that is only a name is a mention, not a notice.
@@ -23,8 +27,8 @@ best, and a line inside it with the name of its family belongs to it, so copies
 other without a blank line may count as one. Only documents that hold ``confirm`` of the bigrams
 of some sentence are looked at again, which leaves out none.
 
-Only DataFrame expressions and MLlib. Texts are read once to find paragraphs with rare words;
-only those move. The fit uses at most ``sample_docs`` documents' paragraphs.
+Only DataFrame expressions and MLlib. Texts are read once to count the n-grams of the wordings and
+once to find paragraphs with rare words; only n-grams and those paragraphs move.
 
 Null and empty texts have no paragraphs. Repeated rows give equal rows. With an empty table
 the result is empty. Only the named columns are read.
@@ -50,6 +54,9 @@ NEGATED = "negated"
 #: Stands among the n-grams of a paragraph that denies a licence; no word has this form.
 DENIAL = "<denied>"
 
+#: What all corpus paragraphs of the fit weigh together, at most; one weighs 1 in a smaller corpus.
+CORPUS_WEIGHT = 2_000.0
+
 # The same words without a licence.
 OTHER_USES = [
     "A driving license is required for this position.",
@@ -87,17 +94,19 @@ def ngrams(tokens: Column) -> Column:
     return F.array_distinct(F.concat(tokens, bigrams(tokens)))
 
 
-def marked(tokens: Column) -> Column:
-    """The n-grams that are classified.
-
-    Those of the words, the stems of taught identifiers (``gpl*`` of GPL-3.0-or-later and
-    GPLv3) and a mark where a licence is denied.
-    """
+def marks(tokens: Column) -> Column:
+    """The stems of taught identifiers (``gpl*`` of GPL-3.0-or-later and GPLv3) and a mark where
+    a licence is denied."""
     denied = F.concat_ws(" ", tokens).rlike(licence_texts.NEGATION)
     mark = F.when(denied, F.array(F.lit(DENIAL))).otherwise(F.array().cast("array<string>"))
     named = F.filter(tokens, lambda w: w.isin(licence_texts.identifying()))
     stems = F.transform(named, lambda w: F.concat(F.regexp_replace(w, "-?v?[0-9].*$", ""), F.lit("*")))
-    return F.array_distinct(F.concat(ngrams(tokens), stems, mark))
+    return F.concat(stems, mark)
+
+
+def marked(tokens: Column) -> Column:
+    """The n-grams that are classified: those of the words, and the marks."""
+    return F.array_distinct(F.concat(ngrams(tokens), marks(tokens)))
 
 
 def constant_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -132,8 +141,11 @@ class Classifier:
 
     def predict(self, paragraphs: DataFrame) -> DataFrame:
         """``paragraphs`` (with ``tokens``) with ``family`` (maybe unknown) and ``probability``."""
-        counted = self.vectors.transform(paragraphs.withColumn("_grams", marked(F.col("tokens"))))
-        scored = self.regression.transform(counted)
+        return self.classify(paragraphs.withColumn("_grams", marked(F.col("tokens"))))
+
+    def classify(self, counted: DataFrame) -> DataFrame:
+        """The same for rows with their ``_grams``."""
+        scored = self.regression.transform(self.vectors.transform(counted))
         chance = vector_to_array("_probability")
         known = F.slice(chance, 1, len(self.families))
         names = F.array(*[F.lit(f) for f in self.families])
@@ -144,21 +156,42 @@ class Classifier:
         )
 
 
-def corpus_paragraphs(docs: DataFrame, text_col: str, sample_docs: int, seed: int) -> DataFrame:
-    """Paragraph words of a bounded sample of documents, drawn by a hash of the text."""
+def corpus_grams(docs: DataFrame, text_col: str, listed: list[str], seed: int) -> DataFrame:
+    """All paragraphs with a word, as the ``grams`` of them that are ``listed`` (sorted), whether
+    their text is ``held`` from fitting (by a hash of it), and how many there are."""
     text = text_of(text_col)
-    drawn = docs.select(text.alias("text"), F.xxhash64(F.lit(seed), text).alias("draw"))
-    # The texts follow only for the chosen ones.
-    chosen = drawn.select("draw").orderBy("draw").limit(sample_docs).agg(F.max("draw").alias("last"))
-    rows = drawn.join(F.broadcast(chosen), F.col("draw") <= F.col("last"))
-    lines = rows.dropDuplicates(["draw"]).select("draw", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("draw", words(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    held = F.pmod(F.xxhash64(F.lit(seed), text), F.lit(2)) == 0
+    # Inside of the explode the words are worked out once, and not again for the filter.
+    lines = docs.select(held.alias("held"), F.explode(F.transform(F.split(text, "\n"), words)).alias("tokens"))
+    rows = lines.where(F.size("tokens") > 0)
+    single, pairs = [g for g in listed if " " not in g], [g for g in listed if " " in g]
+    # Without a listed word there is no listed n-gram: a denial, a stem and a pair all have one.
+    own = F.filter("tokens", lambda w: w.isin(single))
+    none = F.array().cast("array<string>")
+    of_pairs = F.when(F.size(own) > 1, F.filter(bigrams(F.col("tokens")), lambda g: g.isin(pairs))).otherwise(none)
+    of_marks = F.filter(marks(F.col("tokens")), lambda g: g.isin(single))
+    grams = F.when(F.size(own) > 0, F.sort_array(F.array_distinct(F.concat(own, of_pairs, of_marks)))).otherwise(none)
+    return rows.select("held", grams.alias("grams")).groupBy("held", "grams").agg(F.count(F.lit(1)).alias("n"))
+
+
+def least_probability(scored: DataFrame, alpha: float) -> float:
+    """The probability that more than ``alpha`` of the paragraphs (``probability``, ``n``) do not exceed,
+    or one half if that is larger. Counted in 50,000 steps, the largest value of the step is taken."""
+    total = scored.agg(F.sum("n")).first()[0] or 0
+    high = scored.where(F.col("probability") > 0.5).groupBy(F.floor(F.col("probability") * 100_000).alias("step"))
+    steps = high.agg(F.sum("n").alias("n"), F.max("probability").alias("p")).orderBy(F.desc("step")).collect()
+    above = 0
+    for r in steps:
+        above += r["n"]
+        if above > alpha * total:
+            return float(r["p"])
+    return 0.5
 
 
 def train(
     docs: DataFrame,
     text_col: str = "text",
-    sample_docs: int = 400,
+    corpus_weight: float = CORPUS_WEIGHT,
     common: float = 0.01,
     alpha: float = 0.001,
     penalty: float = 1e-4,
@@ -175,57 +208,48 @@ def train(
         .unionByName(constant_rows(spark, [(NEGATED, text) for family in families for text in licence_texts.negated(family)]))
     )
     other = constant_rows(spark, [(UNKNOWN, text) for text in OTHER_USES])
-    sample = staged(corpus_paragraphs(docs, text_col, sample_docs, seed))
-    # Words of the notices that the corpus rarely uses; both lists have a bound. The corpus has
-    # licence notices of its own, as many as it likes, so lines with a bigram of one are left out.
-    of_notices = taught.select(F.explode("tokens").alias("word")).distinct()
-    every = taught.select(F.explode(bigrams(F.col("tokens"))).alias("gram")).distinct()
-    every = F.array(*[F.lit(r["gram"]) for r in every.collect()])
-    plain = sample.where(~F.arrays_overlap(bigrams(F.col("tokens")), every))
-    size = max(1, plain.count())
-    frequent = (
-        plain.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").count()
-        .where(F.col("count") > common * size).select("word")
-    )
-    rare = sorted(r["word"] for r in of_notices.join(frequent, "word", "left_anti").collect())
-    rare_words = F.array(*[F.lit(w) for w in rare]) if rare else F.array().cast("array<string>")
-    grams = taught.select(F.explode(marked(F.col("tokens"))).alias("gram")).distinct()
+    # The n-grams of the wordings; the list has a bound.
+    grams = sorted(r["gram"] for r in taught.select(F.explode(marked(F.col("tokens"))).alias("gram")).distinct().collect())
     # Marks are of rare words or count for nothing alone.
-    made = F.col("gram").endswith("*") | (F.col("gram") == DENIAL)
-    rare += [r["gram"] for r in grams.where(made).collect()]
-    vocabulary = sorted(
-        r["gram"] for r in grams.where(made | F.arrays_overlap(F.split("gram", " "), rare_words)).collect()
-    )
+    made = {g for g in grams if g.endswith("*") or g == DENIAL}
+    pairs = [g for g in grams if " " in g]
+    corpus = staged(corpus_grams(docs, text_col, grams, seed))
+    # Words of the notices that the corpus rarely uses. The corpus has licence notices of its own,
+    # as many as it likes, so lines with a bigram of one are left out.
+    plain = corpus.where(~F.exists("grams", lambda g: g.isin(pairs)))
+    size = max(1, plain.agg(F.sum("n")).first()[0] or 0)
+    used = plain.select(F.explode("grams").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    frequent = {r["word"] for r in used.where(F.col("n") > common * size).collect()}
+    rare = [g for g in grams if g not in made and " " not in g and g not in frequent]
+    known = set(rare)
+    vocabulary = [g for g in grams if g in made or not known.isdisjoint(g.split(" "))]
+    rare += sorted(made)
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_counts")
     vectors.setBinary(True)
     # Corpus paragraphs with a whole bigram of a notice may be notices and are not used as unknown.
-    pairs = taught.select(F.explode(bigrams(F.col("tokens"))).alias("gram")).distinct()
-    pairs = pairs.where(F.arrays_overlap(F.split("gram", " "), rare_words))
-    listed = [r["gram"] for r in pairs.collect()]
-    clean = sample.where(~F.arrays_overlap(bigrams(F.col("tokens")), F.array(*[F.lit(g) for g in listed]))) if listed else sample
-    held = F.pmod("draw", F.lit(2)) == 0
+    whole_pairs = [g for g in vocabulary if " " in g]
+    clean = corpus.where(~F.exists("grams", lambda g: g.isin(whole_pairs))) if whole_pairs else corpus
+    in_fit = F.filter("grams", lambda g: g.isin(vocabulary))
+    clean = staged(clean.groupBy("held", in_fit.alias("_grams")).agg(F.sum("n").alias("n")))
     names = F.array(*[F.lit(f) for f in [*families, NEGATED, UNKNOWN]])
-    rows = taught.unionByName(other).unionByName(clean.where(~held).select(F.lit(UNKNOWN).alias("family"), "tokens"))
     # A family weighs the same however many wordings it has.
     number = {r["family"]: r["count"] for r in taught.groupBy("family").count().collect()}
     weight = F.lit(1.0)
     for family, count in number.items():
         weight = F.when(F.col("family") == family, F.lit(family_weight / count)).otherwise(weight)
-    ready = staged(
-        rows.select(
-            marked(F.col("tokens")).alias("_grams"),
-            (F.array_position(names, F.col("family")) - 1).cast("double").alias("label"),
-            weight.alias("weight"),
-        ).coalesce(2)
-    )
+    fitted = clean.where(~F.col("held"))
+    share = min(1.0, corpus_weight / max(1, fitted.agg(F.sum("n")).first()[0] or 0))
+    rows = taught.unionByName(other).select("family", marked(F.col("tokens")).alias("_grams"), weight.alias("weight"))
+    rows = rows.unionByName(fitted.select(F.lit(UNKNOWN).alias("family"), "_grams", (share * F.col("n")).alias("weight")))
+    label = (F.array_position(names, F.col("family")) - 1).cast("double")
+    ready = staged(rows.select("_grams", label.alias("label"), "weight"))
     regression = LogisticRegression(
         featuresCol="_counts", labelCol="label", weightCol="weight", probabilityCol="_probability",
         rawPredictionCol="_raw", predictionCol="_predicted", family="multinomial", elasticNetParam=1.0,
         regParam=penalty, standardization=False, maxIter=50,
     ).fit(vectors.transform(ready))
     model = Classifier(rare, vectors, regression, families, 0.5)
-    reached = model.predict(clean.where(held)).agg(F.percentile_approx("probability", 1 - alpha, 100_000).alias("p"))
-    model.least = max(0.5, float(reached.first()["p"] or 0.0))
+    model.least = least_probability(model.classify(clean.where("held")), alpha)
     return model
 
 

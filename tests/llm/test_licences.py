@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from playcohort.llm import licences
 from playcohort.llm.queries import op4_licence_scan
@@ -144,3 +145,31 @@ def test_words_keep_versions_and_drop_outer_marks(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = {r.i: r.w for r in rows.select("i", licences.words(rows.text).alias("w")).collect()}
     assert got == {0: ["a.b", "c", "d", "e", "v2.0", "gpl-3.0"], 1: ["x"], 2: [texts[2]], 3: [], 4: ["f"]}
+
+
+def test_words_are_counted_and_the_model_is_fitted_on_all_documents(spark, monkeypatch):
+    # A word of the wordings that is common in the corpus, but in none of the 400 documents
+    # that an earlier sample would have drawn.
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('Paragraph number ', id, ' of a story.') AS text")
+    drawn = docs.orderBy(F.xxhash64(F.lit(0), F.col("text"))).limit(400).select("doc_id")
+    rest = docs.join(drawn, "doc_id", "left_anti").selectExpr("doc_id", "concat(text, ' A warranty was given.') AS text")
+    every = docs.join(drawn, "doc_id", "left_semi").union(rest)
+    fitted = []
+    fit = licences.LogisticRegression.fit
+
+    def watched(self, data):
+        fitted.append(data.groupBy("label").agg(F.sum("weight").alias("w")).orderBy(F.desc("label")).first()["w"])
+        return fit(self, data)
+
+    monkeypatch.setattr(licences.LogisticRegression, "fit", watched)
+    model = licences.train(every)
+    assert "warranty" not in model.rare
+    held = every.where(F.pmod(F.xxhash64(F.lit(0), F.col("text")), F.lit(2)) == 0).count()
+    # Unknown is the last class: fixed sentences and corpus paragraphs, of which those with a pair of rare words are left out.
+    assert fitted == [len(licences.OTHER_USES) + min(3000 - held, licences.CORPUS_WEIGHT)]
+
+
+def test_least_probability_counts_paragraphs_and_not_rows(spark):
+    scored = spark.createDataFrame([(0.9, 1), (0.8, 2), (0.7, 4), (0.1, 9993)], "probability double, n bigint")
+    assert [licences.least_probability(scored, a) for a in (0.0, 0.00025, 0.00035, 0.001)] == [0.9, 0.8, 0.7, 0.5]
+    assert licences.least_probability(scored.limit(0), 0.001) == 0.5
