@@ -93,3 +93,21 @@ def test_ages_are_kept_once_for_all_reads(spark, monkeypatch):
     rows = spark.createDataFrame([("u1", "a", 1.0), ("u2", "a", 4.0), ("u3", "b", None)], "userid string, cluster_name string, age double")
     got = {r["cluster_name"]: r["median_age"] for r in profiles.median_age_by_cluster(rows).collect()}
     assert got == {"a": 2.5, "b": None} and kept == [["cluster_name", "age"]]
+
+
+def test_distance_tiles_hold_no_copy_of_all_columns():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(300, 40)), rng.normal(size=(40_000, 40))
+    tracemalloc.start()
+    for rows, columns, found in distance_tiles(a, b):
+        if columns.start == 8192 and rows.start == 0:
+            want = np.sqrt(((a[rows][:3, None] - b[columns][None]) ** 2).sum(axis=2))
+            assert np.allclose(found[:3], want, rtol=1e-9, atol=1e-9)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # A strip of distances and some copies of a tile; two moved copies of all columns were 26 MB.
+    assert peak < 2.0 * b.nbytes
