@@ -223,3 +223,19 @@ def test_scratch_tables_can_be_released(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "run").iterdir())
     session.release(spark)
     assert not (tmp_path / "run").exists()
+
+
+def test_covariances_of_axes_form_no_pairs_of_rows_and_count_repeated_users(spark):
+    from pyspark.sql import functions as F
+
+    from checks import queries
+
+    users = "if(id % 11 = 0, null, concat('u', if(id % 7 = 0, id % 3, id)))"
+    rows = spark.range(200).selectExpr(f"{users} AS userid", "array(sin(id), cos(id * 2), sin(id * id)) AS features")
+    long = rows.select("userid", F.posexplode("features").alias("axis", "score"))
+    one, two = long.alias("one"), long.alias("two")
+    want = one.join(two, "userid").where("one.axis < two.axis").groupBy("one.axis", "two.axis")
+    want = {(r[0], r[1]): r[2] for r in want.agg(F.covar_samp("one.score", "two.score")).collect()}
+    found = queries.axis_covariances(rows)
+    got = {(r.one, r.two): r.c for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
