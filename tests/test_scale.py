@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playcohort.operators import density, diversity, engagement, quality, sessions, topk
+from playcohort.operators import density, diversity, engagement, quality, rollups, sessions, topk
 from playcohort.session import scratch_dir
 from playcohort.sources import ingest
 
@@ -239,3 +239,40 @@ def test_covariances_of_axes_form_no_pairs_of_rows_and_count_repeated_users(spar
     found = queries.axis_covariances(rows)
     got = {(r.one, r.two): r.c for r in found.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_artists_and_tracks_come_from_one_shuffle_by_user(heavy):
+    """No roll-up of tracks or artists is shuffled by its own keys, and a key for a lookup travels once."""
+    plan = final_plan(engagement.engagement_features(heavy))
+    assert "Exchange hashpartitioning(userid" in plan
+    assert not re.search(r"Exchange hashpartitioning\([^)]*(artist|track)_name", plan)
+    lookup = heavy.groupBy(F.concat("artist_name", F.lit("x")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    joined = diversity.lookup_join(heavy.select("userid", "artist_name"), F.col("artist_name"), lookup, "name")
+    assert not re.search(r"AS _key#", final_plan(joined))
+
+
+def test_stored_tracks_and_artists_of_a_split_user(spark, heavy):
+    """The heavy user's rows are split by the join and put together again; rows of several batches,
+    of users without a clock and without names are as in the plain roll-ups."""
+    small = {"skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "1.1", "advisoryPartitionSizeInBytes": "8k"}
+    kept = {k: spark.conf.get(f"spark.sql.adaptive.{k}") for k in small}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        plays = heavy.unionByName(heavy.limit(3).withColumns({"userid": F.lit(None).cast("string")}))
+        plays = plays.unionByName(heavy.limit(2).withColumns({"userid": F.lit("v"), "timestamp": F.lit(None).cast("timestamp")}))
+        clock = engagement.staged(sessions.listening_clock(plays))
+        batches = [rollups.track_rollup(plays.where(F.col("timestamp") < "2021-06-01")), rollups.plain_tracks(plays.where(F.col("timestamp") >= "2021-06-01"))]
+        joined = rollups.tracks_by_user(batches[0].unionByName(batches[1]), clock)
+        joined.collect()
+        assert "skew=true" in final_plan(joined)
+        stored = engagement.staged(rollups.with_artists(joined))
+        known = rollups.track_rollup(plays.where("userid <> 'v'"))
+        tracks = stored.select(known.columns)
+        assert tracks.exceptAll(known).count() == 0 and tracks.count() == known.count()
+        artists, want = rollups.dated_artists(stored), rollups.artists_from_tracks(known)
+        assert artists.select(want.columns).exceptAll(want).count() == 0 and artists.count() == want.count()
+        assert artists.join(clock, "userid").where("NOT now_us <=> last_us").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
