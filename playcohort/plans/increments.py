@@ -27,22 +27,23 @@ def add_batch(path: str, batch: str, new_plays: DataFrame, gap_minutes: float =
     slots, tracks = _folders(path, gap_minutes)
     named = F.lit(batch).alias("batch")
     for rows, folder in ((track_rollup(new_plays), tracks), (slot_rollup(new_plays, gap_minutes), slots)):
-        writer = rows.select("*", named).write.mode("overwrite").partitionBy("batch")
+        writer = rows.select("*", named).write.mode("overwrite").option("compression", "zstd").partitionBy("batch")
         writer.option("partitionOverwriteMode", "dynamic").parquet(folder)
 
 
 def merged_rollups(
-    spark: SparkSession, path: str, gap_minutes: float = 30
+    spark: SparkSession, path: str, gap_minutes: float = 30, whole_tracks: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """The slot and the track roll-up of all batches, as ``build_feature_matrix`` takes them."""
+    """The slot and the track roll-up of all batches, as ``build_feature_matrix`` takes them. It adds
+    tracks up by user itself, so without ``whole_tracks`` they keep a row per batch."""
     slots, tracks = _folders(path, gap_minutes)
     counted = [F.sum("plays").alias("plays")]
     first = F.min("first_us").alias("first_us")
+    kept = spark.read.schema(f"{TRACKS}, batch string").parquet(tracks)
     return (
         spark.read.schema(f"{SLOTS}, batch string").parquet(slots).groupBy(*SLOT_KEYS)
         .agg(*counted, F.sum("tracks").alias("tracks"), first, F.max("last_us").alias("last_us")),
-        spark.read.schema(f"{TRACKS}, batch string").parquet(tracks).groupBy(*TRACK_KEYS)
-        .agg(*counted, first),
+        kept.groupBy(*TRACK_KEYS).agg(*counted, first) if whole_tracks else kept.drop("batch"),
     )
 
 

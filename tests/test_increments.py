@@ -48,3 +48,21 @@ def test_repeated_batch_nulls_and_compaction(spark, plays, tmp_path):
         assert rows(slots) == rows(want.select(slots.columns)) and slots.count() == 1
         want = track_rollup(whole)
         assert rows(tracks) == rows(want.select(tracks.columns)) and tracks.count() == 3
+
+
+def test_tracks_kept_by_batch_give_the_same_matrix(spark, tmp_path):
+    plays, path = m.plays_l(spark, SF), str(tmp_path / "rollups")
+    half = F.pmod(F.xxhash64("track_name"), F.lit(2))
+    for name, part in (("a", plays.where(half == 0)), ("b", plays.where(half == 1)), ("c", plays.where(half == 1))):
+        add_batch(path, name, part)
+    whole, kept = merged_rollups(spark, path), merged_rollups(spark, path, whole_tracks=False)
+    plan = kept[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and kept[1].count() > whole[1].count()
+    given = m.artist_genres(spark, SF), m.audio_features(spark, SF)
+    one, two = (
+        {r.userid: r for r in build_feature_matrix(plays, *given, rollups=r, with_stability=False).collect()} for r in (whole, kept)
+    )
+    assert one.keys() == two.keys() and len(one) > 5
+    for user, row in one.items():
+        for x, y in zip(row, two[user]):
+            assert x == y or (isinstance(x, float) and abs(x - y) <= 1e-9 * max(1, abs(y)))
