@@ -322,3 +322,10 @@ def test_density_labels_on_blocks_smaller_than_the_table(spark):
     split = {r[0]: r[1] for r in density_cluster(pts, 0.1, 5, 3, block_rows=7).collect()}
     assert whole == split and whole[99] == -1
     assert [whole[i] for i in (0, 20, 40)] == [0, 1, 2]
+
+
+def test_blocks_of_the_outer_join_read_joined_plays_once_stored(spark, sf):
+    from checks.queries import QUERIES
+
+    plan = QUERIES["feature_block_outer_join"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "l_partkey" in plan and "l_orderkey" not in plan
