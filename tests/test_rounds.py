@@ -26,7 +26,7 @@ def test_rows_are_added_up_at_their_first_nearest_centre(offset):
 
 def test_rounds_read_blocks_of_vectors(spark):
     rows = spark.range(0, 9000, 1, 3).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
-    blocks = [np.frombuffer(r["x"]).reshape(-1, 2) for r in cluster.packed(rows).collect()]
+    blocks = [np.frombuffer(r["x"]).reshape(-1, 2) for r in cluster.packed(rows, 18_000).collect()]
     assert len(blocks) <= 6 and max(map(len, blocks)) <= cluster.PACKED_ROWS
     assert sorted(np.concatenate(blocks)[:, 0]) == list(range(9000))
     models = {0: cluster.Model(np.array([[0.0, 1.0], [9000.0, 1.0]]))}
@@ -39,10 +39,9 @@ def test_two_blocks_meet_once_unless_points_have_many_sums(spark):
     assert cell_shape(720_000, 114, 500)[1] is not None
 
     def kernel(rows, columns, own, other):
-        import pyarrow as pa
+        import pandas as pd
 
-        n = len(rows) * len(columns)
-        return pa.table({"i": pa.array([other[1]], pa.int32()), "j": pa.array([other[0]], pa.int32()), "n": [n]})
+        return pd.DataFrame({"i": [other[1]], "j": [other[0]], "n": [len(rows) * len(columns)]})
 
     points = spark.range(300).select("id", F.array(F.col("id").cast("double")).alias("x"))
     met = over_rectangles(points, 5, None, kernel, "i int, j int, n bigint").collect()
