@@ -114,9 +114,8 @@ def _blocks(rows: DataFrame, edges: list[list[float]], n_trees: int, seed: int)
     def block(table):
         import pyarrow as pa
 
-        flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat("x").astype(float, copy=False).reshape(len(table), -1)
-        u = flat("tickets").reshape(len(table), n_trees) / float(1 << 40)
+        x = np.stack(table.column("x").to_numpy()).astype(float, copy=False)
+        u = np.stack(table.column("tickets").to_numpy()) / float(1 << 40)
         drawn = np.searchsorted(_POISSON, u, side="right").astype(np.uint8)
         bins = np.empty((len(x), len(edges)), dtype=np.uint8)
         for f, e in enumerate(edges):
