@@ -24,10 +24,20 @@ def test_rows_are_added_up_at_their_first_nearest_centre(offset):
         assert cost == pytest.approx(d.min(axis=1).sum(), rel=1e-9)
 
 
+def test_a_far_centre_takes_no_digits_of_the_others():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 2))
+    centres = np.concatenate([x[:1], x[:1] + 1e-7, np.full((1, 2), 1e6)])
+    sums, costs = [np.zeros((3, 3))], np.zeros(1)
+    cluster.add_up(x, [centres], sums, costs)
+    at = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert sums[0][:, 2].tolist() == np.bincount(at, minlength=3).tolist()
+
+
 def test_rounds_read_blocks_of_vectors(spark):
     rows = spark.range(0, 9000, 1, 3).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
     blocks = [np.frombuffer(r["x"]).reshape(-1, 2) for r in cluster.packed(rows, 18_000).collect()]
-    assert len(blocks) <= 6 and max(map(len, blocks)) <= cluster.PACKED_ROWS
+    assert 3 <= len(blocks) < 90 and max(map(len, blocks)) <= cluster.PACKED_ROWS
     assert sorted(np.concatenate(blocks)[:, 0]) == list(range(9000))
     models = {0: cluster.Model(np.array([[0.0, 1.0], [9000.0, 1.0]]))}
     assert cluster.advance(rows, models, 1e-9) == models[0].rounds
